@@ -27,16 +27,16 @@ def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | Non
     part = Window.partitionBy(*pool, SEG)
     before = part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = seg.withColumns({
-        "__b": F.coalesce(F.sum("n_ties").over(before), F.lit(0)),
-        "__n": F.sum("n_ties").over(part),
+        "__vp_b": F.coalesce(F.sum("n_ties").over(before), F.lit(0)),
+        "__vp_n": F.sum("n_ties").over(part),
     })
-    placed = lookup(local, earlier_segments(seg, pool, __e=F.sum("n_ties")), [*pool, SEG])
+    placed = lookup(local, earlier_segments(seg, pool, __vp_e=F.sum("n_ties")), [*pool, SEG])
     return placed.select(
         *pool,
         value,
         "n_ties",
-        (F.col("__b") + F.coalesce("__e", F.lit(0))).alias("n_below"),
-        F.coalesce("__e_all", "__n").alias("n_pool"),
+        (F.col("__vp_b") + F.coalesce("__vp_e", F.lit(0))).alias("n_below"),
+        F.coalesce("__vp_e_all", "__vp_n").alias("n_pool"),
     )
 
 
@@ -76,10 +76,10 @@ def add_percentile_rank(df: DataFrame, value: str, pool: list[str], out: str = "
     """Mean-rank percentile in [0, 1]. A pool with at most one value scores 0 on every row, missing ones too."""
     ranked = with_positions(df, value, pool).withColumn(out, average_tie_share())
     # rows of a pool with at most one value: their count is not known where the value is missing
-    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__size"))
+    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__lb_size"))
     ranked = lookup(ranked, sizes, pool)
-    return ranked.withColumn(out, F.when(F.col("__size") <= 1, 0.0).otherwise(F.col(out))).drop(
-        "n_ties", "n_below", "n_pool", "__size"
+    return ranked.withColumn(out, F.when(F.col("__lb_size") <= 1, 0.0).otherwise(F.col(out))).drop(
+        "n_ties", "n_below", "n_pool", "__lb_size"
     )
 
 
@@ -126,13 +126,13 @@ def leaderboard(df: DataFrame, value: str, pool: list[str], tie: str, ascending:
                 rank: str = "rank") -> DataFrame:
     """1-based leaderboard place by value then tie column (numeric, unique); missing values come last."""
     placed = with_positions(df, value, pool)
-    among_ties = row_index(placed, [*pool, value], [tie], "__t")
+    among_ties = row_index(placed, [*pool, value], [tie], "__lb_t")
     present = F.col("n_pool").isNotNull()
     ahead = F.col("n_below") if ascending else F.col("n_pool") - F.col("n_below") - F.col("n_ties")
-    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__size"))
+    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__lb_size"))
     out = lookup(among_ties, sizes, pool)
-    place = F.when(present, ahead).otherwise(F.col("__size")) + F.col("__t") + 1
-    return out.withColumn(rank, place.cast("long")).drop("n_ties", "n_below", "n_pool", "__t", "__size")
+    place = F.when(present, ahead).otherwise(F.col("__lb_size")) + F.col("__lb_t") + 1
+    return out.withColumn(rank, place.cast("long")).drop("n_ties", "n_below", "n_pool", "__lb_t", "__lb_size")
 
 
 def bar_length(df: DataFrame, value: str, pool: list[str], out: str = "bar") -> DataFrame:

@@ -25,28 +25,28 @@ def with_segments(df: DataFrame, keys: list[str], order_col: str, limit: int | N
     limit = limit or rows_per_segment(df.sparkSession)
     is_time = dict(df.dtypes)[order_col] in ("date", "timestamp", "timestamp_ntz")
     pos = F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col)
-    at = df.withColumn("__at", pos.cast("double"))
-    hot = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    at = df.withColumn("__sx_at", pos.cast("double"))
+    hot = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sx_n")).filter(F.col("__sx_n") > limit)
     shares = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
     cuts = (
-        lookup(at.select(*keys, "__at"), hot, keys, "inner")
-        .groupBy(*keys, "__n")
-        .agg(F.percentile_approx("__at", shares, 4 * MAX_SEGMENTS).alias("__cuts"))
+        lookup(at.select(*keys, "__sx_at"), hot, keys, "inner")
+        .groupBy(*keys, "__sx_n")
+        .agg(F.percentile_approx("__sx_at", shares, 4 * MAX_SEGMENTS).alias("__sx_cuts"))
     )
     # keep as many cuts as the key needs, evenly spread
-    wanted = F.least(F.ceil(F.col("__n") / F.lit(limit)), F.lit(MAX_SEGMENTS)).cast("int")
+    wanted = F.least(F.ceil(F.col("__sx_n") / F.lit(limit)), F.lit(MAX_SEGMENTS)).cast("int")
     stride = F.greatest((F.lit(MAX_SEGMENTS) / wanted).cast("int"), F.lit(1))
-    kept = F.filter("__cuts", lambda _, i: (i + 1) % stride == 0)
-    cuts = cuts.select(*keys, F.array_distinct(kept).alias("__cuts"))
+    kept = F.filter("__sx_cuts", lambda _, i: (i + 1) % stride == 0)
+    cuts = cuts.select(*keys, F.array_distinct(kept).alias("__sx_cuts"))
     # two levels of comparison instead of a scan over all cuts: every 32nd cut, then the 32 in between
-    coarse = F.filter("__cuts", lambda _, i: (i + 1) % 32 == 0)
-    cuts = cuts.withColumn("__coarse", coarse)
+    coarse = F.filter("__sx_cuts", lambda _, i: (i + 1) % 32 == 0)
+    cuts = cuts.withColumn("__sx_coarse", coarse)
     out = lookup(at, cuts, keys)
-    block = F.size(F.filter("__coarse", lambda c: c < F.col("__at")))
-    fine = F.slice("__cuts", block * 32 + 1, 32)
-    number = block * 32 + F.size(F.filter(fine, lambda c: c < F.col("__at"))) + 1
-    seg = F.when(F.col("__cuts").isNotNull(), F.when(F.col("__at").isNull(), F.lit(1)).otherwise(number))
-    return out.withColumn(SEG, F.coalesce(seg, F.lit(0))).drop("__at", "__cuts", "__coarse")
+    block = F.size(F.filter("__sx_coarse", lambda c: c < F.col("__sx_at")))
+    fine = F.slice("__sx_cuts", block * 32 + 1, 32)
+    number = block * 32 + F.size(F.filter(fine, lambda c: c < F.col("__sx_at"))) + 1
+    seg = F.when(F.col("__sx_cuts").isNotNull(), F.when(F.col("__sx_at").isNull(), F.lit(1)).otherwise(number))
+    return out.withColumn(SEG, F.coalesce(seg, F.lit(0))).drop("__sx_at", "__sx_cuts", "__sx_coarse")
 
 
 def earlier_segments(seg_df: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
@@ -72,14 +72,14 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "id
     """
     seg = with_segments(df, keys, order[0], limit)
     w = Window.partitionBy(*keys, SEG).orderBy(*order)
-    out = seg.withColumn("__i", F.row_number().over(w) - 1)
+    out = seg.withColumn("__sx_i", F.row_number().over(w) - 1)
     if size:
-        out = out.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, SEG)))
-    out = lookup(out, earlier_segments(seg, keys, __before=F.count(F.lit(1))), [*keys, SEG])
-    out = out.withColumn(index, (F.col("__i") + F.coalesce("__before", F.lit(0))).cast("long"))
+        out = out.withColumn("__sx_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, SEG)))
+    out = lookup(out, earlier_segments(seg, keys, __sx_before=F.count(F.lit(1))), [*keys, SEG])
+    out = out.withColumn(index, (F.col("__sx_i") + F.coalesce("__sx_before", F.lit(0))).cast("long"))
     if size:
-        out = out.withColumn(size, F.coalesce("__before_all", "__n"))
-    return out.drop(SEG, "__i", "__n", "__before", "__before_all")
+        out = out.withColumn(size, F.coalesce("__sx_before_all", "__sx_n"))
+    return out.drop(SEG, "__sx_i", "__sx_n", "__sx_before", "__sx_before_all")
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
@@ -88,18 +88,18 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dic
     seg = with_segments(df, keys, order[0], limit)
     w = Window.partitionBy(*keys, SEG).orderBy(*order)
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = seg.withColumns({f"__{n}": F.last(c, ignorenulls=True).over(prev) for n, c in columns.items()})
+    out = seg.withColumns({f"__sx_{n}": F.last(c, ignorenulls=True).over(prev) for n, c in columns.items()})
     last_in = seg.filter(F.col(SEG) > 0).groupBy(*keys, SEG).agg(
         *[
             F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
-                     F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__c_{n}")
+                     F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__sxc_{n}")
             for n, c in columns.items()
         ]
     )
     before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     carry = last_in.select(
-        *keys, SEG, *[F.last(f"__c_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in columns]
+        *keys, SEG, *[F.last(f"__sxc_{n}", ignorenulls=True).over(before).alias(f"__sxc_{n}") for n in columns]
     )
     out = lookup(out, carry, [*keys, SEG])
-    out = out.withColumns({n: F.coalesce(f"__{n}", f"__c_{n}") for n in columns})
-    return out.drop(SEG, *[f"__{n}" for n in columns], *[f"__c_{n}" for n in columns])
+    out = out.withColumns({n: F.coalesce(f"__sx_{n}", f"__sxc_{n}") for n in columns})
+    return out.drop(SEG, *[f"__sx_{n}" for n in columns], *[f"__sxc_{n}" for n in columns])

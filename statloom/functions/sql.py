@@ -38,7 +38,7 @@ FUNCTIONS = {
     "in_strike_zone(x DOUBLE, z DOUBLE, top DOUBLE, bottom DOUBLE, half_width DOUBLE) RETURNS BOOLEAN":
         "CASE WHEN x IS NOT NULL AND z IS NOT NULL THEN abs(x) <= half_width "
         "AND z >= coalesce(nullif(bottom, 0), 1.5) AND z <= coalesce(nullif(top, 0), 3.5) END",
-    "angle_bucket(a DOUBLE) RETURNS INT": "CAST(greatest(0, least(11, ceil((a + 10) / 5))) AS INT)",
+    "angle_bucket(a DOUBLE) RETURNS INT": "CASE WHEN a IS NOT NULL THEN CAST(greatest(0, least(11, ceil((a + 10) / 5) )) AS INT) END",
     "count_bucket(b INT, s INT) RETURNS STRING":
         "CASE WHEN b = 0 AND s = 0 THEN 'first' WHEN b = 3 AND s = 2 THEN 'full' "
         "WHEN b <= 2 AND s <= 2 AND b < s THEN 'ahead' WHEN b <= 2 AND s <= 2 AND b = s THEN 'even' "

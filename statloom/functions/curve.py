@@ -24,6 +24,11 @@ def series_coefficients(shape: float = SHAPE, terms: int = TERMS) -> list[float]
     return out
 
 
+def _bind(x: Column, body) -> Column:
+    """body(x) with x worked out once: the lambda variable keeps a long formula small."""
+    return F.transform(F.array(x), body)[0]
+
+
 def _left_half(x: Column) -> Column:
     acc = F.lit(0.0)
     for c in reversed(series_coefficients()):
@@ -33,10 +38,12 @@ def _left_half(x: Column) -> Column:
 
 def beta_cdf(x) -> Column:
     """Distribution function on [0, 1]; the series runs on the half where it converges fast."""
-    x = as_col(x)
-    near = F.least(x, F.lit(1.0) - x)
-    part = _left_half(near)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x <= 0.5, part).otherwise(F.lit(1.0) - part)
+
+    def value(v):
+        part = _bind(F.least(v, F.lit(1.0) - v), _left_half)
+        return F.when(v <= 0, 0.0).when(v >= 1, 1.0).when(v <= 0.5, part).otherwise(F.lit(1.0) - part)
+
+    return _bind(as_col(x), value)
 
 
 def stretch_percentile(p) -> Column:

@@ -9,17 +9,12 @@ from statloom.functions.names import SUFFIXES, accent_table
 
 
 def _curve_sql() -> str:
-    def horner(x):
-        acc = "0.0D"
-        for c in reversed(series_coefficients()):
-            acc = f"({acc} * {x} + ({c!r}D))"
-        return f"pow({x}, {SHAPE}D) * {acc}"
-
-    u = f"least(p / {CEILING}D, 1.0D)"
-    return (
-        f"CASE WHEN p IS NULL THEN NULL WHEN p <= 0 THEN 0.0D WHEN {u} >= 1 THEN 100.0D "
-        f"WHEN {u} <= 0.5 THEN 100 * {horner(f'({u})')} ELSE 100 * (1 - {horner(f'(1 - {u})')}) END"
-    )
+    acc = "0.0D"
+    for c in reversed(series_coefficients()):
+        acc = f"({acc} * n + ({c!r}D))"
+    part = f"element_at(transform(array(least(v, 1.0D - v)), n -> pow(n, {SHAPE}D) * {acc}), 1)"
+    value = f"CASE WHEN v <= 0 THEN 0.0D WHEN v >= 1 THEN 1.0D WHEN v <= 0.5 THEN {part} ELSE 1.0D - {part} END"
+    return f"CASE WHEN p IS NOT NULL THEN 100 * element_at(transform(array(least(p / {CEILING}D, 1.0D)), v -> {value}), 1) END"
 
 
 def _name_key_sql() -> str:

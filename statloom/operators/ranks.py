@@ -91,9 +91,8 @@ def percentile_ranks_wide(df: DataFrame, id_cols: list[str], pool: list[str], me
     """
     long = df.unpivot([*id_cols, *pool], metrics, "metric", "value")
     ranked = add_percentile_rank(long, "value", [*pool, "metric"], "__p")
-    return ranked.groupBy(*id_cols).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("__p"))).alias(f"{prefix}{m}") for m in metrics]
-    )
+    wide = ranked.groupBy(*id_cols).pivot("metric", metrics).agg(F.first("__p"))
+    return wide.withColumnsRenamed({m: f"{prefix}{m}" for m in metrics})
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str, float]) -> DataFrame:

@@ -14,6 +14,7 @@ from statloom.operators.keys import lookup, with_group_stats, with_table_stats
 from statloom.operators.norms import deployment_factor, zone_start_share
 from statloom.operators.ranks import percentile_ranks_wide
 from statloom.operators.rates import share_of_total, weighted_means
+from statloom.session import cut
 
 # Category weights.
 SKATER_WEIGHTS = {
@@ -203,6 +204,7 @@ def category_scores(df: DataFrame, id_col: str = "player_id") -> DataFrame:
     names = [c for c in CATEGORIES if c != "penalties"]
     r = r.withColumns({f"raw_{c}": raw[c] for c in names})
     r = r.withColumn("cat_penalties", stretch_percentile((F.lit(1) - F.col("p_penalty_ratio")) * 100))
+    r = cut(r.select(*df.columns, "cat_penalties", *[f"raw_{c}" for c in names]), "skater-raw")
     seconds = percentile_ranks_wide(r, [id_col], ["pos_group"], [f"raw_{c}" for c in names], "r_")
     r = lookup(r, seconds, [id_col])
     optional = ("competition", "power_play", "penalty_kill")
@@ -230,7 +232,9 @@ def add_overall(df: DataFrame, categories: dict[str, Column | str], pool: list[s
 def rate_skaters(df: DataFrame, id_col: str = "player_id") -> DataFrame:
     """Full skater rating of one season: needs pos_group and the rate columns; groups F and D only."""
     base = skater_shares(df.filter(F.col("pos_group").isin("F", "D")))
-    scored = category_scores(teammate_adjustment(skater_weights(base), id_col), id_col)
+    weighted = cut(skater_weights(base), "skater-weights")
+    adjusted = cut(teammate_adjustment(weighted, id_col), "skater-adjusted")
+    scored = cut(category_scores(adjusted, id_col), "skater-categories")
     return add_overall(scored, {f"cat_{c}": f"w_{c}" for c in CATEGORIES}, ["pos_group"], id_col)
 
 
@@ -275,15 +279,14 @@ def rate_goalies(df: DataFrame, id_col: str = "name", pool: list[str] | None = N
     """cat_<category> and overall over the pool (season by default); a missing category drops out of the mean."""
     pool = pool or ["season"]
     ids = list(dict.fromkeys([id_col, *pool]))
-    ranks = percentile_ranks_wide(
-        df.withColumn("__id", F.struct(*ids)), ["__id"], pool, list(GOALIE_SOURCES.values()), "p_"
-    )
-    r = lookup(df.withColumn("__id", F.struct(*ids)), ranks, ["__id"])
+    named = cut(df.withColumn("__id", F.struct(*ids)), "goalies")
+    ranks = percentile_ranks_wide(named, ["__id"], pool, list(GOALIE_SOURCES.values()), "p_")
+    r = lookup(named, ranks, ["__id"])
     r = r.withColumns({
         f"cat_{c}": F.when(F.col(m).isNotNull(), stretch_percentile(F.col(f"p_{m}") * 100)) for c, m in GOALIE_SOURCES.items()
     })
     cats = {f"cat_{c}": F.lit(w) for c, w in GOALIE_WEIGHTS.items()}
-    out = add_overall(r, cats, pool, "__id", None)
+    out = add_overall(cut(r, "goalie-categories"), cats, pool, "__id", None)
     return out.drop("__id", *[f"p_{m}" for m in GOALIE_SOURCES.values()])
 
 

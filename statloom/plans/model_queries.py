@@ -1 +1,104 @@
-"""Queries."""
+"""Training and scoring. Models have no SQL equivalent; splits, norms and blends do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from statloom.functions import buckets, physics
+from statloom.functions.numeric import round_half_even
+from statloom.operators import models, norms, ratings
+from statloom.plans.join_queries import with_baselines
+from statloom.plans.registry import query, r6, r6_sql, table
+from statloom.session import cut, fresh_path
+
+# few and shallow trees keep the checks short; the library's own defaults are those of a full training
+SHORT = {"maxIter": 3, "maxDepth": 3}
+
+
+def swings(spark, folder):
+    """Swing features of every tracked pitch."""
+    p = table(spark, folder, "pitches")
+    p = p.withColumns({
+        **physics.swing_columns(),
+        "in_zone": buckets.in_zone("plate_x", "plate_z", "sz_top", "sz_bot").cast("int"),
+        "total_movement": physics.total_movement("pfx_x", "pfx_z"),
+        "made_contact": buckets.is_contact("description").cast("int"),
+        **{f"is_{f}": (buckets.pitch_family("pitch_type") == f).cast("int") for f in ("fastball", "breaking", "offspeed")},
+    })
+    return norms.over_expected(p, "bat_speed", "plate_x", out="speed_over_expected")
+
+
+def _imputed(df, features):
+    from statloom.operators.rates import impute_medians
+
+    return impute_medians(df.withColumns({f: F.col(f).cast("double") for f in features}), features)
+
+
+@query("l1_l3_l5_l6_contact_quality")
+def l1(spark, folder):
+    data = cut(_imputed(swings(spark, folder).filter(F.col("xwoba_est").isNotNull()), models.QUALITY_FEATURES)
+               .select("line_key", "xwoba_est", *models.QUALITY_FEATURES), "quality")
+    split = models.key_split(data, ["line_key"])
+    fit = models.regression_trees(models.QUALITY_FEATURES, "xwoba_est", scaled=True, **SHORT).fit(split.filter("NOT is_test"))
+    quality = models.regression_quality(fit.transform(split.filter("is_test")), "xwoba_est")
+    return models.importance_table(spark, fit).withColumns({k: F.lit(round(v, 6)) for k, v in quality.items()})
+
+
+@query("l2_l4_l5_contact_probability")
+def l2(spark, folder):
+    data = cut(_imputed(swings(spark, folder).filter(F.col("bat_speed").isNotNull()), models.CONTACT_FEATURES)
+               .select("line_key", "pitcher", "made_contact", *models.CONTACT_FEATURES), "contact")
+    split = cut(models.stratified_split(data, "line_key", "made_contact"), "contact-split")
+    fit = models.classification_trees(models.CONTACT_FEATURES, "made_contact", **SHORT).fit(split.filter("NOT is_test"))
+    scored = models.contact_probability(fit.transform(split))
+    auc = models.ranking_quality(fit.transform(split.filter("is_test")), "made_contact")
+    return scored.groupBy("pitcher").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("contact_prob"), 6).alias("contact_prob"),
+        F.avg("made_contact").alias("actual_contact")).withColumn("auc", F.lit(round(auc, 6)))
+
+
+@query("l4_stratified_split_shares", """
+SELECT CAST(CASE WHEN description IN ('hit_into_play','foul') THEN 1 ELSE 0 END AS INT) AS made_contact, TRUE AS fifth, count(*) AS n FROM @pitches GROUP BY ALL""")
+def l4(spark, folder):
+    p = table(spark, folder, "pitches").select("line_key", buckets.is_contact("description").cast("int").alias("made_contact"))
+    s = models.stratified_split(p, "line_key", "made_contact").groupBy("made_contact").agg(
+        F.count_if("is_test").alias("t"), F.count(F.lit(1)).alias("n"))
+    return s.select("made_contact", (F.col("t") == F.ceil(F.col("n") / 5)).alias("fifth"), "n")
+
+
+def pitch_features(spark, folder):
+    out = with_baselines(table(spark, folder, "pitches"))
+    out = out.withColumns(physics.fastball_deltas()).withColumns(physics.tunnel_distances())
+    return out.withColumns(physics.location_columns())
+
+
+@query("l7_l8_f8_tunnel_scores")
+def l7(spark, folder):
+    data = cut(pitch_features(spark, folder).select("line_key", "pitcher", "xrv", *models.TUNNEL_FEATURES), "tunnel")
+    whole = data.na.drop()
+    fit = models.regression_trees(models.TUNNEL_FEATURES, "xrv", ["pitch_type", "p_throws"], **SHORT).fit(whole)
+    scored = models.score_complete(data, fit, models.TUNNEL_FEATURES, "xrv_tunnel")
+    return scored.groupBy("pitcher").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("xrv_tunnel"), 6).alias("xrv_tunnel"))
+
+
+@query("l9_location_models_by_type")
+def l9(spark, folder):
+    data = cut(pitch_features(spark, folder).select("line_key", "pitch_type", "xrv", *models.LOCATION_FEATURES), "location")
+    fits = models.train_per_type(data, ["FF", "SL", "FS"], models.LOCATION_FEATURES, "xrv", categorical=["stand"], **SHORT)
+    scored = models.score_per_type(data, fits, models.LOCATION_FEATURES, "xrv_location")
+    return scored.groupBy("pitch_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("xrv_location") != 0).alias("scored"), F.round(F.avg("xrv_location"), 6).alias("mean"))
+
+
+@query("l10_l12_residual_chain_and_blend")
+def l10(spark, folder):
+    data = cut(pitch_features(spark, folder).select("line_key", "pitcher", "xrv", "release_speed", "pfx_x", "pfx_z", "plate_x", "plate_z", "late_break").na.drop(), "chain")
+    stuff = models.regression_trees(["release_speed", "pfx_x", "pfx_z"], "xrv", **SHORT).fit(data)
+    one = models.residual(stuff.transform(data).withColumnRenamed("prediction", "xrv_stuff").drop("features"), "xrv", "xrv_stuff", "rest")
+    place = models.regression_trees(["plate_x", "plate_z"], "rest", **SHORT).fit(one)
+    path = models.save_model(place, fresh_path(spark, "model"))
+    two = models.load_model(path).transform(one).withColumnRenamed("prediction", "xrv_location")
+    weights = models.fit_blend(two, ["xrv_stuff", "xrv_location"], "xrv", 1e-6)
+    config = models.load_config(spark, models.save_config(spark, fresh_path(spark, "config"), weights))
+    final = F.col("xrv_stuff") * config["xrv_stuff"] + F.col("xrv_location") * config["xrv_location"] + config["intercept"]
+    return two.groupBy("pitcher").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(final), 6).alias("xrv_final"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A key with more rows than this is cut into ordered segments (see operators.hotkeys).
 ROWS_PER_SEGMENT = 2_000_000
@@ -34,3 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Writes a table to the shared folder and reads it back: short lineage that outlives lost executors.
+
+    For steps that read their input several times; the table is then computed once.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -62,7 +62,7 @@ def csv_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
     flags = []
     for p in paths:
         lines = spark.read.text(p)
-        flags.append(lines.agg(F.bool_or(F.col("value").contains("�")).alias("bad")).select(F.lit(p).alias("p"), "bad"))
+        flags.append(lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad")).select(F.lit(p).alias("p"), "bad"))
     bad = {r["p"] for r in reduce(lambda a, b: a.unionByName(b), flags).collect() if r["bad"]}
     frames = [text_columns(spark, p, "ISO-8859-1" if p in bad else "UTF-8") for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

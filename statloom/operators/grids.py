@@ -11,6 +11,7 @@ from statloom.functions.buckets import (
 )
 from statloom.functions.numeric import round_half_even, round_half_up, safe_percent, safe_ratio
 from statloom.operators.keys import lookup, with_group_stats
+from statloom.session import spread
 
 # The columns of a count grid, in display order.
 GRID_BUCKETS = ["all", "first", "ahead", "even", "behind", "full"]
@@ -120,7 +121,8 @@ def density_grid(pitches: DataFrame, keys: list[str], x: str, z: str, x_range: t
     sc, sr = sigma / cw, sigma / ch
     rc, rr = int(-(-3 * sc // 1)), int(-(-3 * sr // 1))
     cx, cy = (F.col(x) - x0) / cw, (F.lit(z1) - F.col(z)) / ch
-    here = pitches.filter(F.col(x).isNotNull() & F.col(z).isNotNull()).select(*keys, cx.alias("cx"), cy.alias("cy"))
+    located = pitches.filter(F.col(x).isNotNull() & F.col(z).isNotNull()).select(*keys, x, z)
+    here = spread(located).select(*keys, cx.alias("cx"), cy.alias("cy"))
 
     def reach(centre: Column, radius: int, size: int) -> Column:
         mid = F.floor(centre + 0.5).cast("int")

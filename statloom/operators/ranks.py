@@ -1,7 +1,8 @@
 """Ranks, percentiles and exact quantiles within pools of any size.
 
-Equal values are counted first, so a value shared by many rows is one row in what follows, and
-pools larger than a limit are cut into ordered segments (operators.segments). No task ever holds
+Equal values are counted first, so a value shared by many rows is one row in what follows. The
+counts are written once to the shared folder, for they are read several times. Pools larger than a
+limit are cut into ordered segments (operators.segments). No task ever holds
 a whole pool.
 """
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from statloom.functions import as_col
 from statloom.functions.numeric import round_half_even
 from statloom.operators.keys import lookup
-from statloom.operators.segments import SEG, earlier_segments, row_index, with_segments
+from statloom.operators.segments import SEG, add_earlier_segments, row_index, with_segments
+from statloom.session import cut
 
 
 def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
@@ -22,15 +24,15 @@ def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | Non
         present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     else:
         present = df.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties"))
-    seg = with_segments(counts, pool, value, limit)
+    counts = cut(present.groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties")), "value-counts")
+    seg, cut_any = with_segments(counts, pool, value, limit)
     part = Window.partitionBy(*pool, SEG)
     before = part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = seg.withColumns({
         "__vp_b": F.coalesce(F.sum("n_ties").over(before), F.lit(0)),
         "__vp_n": F.sum("n_ties").over(part),
     })
-    placed = lookup(local, earlier_segments(seg, pool, __vp_e=F.sum("n_ties")), [*pool, SEG])
+    placed = add_earlier_segments(local, seg, pool, cut_any, __vp_e=F.sum("n_ties"))
     return placed.select(
         *pool,
         value,

@@ -12,21 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.operators.keys import lookup
-from statloom.session import rows_per_segment
+from statloom.session import cut, rows_per_segment
 
 MAX_SEGMENTS = 1024
 SEG = "__seg"
 
 
-def with_segments(df: DataFrame, keys: list[str], order_col: str, limit: int | None = None) -> DataFrame:
-    """Adds the segment number: 0 for whole keys, 1..MAX_SEGMENTS for cut ones. order_col is numeric, date or time."""
+def order_position(df: DataFrame, order_col: str) -> Column:
+    is_time = dict(df.dtypes)[order_col] in ("date", "timestamp", "timestamp_ntz")
+    return (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col)).cast("double")
+
+
+def with_segments(df: DataFrame, keys: list[str], order_col: str, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(table with its segment number, whether any key was cut).
+
+    The number is 0 for whole keys and 1..MAX_SEGMENTS for cut ones. order_col is numeric, date or time.
+    One counting pass over the keys finds the ones to cut; without any, the plan stays a plain window.
+    """
     if not keys:
         raise ValueError("give at least one key column")
     limit = limit or rows_per_segment(df.sparkSession)
-    is_time = dict(df.dtypes)[order_col] in ("date", "timestamp", "timestamp_ntz")
-    pos = F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col)
-    at = df.withColumn("__sx_at", pos.cast("double"))
-    hot = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sx_n")).filter(F.col("__sx_n") > limit)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sx_n")).filter(F.col("__sx_n") > limit)
+    if hot.isEmpty():
+        return df.withColumn(SEG, F.lit(0)), False
+    at = df.withColumn("__sx_at", order_position(df, order_col))
     shares = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
     cuts = (
         lookup(at.select(*keys, "__sx_at"), hot, keys, "inner")
@@ -40,28 +49,30 @@ def with_segments(df: DataFrame, keys: list[str], order_col: str, limit: int | N
     cuts = cuts.select(*keys, F.array_distinct(kept).alias("__sx_cuts"))
     # two levels of comparison instead of a scan over all cuts: every 32nd cut, then the 32 in between
     coarse = F.filter("__sx_cuts", lambda _, i: (i + 1) % 32 == 0)
-    cuts = cuts.withColumn("__sx_coarse", coarse)
+    cuts = cut(cuts.withColumn("__sx_coarse", coarse), "cuts")
     out = lookup(at, cuts, keys)
     block = F.size(F.filter("__sx_coarse", lambda c: c < F.col("__sx_at")))
     fine = F.slice("__sx_cuts", block * 32 + 1, 32)
     number = block * 32 + F.size(F.filter(fine, lambda c: c < F.col("__sx_at"))) + 1
     seg = F.when(F.col("__sx_cuts").isNotNull(), F.when(F.col("__sx_at").isNull(), F.lit(1)).otherwise(number))
-    return out.withColumn(SEG, F.coalesce(seg, F.lit(0))).drop("__sx_at", "__sx_cuts", "__sx_coarse")
+    return out.withColumn(SEG, F.coalesce(seg, F.lit(0))).drop("__sx_at", "__sx_cuts", "__sx_coarse"), True
 
 
-def earlier_segments(seg_df: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
-    """Per (key, segment) of cut keys: each aggregate summed over the earlier segments (name) and over
-    the whole key (name + '_all')."""
+def add_earlier_segments(out: DataFrame, seg_df: DataFrame, keys: list[str], cut_any: bool, **sums: Column) -> DataFrame:
+    """Adds to rows of cut keys each aggregate summed over the earlier segments (name) and over the whole key
+    (name + '_all'); null on rows of whole keys."""
+    if not cut_any:
+        return out.withColumns({c: F.lit(None).cast("long") for n in sums for c in (n, f"{n}_all")})
     per = seg_df.filter(F.col(SEG) > 0).groupBy(*keys, SEG).agg(*[a.alias(n) for n, a in sums.items()])
-    order = Window.partitionBy(*keys).orderBy(SEG)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    return per.select(
+    table = per.select(
         *keys,
         SEG,
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums],
         *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums],
     )
+    return lookup(out, table, [*keys, SEG])
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "idx", size: str | None = None,
@@ -70,12 +81,12 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "id
 
     order is a list of columns that together order the rows fully; the first must be numeric, date or time.
     """
-    seg = with_segments(df, keys, order[0], limit)
+    seg, cut_any = with_segments(df, keys, order[0], limit)
     w = Window.partitionBy(*keys, SEG).orderBy(*order)
     out = seg.withColumn("__sx_i", F.row_number().over(w) - 1)
     if size:
         out = out.withColumn("__sx_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, SEG)))
-    out = lookup(out, earlier_segments(seg, keys, __sx_before=F.count(F.lit(1))), [*keys, SEG])
+    out = add_earlier_segments(out, seg, keys, cut_any, __sx_before=F.count(F.lit(1)))
     out = out.withColumn(index, (F.col("__sx_i") + F.coalesce("__sx_before", F.lit(0))).cast("long"))
     if size:
         out = out.withColumn(size, F.coalesce("__sx_before_all", "__sx_n"))
@@ -85,10 +96,12 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "id
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
                   limit: int | None = None) -> DataFrame:
     """For each (new name: column) the last non-null value on earlier rows of the key."""
-    seg = with_segments(df, keys, order[0], limit)
+    seg, cut_any = with_segments(df, keys, order[0], limit)
     w = Window.partitionBy(*keys, SEG).orderBy(*order)
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     out = seg.withColumns({f"__sx_{n}": F.last(c, ignorenulls=True).over(prev) for n, c in columns.items()})
+    if not cut_any:
+        return out.withColumnsRenamed({f"__sx_{n}": n for n in columns}).drop(SEG)
     last_in = seg.filter(F.col(SEG) > 0).groupBy(*keys, SEG).agg(
         *[
             F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),

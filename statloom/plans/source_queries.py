@@ -10,7 +10,7 @@ from statloom.operators.keys import lookup
 from statloom.plans.aggregate_queries import event_column
 from statloom.plans.aggregate_queries import _EVENT_SQL as EVENT
 from statloom.plans.registry import half_even_sql, half_up_sql, query, r6, r6_sql, table
-from statloom.session import fresh_path
+from statloom.session import fresh_path, spread
 from statloom.sources import game_json, html_tables, sinks, tables
 
 
@@ -132,7 +132,7 @@ _PLAYS = """to_json(named_struct('allPlays', array(named_struct(
 
 
 def play_documents(spark, folder):
-    li = table(spark, folder, "lineitem").withColumn("ev", event_column())
+    li = spread(table(spark, folder, "lineitem")).withColumn("ev", event_column())
     return li.selectExpr("l_orderkey AS game_pk", f"{_PLAYS} AS doc")
 
 

@@ -16,6 +16,11 @@ def feed(spark, folder):
     return live.stream_table(spark, folder, "events.parquet").selectExpr(*[f"{e} AS {c}" for c, e in FEED.items()])
 
 
+def local_times(df):
+    """Times without a zone again, as the tables have them."""
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, t in df.dtypes if t == "timestamp"})
+
+
 @query("st1_running_leaderboard", f"""
 WITH t AS (SELECT pitcher, count(*) AS n, {half_even_sql('sum(value)', 2)} AS total FROM @feed GROUP BY pitcher), m AS (SELECT *, {half_even_sql('total / n', 3)} AS mean, pitcher % 2 AS pool FROM t)
 SELECT pitcher, n, total, mean, pool, {strict_sql('mean', 'pool')} AS pctile FROM m""")
@@ -39,7 +44,7 @@ SELECT CAST(time_bucket(INTERVAL 14 DAYS, ts, TIMESTAMP '1970-01-01') AS TIMESTA
 def st3(spark, folder):
     e = live.stream_table(spark, folder, "events.parquet")
     out = live.period_sums(e, "ts", ["event_type"], "1 day", 14, n=F.count(F.lit(1)), total=F.sum("value"))
-    return r6(out, "total", digits=2)
+    return r6(local_times(out), "total", digits=2)
 
 
 @query("st3_half_month_sums", f"""
@@ -51,10 +56,10 @@ def st3_half(spark, folder):
 
 @query("st4_daily_then_60_days", f"""
 WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(value) AS n, sum(value) AS s FROM events GROUP BY ALL)
-SELECT user_id, day, CAST(sum(n) OVER w AS BIGINT) AS n, {r6_sql('sum(s) OVER w / sum(n) OVER w', 4)} AS mean FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 60 DAY PRECEDING AND CURRENT ROW)""")
+SELECT user_id, day, CAST(sum(n) OVER w AS BIGINT) AS n, {r6_sql('sum(s) OVER w / sum(n) OVER w', 9)} AS mean FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 60 DAY PRECEDING AND CURRENT ROW)""")
 def st4(spark, folder):
     e = live.stream_table(spark, folder, "events.parquet")
-    return r6(live.daily_then_rolling(e, "ts", "user_id", "value", 60), "mean", digits=4)
+    return r6(live.daily_then_rolling(e, "ts", "user_id", "value", 60), "mean", digits=9)
 
 
 @query("st5_sessions", """
@@ -64,18 +69,17 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, start, "end", n FROM r WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def st5(spark, folder):
     e = live.stream_table(spark, folder, "events.parquet")
-    return live.sessions(e, "ts", ["user_id"], "6 hours", "1 hour", n=F.count(F.lit(1)))
+    return local_times(live.sessions(e, "ts", ["user_id"], "6 hours", "1 hour", n=F.count(F.lit(1))))
 
 
 @query("st6_latest_attribute", """
 SELECT user_id, arg_max(event_type, event_id) AS latest, max(ts) AS updated FROM events GROUP BY user_id""")
 def st6(spark, folder):
     e = live.stream_table(spark, folder, "events.parquet")
-    return live.latest_attribute(e, "ts", "user_id", "event_type", "event_id")
+    return local_times(live.latest_attribute(e, "ts", "user_id", "event_type", "event_id"))
 
 
 @query("st7_live_appearances", """
-WITH f AS (SELECT pitcher, game_pk, strikes_after, row_number() OVER (PARTITION BY pitcher, game_pk ORDER BY pitch_number) AS i FROM @feed)
 SELECT conv_id, count(*) AS pitches, min(turn + 1) FILTER (WHERE length(text) % 3 >= 2) AS pitches_to_two_strikes, arg_max(CAST(length(text) % 3 AS INT), turn) AS strikes FROM conversations GROUP BY conv_id""")
 def st7(spark, folder):
     c = live.stream_table(spark, folder, "conversations.parquet").select(

@@ -190,11 +190,11 @@ WITH s AS (SELECT pitcher, game_pk, count(value) AS n, sum(value) AS s, sum(valu
  r AS (SELECT pitcher, game_pk, row_number() OVER (PARTITION BY pitcher ORDER BY game_pk) - 1 AS start_no,
   sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM s
   WINDOW w AS (PARTITION BY pitcher ORDER BY game_pk ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT pitcher, game_pk, start_no, CAST(n AS BIGINT) AS n, {r6_sql('s / n', 4)} AS mean,
+SELECT pitcher, game_pk, start_no, CAST(n AS BIGINT) AS n, {r6_sql('s / n', 9)} AS mean,
  {r6_sql('CASE WHEN n > 1 THEN sqrt(greatest(q - s * s / n, 0) / (n - 1)) END', 4)} AS std FROM r""")
 def w15(spark, folder):
     f = table(spark, folder, "feed").select("pitcher", "game_pk", "value")
-    return r6(rates.rolling_starts(f, "pitcher", ["game_pk"], ["game_pk"], "value"), "mean", "std", digits=4)
+    return r6(rates.rolling_starts(f, "pitcher", ["game_pk"], ["game_pk"], "value"), "std", digits=4).transform(lambda d: r6(d, "mean", digits=9))
 
 
 @query("w16_name_disambiguation", """

@@ -59,16 +59,21 @@ def parse(documents: DataFrame, text: str, schema: str, keep: list[str]) -> Data
 
 
 def plays(documents: DataFrame, keep: list[str]) -> DataFrame:
-    return documents.select(*keep, F.explode("allPlays").alias("play"))
+    """One row per play.
 
+    Outer explodes are used on parsed documents: a plain one adds a size filter that parses the text again.
+    """
+    return documents.select(*keep, F.explode_outer("allPlays").alias("play")).filter(F.col("play").isNotNull())
+
+
+def _counts(events: Column, field: str) -> Column:
+    """The count given after each event, null on events that are no tracked pitch."""
+    return F.transform(events, lambda e: F.when(e["isPitch"] & e["pitchData"].isNotNull(), e["count"][field]))
 
-def _known_before(events: Column, position: Column, field: str) -> Column:
+
+def _known_before(counts: Column, position: Column) -> Column:
     """Last count given on earlier pitches of the same play, 0 before the first."""
-    earlier = F.filter(
-        F.slice(events, 1, position),
-        lambda e: e["isPitch"] & e["pitchData"].isNotNull() & e["count"][field].isNotNull(),
-    )
-    return F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["count"][field]).otherwise(0)
+    return F.coalesce(F.get(F.reverse(F.array_compact(F.slice(counts, 1, position))), F.lit(0)), F.lit(0))
 
 
 def pitches(play_rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -77,8 +82,9 @@ def pitches(play_rows: DataFrame, keep: list[str]) -> DataFrame:
     ev = play_rows.select(
         *keep, p["atBatIndex"].alias("at_bat_index"), p["matchup"]["pitcher"]["id"].alias("pitcher"),
         p["matchup"]["batter"]["id"].alias("batter"), p["matchup"]["batSide"]["code"].alias("bat_side"),
-        p["result"]["event"].alias("result"), p["playEvents"].alias("__all"),
-        F.posexplode(p["playEvents"]).alias("__pos", "e"),
+        p["result"]["event"].alias("result"),
+        _counts(p["playEvents"], "balls").alias("__balls"), _counts(p["playEvents"], "strikes").alias("__strikes"),
+        F.posexplode_outer(p["playEvents"]).alias("__pos", "e"),
     ).filter(F.col("e.isPitch") & F.col("e.pitchData").isNotNull())
     d, c = F.col("e.pitchData"), F.col("e.pitchData.coordinates")
     code = F.col("e.details.call.code")
@@ -95,8 +101,8 @@ def pitches(play_rows: DataFrame, keep: list[str]) -> DataFrame:
         c["x0"].alias("release_pos_x"), c["z0"].alias("release_pos_z"), d["extension"].alias("release_extension"),
         c["vX0"].alias("vx0"), c["vY0"].alias("vy0"), c["vZ0"].alias("vz0"),
         c["aX"].alias("ax"), c["aY"].alias("ay"), c["aZ"].alias("az"),
-        _known_before(F.col("__all"), F.col("__pos"), "balls").alias("balls"),
-        _known_before(F.col("__all"), F.col("__pos"), "strikes").alias("strikes"),
+        _known_before(F.col("__balls"), F.col("__pos")).alias("balls"),
+        _known_before(F.col("__strikes"), F.col("__pos")).alias("strikes"),
         F.col("e.details.isStrike").alias("is_strike"), F.col("e.details.isInPlay").alias("is_in_play"),
         F.coalesce(code.isin(*WHIFF_CODES), F.lit(False)).alias("is_whiff"),
         F.coalesce(code.isin(*SWING_CODES), F.lit(False)).alias("is_swing"),
@@ -120,7 +126,7 @@ def pitching_lines(play_rows: DataFrame, keys: list[str]) -> DataFrame:
     base = play_rows.select(
         *keys, p["matchup"]["pitcher"]["id"].alias("pitcher"), p["result"].alias("r"), p["runners"].alias("runners")
     )
-    run = base.select(*keys, "pitcher", F.explode("runners").alias("m"))
+    run = base.select(*keys, "pitcher", F.explode_outer("runners").alias("m"))
     charged = (F.col("m.movement.end") == "score") & (
         F.coalesce("m.details.responsiblePitcher.id", "pitcher") == F.col("pitcher")
     )
@@ -148,7 +154,7 @@ def box_players(documents: DataFrame, keep: list[str]) -> DataFrame:
         F.struct(F.lit("home").alias("side"), F.col("teams.home").alias("t")),
     )).alias("s"))
     rows = sides.select(*keep, F.col("s.side").alias("side"), F.col("s.t.team").alias("team"),
-                        F.explode("s.t.players").alias("tag", "p"))
+                        F.explode_outer("s.t.players").alias("tag", "p")).filter(F.col("tag").isNotNull())
     return rows.select(
         *keep, "side", F.col("team.id").alias("team_id"), F.col("team.abbreviation").alias("team"),
         F.col("p.person.id").alias("player_id"), F.col("p.person.fullName").alias("name"),
@@ -193,9 +199,9 @@ def box_batting(players: DataFrame, keys: list[str]) -> DataFrame:
 
 def schedule_games(documents: DataFrame, keep: list[str], club_ids: DataFrame) -> DataFrame:
     """One row per scheduled game; exhibition when a league club meets a team from outside it."""
-    g = documents.select(*keep, F.explode("dates").alias("d")).select(
-        *keep, F.to_date("d.date").alias("date"), F.explode("d.games").alias("g")
-    )
+    g = documents.select(*keep, F.explode_outer("dates").alias("d")).select(
+        *keep, F.to_date("d.date").alias("date"), F.explode_outer("d.games").alias("g")
+    ).filter(F.col("g").isNotNull())
     state, detail = F.col("g.status.abstractGameState"), F.col("g.status.detailedState")
     flat = g.select(
         *keep, F.col("g.gamePk").alias("game_pk"), "date", detail.alias("status"),
@@ -214,7 +220,7 @@ def schedule_games(documents: DataFrame, keep: list[str], club_ids: DataFrame) -
 
 def roster_players(documents: DataFrame, keep: list[str], pitchers: bool | None = None) -> DataFrame:
     """One row per roster place; only pitchers or only others when asked."""
-    out = documents.select(*keep, F.explode("roster").alias("r")).select(
+    out = documents.select(*keep, F.explode_outer("roster").alias("r")).filter(F.col("r").isNotNull()).select(
         *keep, F.col("r.person.id").alias("player_id"), F.col("r.person.fullName").alias("name"),
         F.col("r.position.type").alias("position_type"),
     )
@@ -228,7 +234,7 @@ def leader_players(documents: DataFrame, group: str, page: str) -> DataFrame:
     """First row per player in each group, in page order."""
     from statloom.operators.keys import pick_first
 
-    rows = documents.select(group, page, F.posexplode(F.flatten(F.transform("stats", lambda s: s["splits"]))).alias("i", "s"))
+    rows = documents.select(group, page, F.posexplode_outer(F.flatten(F.transform("stats", lambda s: s["splits"]))).alias("i", "s"))
     flat = rows.select(
         group, page, "i", F.col("s.player.id").alias("player_id"), F.col("s.player.fullName").alias("name"),
         F.coalesce("s.team.abbreviation", F.lit("")).alias("team"), F.col("s.position.abbreviation").alias("position"),
@@ -239,7 +245,8 @@ def leader_players(documents: DataFrame, group: str, page: str) -> DataFrame:
 def grade_rows(documents: DataFrame, text: str) -> DataFrame:
     """{pitcher: {type: grades}} documents to rows."""
     m = documents.select(F.from_json(F.col(text), GRADES_SCHEMA).alias("m"))
-    per = m.select(F.explode("m").alias("pitcher", "t")).select("pitcher", F.explode("t").alias("pitch_type", "g"))
+    per = m.select(F.explode_outer("m").alias("pitcher", "t")).select("pitcher", F.explode_outer("t").alias("pitch_type", "g"))
+    per = per.filter(F.col("g").isNotNull())
     return per.select(F.col("pitcher").try_cast("bigint").alias("pitcher"), "pitch_type", "g.*")
 
 

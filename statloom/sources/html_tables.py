@@ -36,7 +36,7 @@ def block_rows(pages: DataFrame, ids: list[str], html: str, container: str = "ta
                cell: str = "t[dh]") -> DataFrame:
     """(ids, row_no, cells) of the largest block of each page, empty rows left out."""
     best = largest_block(pages, html, container, row)
-    rows = best.select(*ids, F.posexplode(_inner(F.col("block"), row)).alias("row_no", "row_html"))
+    rows = best.select(*ids, F.posexplode_outer(_inner(F.col("block"), row)).alias("row_no", "row_html"))
     pattern = f"(?is)<({cell})\\b[^>]*>(.*?)</\\1\\s*>"
     cells = F.transform(F.regexp_extract_all("row_html", F.lit(pattern), F.lit(2)), plain_text)
     return rows.select(*ids, "row_no", "row_html", cells.alias("cells")).filter(F.size("cells") > 0)

@@ -10,18 +10,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.dates import half_month_start
 from statloom.session import fresh_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder that match a name, as a stream with the schema of the files there."""
+    """Parquet files of a folder that match a name, as a stream with the schema of the files there.
+
+    Times without a zone are read as session time, since event time needs one.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    local = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return reader.parquet(folder).withColumns({c: F.col(c).cast("timestamp") for c in local})
 
 
 def _run(writer, checkpoint: str):
@@ -50,14 +55,15 @@ def run_with_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame,
 
 
 def write_batch(df: DataFrame, batch: int, path: str) -> None:
-    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
     """Current state of an update-mode table: the newest batch wins per key."""
     from statloom.operators.keys import pick_first
 
-    rows = spark.read.schema(schema.add("batch", "int")).parquet(path)
+    full = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(full).parquet(path)
     return pick_first(rows, keys, [F.desc("batch")]).drop("batch")
 
 

@@ -336,7 +336,7 @@ def a30_rows(spark, folder):
 _ENT = """d AS (SELECT c_custkey AS o, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 500 END AS player_id, concat(CASE WHEN c_custkey % 7 = 0 THEN 'JOSE' ELSE 'jose' END, ' r', c_custkey % 500) AS name,
   CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer),
  k AS (SELECT *, lower(name) AS nk FROM d), f AS (SELECT nk, arg_min(player_id, o) AS fid FROM k WHERE player_id IS NOT NULL GROUP BY nk),
- e AS (SELECT k.*, coalesce(concat('id:', coalesce(player_id, fid)), concat('name:', nk)) AS entity FROM k LEFT JOIN f USING (nk))"""
+ e AS (SELECT k.*, coalesce('id:' || CAST(coalesce(player_id, fid) AS VARCHAR), 'name:' || nk) AS entity FROM k LEFT JOIN f USING (nk))"""
 
 
 @query("a31_entity_consolidation", f"""WITH {_ENT},

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join in which null keys match each other; keys appear once, right columns follow.
 
-    No hint is given: the size of the right side decides between broadcast and sort-merge,
-    and a hot key of a sort-merge join is split at run time.
+    No hint is given: the size of the right side decides between broadcast and sort-merge, and a hot
+    key of a sort-merge join is split at run time. A right side that was written with session.cut has
+    a known size, so a small one is broadcast without a shuffle of the left side.
     """
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]

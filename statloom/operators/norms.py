@@ -83,6 +83,8 @@ def equal_width_bin(df: DataFrame, value: str, bins: int = 20, out: str = "bin")
 def over_expected(df: DataFrame, value: str, by: str, bins: int = 20, out: str = "over_expected") -> DataFrame:
     """Value minus the mean of its equal-width bin of `by`; 0 where either is missing."""
     binned = equal_width_bin(df, by, bins, "__bin")
-    g = with_group_stats(binned, ["__bin"], __m=F.avg(value))
+    # one row per bin: small whatever the table's size
+    means = F.broadcast(binned.groupBy("__bin").agg(F.avg(value).alias("__m")))
+    g = lookup(binned, means, ["__bin"])
     diff = F.when(F.col("__bin").isNotNull(), F.col(value) - F.col("__m"))
     return g.withColumn(out, F.coalesce(diff, F.lit(0.0))).drop("__bin", "__m")

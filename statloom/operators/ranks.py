@@ -18,13 +18,16 @@ from statloom.operators.segments import SEG, add_earlier_segments, row_index, wi
 from statloom.session import cut
 
 
-def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
-    """(pool, value, n_ties, n_below, n_pool) for every distinct value that is not null or NaN."""
+def value_counts(df: DataFrame, value: str, pool: list[str]) -> DataFrame:
+    """(pool, value, n_ties) of the values that are not null or NaN, written once."""
+    present = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
-        present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    else:
-        present = df.filter(F.col(value).isNotNull())
-    counts = cut(present.groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties")), "value-counts")
+        present = present & ~F.isnan(value)
+    return cut(df.filter(present).groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties")), "value-counts")
+
+
+def place_counts(counts: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
+    """(pool, value, n_ties, n_below, n_pool) from counted values."""
     seg, cut_any = with_segments(counts, pool, value, limit)
     part = Window.partitionBy(*pool, SEG)
     before = part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -42,9 +45,20 @@ def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | Non
     )
 
 
-def with_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
-    """Rows with n_ties, n_below and n_pool of their value; null where the value is missing."""
-    return lookup(df, value_positions(df, value, pool, limit), [*pool, value])
+def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
+    """(pool, value, n_ties, n_below, n_pool) for every distinct value that is not null or NaN."""
+    return place_counts(value_counts(df, value, pool), value, pool, limit)
+
+
+def with_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None, size: str | None = None) -> DataFrame:
+    """Rows with n_ties, n_below and n_pool of their value, null where the value is missing; and, if named,
+    the number of values in the pool on every row."""
+    counts = value_counts(df, value, pool)
+    out = lookup(df, place_counts(counts, value, pool, limit), [*pool, value])
+    if size:
+        sizes = cut(counts.groupBy(*pool).agg(F.sum("n_ties").alias(size)), "pool-sizes")
+        out = lookup(out, sizes, pool).withColumn(size, F.coalesce(size, F.lit(0)))
+    return out
 
 
 def strict_percentile(lower_better: bool | Column = False) -> Column:
@@ -76,10 +90,7 @@ def add_strict_percentile(df: DataFrame, value: str, pool: list[str], out: str =
 
 def add_percentile_rank(df: DataFrame, value: str, pool: list[str], out: str = "pct_rank") -> DataFrame:
     """Mean-rank percentile in [0, 1]. A pool with at most one value scores 0 on every row, missing ones too."""
-    ranked = with_positions(df, value, pool).withColumn(out, average_tie_share())
-    # rows of a pool with at most one value: their count is not known where the value is missing
-    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__lb_size"))
-    ranked = lookup(ranked, sizes, pool)
+    ranked = with_positions(df, value, pool, size="__lb_size").withColumn(out, average_tie_share())
     return ranked.withColumn(out, F.when(F.col("__lb_size") <= 1, 0.0).otherwise(F.col(out))).drop(
         "n_ties", "n_below", "n_pool", "__lb_size"
     )
@@ -126,12 +137,10 @@ def approximate_quantiles(df: DataFrame, value: str, keys: list[str], probs: dic
 def leaderboard(df: DataFrame, value: str, pool: list[str], tie: str, ascending: bool = True,
                 rank: str = "rank") -> DataFrame:
     """1-based leaderboard place by value then tie column (numeric, unique); missing values come last."""
-    placed = with_positions(df, value, pool)
-    among_ties = row_index(placed, [*pool, value], [tie], "__lb_t")
+    placed = with_positions(df, value, pool, size="__lb_size")
+    out = row_index(placed, [*pool, value], [tie], "__lb_t")
     present = F.col("n_pool").isNotNull()
     ahead = F.col("n_below") if ascending else F.col("n_pool") - F.col("n_below") - F.col("n_ties")
-    sizes = df.groupBy(*pool).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("__lb_size"))
-    out = lookup(among_ties, sizes, pool)
     place = F.when(present, ahead).otherwise(F.col("__lb_size")) + F.col("__lb_t") + 1
     return out.withColumn(rank, place.cast("long")).drop("n_ties", "n_below", "n_pool", "__lb_t", "__lb_size")
 

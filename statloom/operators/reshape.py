@@ -119,11 +119,12 @@ def competitive_swings(swings: DataFrame, batter: str = "batter", share: float =
     """Swings at or above the batter's own slow end, or fast enough with a hard-hit ball."""
     from statloom.operators.keys import lookup
     from statloom.operators.ranks import exact_quantiles
+    from statloom.session import cut
 
     tracked = swings.filter(F.col("bat_speed").isNotNull())
-    cut = exact_quantiles(tracked, "bat_speed", [batter], {"__cut": share}).drop("n")
+    slow = cut(exact_quantiles(tracked, "bat_speed", [batter], {"__cut": share}).drop("n"), "slow-swings")
     fast = (F.col("bat_speed") >= floor) & F.coalesce(F.col("launch_speed") >= hard, F.lit(False))
-    return lookup(tracked, cut, [batter]).filter((F.col("bat_speed") >= F.col("__cut")) | fast).drop("__cut")
+    return lookup(tracked, slow, [batter]).filter((F.col("bat_speed") >= F.col("__cut")) | fast).drop("__cut")
 
 
 def playable(status) -> Column:

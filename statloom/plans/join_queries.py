@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.functions import buckets, names
+from statloom.functions import names
 from statloom.functions.numeric import round_half_even
-from statloom.operators import appearances, entities, joins, ranks, rates, reshape
-from statloom.operators.keys import lookup, pick_first
+from statloom.operators import appearances, entities, joins, ranks, rates
+from statloom.operators.keys import lookup
 from statloom.plans.registry import half_even_sql, half_up_sql, query, r6, r6_sql, table
 from statloom.plans.value_queries import _suffix_key, _token_key
+from statloom.session import cut
 
 
 def _sources(spark, folder):
@@ -217,7 +218,7 @@ def with_baselines(p):
             "fb_velo": "release_speed", "fb_pfx_x": "pfx_x", "fb_pfx_z": "pfx_z", "fb_spin": "release_spin_rate",
             "fb_extension": "release_extension", "fb_vaa": "vaa", "fb_release_x": "release_pos_x", "fb_release_z": "release_pos_z",
             "fb_tunnel_x": "tunnel_x", "fb_tunnel_z": "tunnel_z", "fb_plate_x": "plate_x", "fb_plate_z": "plate_z"}.items()])
-    return attach_baselines(p, fb)
+    return attach_baselines(p, cut(fb, "baselines"))
 
 
 _TT = "((-vy0 - sqrt(vy0 * vy0 - 4 * (0.5 * ay) * (50e0 - (17e0 / 12e0 + 23e0)))) / (2 * (0.5 * ay)))"
@@ -242,7 +243,7 @@ SELECT line_key, {r6_sql('coalesce(arm_angle, u)')} AS arm_angle, {r6_sql('s')}
 def j16(spark, folder):
     p = table(spark, folder, "pitches")
     b = p.filter("pitcher % 4 <> 0").groupBy("pitcher").agg(F.avg("arm_angle").alias("arm_angle"), F.stddev_samp("arm_angle").alias("arm_angle_std"))
-    out = joins.with_arm_angles(p.select("line_key", "pitcher", "arm_angle"), b).drop("pitcher")
+    out = joins.with_arm_angles(p.select("line_key", "pitcher", "arm_angle"), cut(b, "arm-angles")).drop("pitcher")
     return r6(out, "arm_angle", "arm_angle_std", "arm_angle_dev")
 
 
@@ -263,7 +264,7 @@ def j17(spark, folder):
         {"x_slope": "slope_x", "x_intercept": "intercept_x", "z_slope": "slope_z", "z_intercept": "intercept_z"})
     drags = p.filter("pitch_type <> 'SL'").groupBy("pitch_type").agg(F.avg("ay").alias("intercept")).withColumns(
         {"slope_velo": F.lit(0.01), "slope_spin": F.lit(0.0001)})
-    out = joins.with_slot_and_drag(p, slots, drags).select("line_key", "pfx_x_dev_from_slot", "pfx_z_dev_from_slot", "ay_residual")
+    out = joins.with_slot_and_drag(p, cut(slots, "slots"), cut(drags, "drags")).select("line_key", "pfx_x_dev_from_slot", "pfx_z_dev_from_slot", "ay_residual")
     return r6(out, "pfx_x_dev_from_slot", "pfx_z_dev_from_slot", "ay_residual")
 
 
@@ -272,7 +273,7 @@ WITH m AS (SELECT pitch_type, avg(arm_angle) AS a FROM @pitches WHERE pitch_type
 def j19(spark, folder):
     p = table(spark, folder, "pitches").select("line_key", "pitch_type", "arm_angle")
     m = p.filter(F.col("pitch_type").isin("FF", "SL")).groupBy("pitch_type").agg(F.avg("arm_angle").alias("arm_angle"))
-    return r6(joins.prefer_group_mean(p, m, ["pitch_type"], "arm_angle").drop("pitch_type"), "arm_angle")
+    return r6(joins.prefer_group_mean(p, cut(m, "type-means"), ["pitch_type"], "arm_angle").drop("pitch_type"), "arm_angle")
 
 
 @query("j20_value_by_priority", f"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from statloom.functions import buckets
 from statloom.functions.numeric import round_half_even
 from statloom.operators import appearances, entities, keys, norms, ranks, rates, ratings, reshape
-from statloom.plans.registry import half_even_sql, half_up_sql, pct_rank_sql, query, r6, r6_sql, strict_sql, table
+from statloom.plans.registry import half_even_sql, pct_rank_sql, query, r6, r6_sql, strict_sql, table
+from statloom.session import cut
 
 
 @query("flagship_percentile_leaderboard", f"""
@@ -21,6 +22,7 @@ def flagship(spark, folder):
     g = p.groupBy("pitcher", "pitch_type").agg(
         F.count(F.lit(1)).alias("n"), round_half_even(F.avg("release_speed"), 3).alias("velo")
     ).filter(F.col("n") >= 10)
+    g = cut(g, "qualified")
     scored = ranks.add_strict_percentile(g, "velo", ["pitch_type"])
     return ranks.leaderboard(scored, "velo", ["pitch_type"], "pitcher", ascending=False)
 
@@ -101,7 +103,7 @@ def w7(spark, folder):
     p = table(spark, folder, "pitches").select(
         "line_key", F.when(F.col("season") % 2 == 0, "MLB").otherwise("AAA").alias("level"), "pitch_type",
         "stuff", "location", "tunnel")
-    n = norms.norm_table(p, ["stuff", "location", "tunnel"], "level", "pitch_type")
+    n = cut(norms.norm_table(p, ["stuff", "location", "tunnel"], "level", "pitch_type"), "norms")
     g = norms.component_grades(
         p, n, ["line_key"], {"stuff": "hybrid", "location": "per-type", "tunnel": "global"}, "level", "pitch_type")
     return r6(g, "grade").drop("value")
@@ -171,7 +173,7 @@ SELECT pitcher, pool, v, row_number() OVER (PARTITION BY pool ORDER BY v, pitche
 FROM t""")
 def w13(spark, folder):
     g = table(spark, folder, "feed").groupBy("pitcher").agg(round_half_even(F.avg("value"), 2).alias("v"))
-    g = g.withColumn("pool", F.col("pitcher") % 2)
+    g = cut(g.withColumn("pool", F.col("pitcher") % 2), "board")
     return r6(ranks.bar_length(ranks.leaderboard(g, "v", ["pool"], "pitcher"), "v", ["pool"]), "bar")
 
 

@@ -47,9 +47,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads a table over the cores before work that is heavy per row, when its scan has fewer splits.
+    """Spreads a scanned table over the cores before work that is heavy per row, when its scan has fewer splits.
 
-    A table of many files or row groups is left as it is.
+    A table of many files or row groups is left as it is, and so is one that a shuffle has spread already
+    (asking for its partitions would run the shuffle).
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -145,3 +145,20 @@ def test_partials_merge_in_any_order(spark):
     merged = appearances.merge_partials(d, ["p"], ["s", "n"], {"name": "name"}).first()
     again = appearances.merge_partials(d.orderBy(F.desc("chunk")), ["p"], ["s", "n"], {"name": "name"}).first()
     assert merged == again and (merged["s"], merged["n"], merged["name"]) == (10, 6, "z")
+
+
+def test_spread_leaves_shuffled_tables_alone(spark, df):
+    from statloom.session import spread
+
+    grouped = df.groupBy("g").count()
+    assert spread(grouped) is grouped
+    many = spark.range(0, 100, 1, 64)
+    assert spread(many) is many
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cut_keeps_schema_and_rows(df):
+    from statloom.session import cut
+
+    again = cut(df)
+    assert again.columns == df.columns and again.count() == df.count()

@@ -78,11 +78,17 @@ def outer_join_with_name_fallback(left: DataFrame, right: DataFrame, id_col: str
     matched = known_l.join(r, F.col(id_col) == F.col("__rid"), "inner")
     rest_l = left.join(known_r.select("__rid").distinct(), F.col(id_col) == F.col("__rid"), "left_anti")
     rest_r = r.join(known_l.select(id_col).distinct(), F.col("__rid") == F.col(id_col), "left_anti")
-    by_name = rest_l.withColumn("__lk", F.nullif(name_key(name_col), F.lit(""))).join(
-        rest_r.withColumn("__rk", F.nullif(name_key("__rname"), F.lit(""))),
-        (F.col("__lk") == F.col("__rk")) & (F.col(id_col).isNull() | F.col("__rid").isNull()),
-        "full",
-    ).drop("__lk", "__rk")
+    # a full join as left join plus anti join: unlike a full join, both can split a hot name, and missing names too
+    named_l = rest_l.withColumn("__lk", F.nullif(name_key(name_col), F.lit("")))
+    named_r = rest_r.withColumn("__rk", F.nullif(name_key("__rname"), F.lit("")))
+    left_rows = named_l.join(
+        named_r, (F.col("__lk") == F.col("__rk")) & (F.col(id_col).isNull() | F.col("__rid").isNull()), "left"
+    )
+    seen = named_l.select("__lk", F.col(id_col).isNull().alias("__open")).distinct()
+    right_only = named_r.join(
+        seen, (F.col("__rk") == F.col("__lk")) & (F.col("__rid").isNull() | F.col("__open")), "left_anti"
+    )
+    by_name = left_rows.drop("__lk", "__rk").unionByName(right_only.drop("__rk"), allowMissingColumns=True)
     both = matched.unionByName(by_name)
     return both.withColumns({
         id_col: F.coalesce(id_col, "__rid"), name_col: F.coalesce(name_col, "__rname"),

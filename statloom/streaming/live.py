@@ -107,7 +107,11 @@ def daily_then_rolling(stream: DataFrame, time: str, key: str, value: str, days:
 
 
 def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, delay: str, **aggregates: Column) -> DataFrame:
-    """ST5: sessions per key that end after a gap; a session is written once the watermark has passed it."""
+    """ST5: sessions per key that end after a gap; a session is written once the watermark has passed it.
+
+    Sessions are merged before the shuffle as well, so a busy key sends sessions, not events.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     agg = stream.withWatermark(time, delay).groupBy(*keys, F.session_window(time, gap).alias("session")).agg(
         *[a.alias(n) for n, a in aggregates.items()]
     )

@@ -146,7 +146,10 @@ def test_goalie_blend_and_seasons(spark):
 def test_game_files_are_compressed_json(spark, tmp_path):
     d = spark.createDataFrame([(5, 1, i, 0.1234567, 0.0, 0.0, 0.0) for i in range(20)],
                               "game_pk long, at_bat_number int, pitch_number int, xrv_final double, xrv_stuff double, xrv_location double, xrv_tunnel double")
+    # tiny partitions are merged at run time unless that is switched off; the spread itself is looked at here
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     path = sinks.write_game_grades(d, str(tmp_path / "games"), spread=4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = [f for f in os.listdir(f"{path}/game_pk=5") if f.endswith(".json.gz")]
     text = "".join(gzip.open(f"{path}/game_pk=5/{f}", "rt").read() for f in files)
     assert len(files) > 1 and text.count('"xRV":0.12346') == 20 and '"key":"5_0_3"' in text

@@ -47,6 +47,7 @@ LISTED = INLINE | VOID | OUTSIDE | ARTICLE | RAW | {
 }
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>?", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLOSE = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -62,29 +63,64 @@ def names_outside(attributes: str) -> str | None:
     return None
 
 
-def pieces(page: str):
-    """Yields (kind, feature, text): kind 't' tag, 'w' text; text of a tag is its block break ('' none, ' ' break of line, 'b' of block)."""
-    stack: list[tuple[str, str | None]] = []  # (element, why it is outside)
-    at, size = 0, len(page)
-    has_article = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+class Open:
+    """The open elements, with what is asked of them kept as it changes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str | None]] = []  # (element, why it is no part of an article)
+        self.names: Counter = Counter()
+        self.reasons: list[str] = []
+        self.blocks: list[str] = []
+
+    def push(self, name: str, why: str | None) -> None:
+        self.stack.append((name, why))
+        self.names[name] += 1
+        if why:
+            self.reasons.append(why)
+        if name not in INLINE and name in LISTED:
+            self.blocks.append(name)
 
-    def place() -> tuple[str, bool]:
-        why = next((w for _, w in stack if w), None)
+    def pop(self) -> str:
+        name, why = self.stack.pop()
+        self.names[name] -= 1
         if why:
-            return f"out:{why}", False
+            self.reasons.pop()
+        if name not in INLINE and name in LISTED:
+            self.blocks.pop()
+        return name
+
+    def rebuild(self, stack: list[tuple[str, str | None]]) -> None:
+        self.__init__()
+        for name, why in stack:
+            self.push(name, why)
+
+    @property
+    def in_article(self) -> bool:
+        return any(self.names[x] for x in ARTICLE)
+
+    def place(self, has_article: bool) -> tuple[str, bool]:
+        """Where a text stands, and whether it can be taken."""
+        if self.reasons:
+            return "skip" if self.in_article else f"out:{self.reasons[0]}", False
         if has_article:
-            return ("in:article", True) if any(e in ARTICLE for e, _ in stack) else ("in:rest", True)
-        return "in:" + next((e for e, _ in reversed(stack) if e not in INLINE and e in LISTED), "none"), True
+            return ("in:article" if self.in_article else "in:rest"), True
+        return f"in:{self.blocks[-1] if self.blocks else 'none'}", True
+
 
+def pieces(page: str):
+    """Yields (kind, feature, text): kind 't' tag, 'w' text, 'x' text that is never taken; text of a tag is the break it makes
+    ('' none, ' ' of the line, 'b' of the block)."""
+    open_ = Open()
+    at, size = 0, len(page)
+    has_article = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+    cut_off = re.search(r"<[!/a-zA-Z][^<>]*\Z", page[-4096:])  # a tag that the end cuts off
+    size -= len(cut_off.group()) if cut_off else 0
     while at < size:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, size)
         stop = m.start() if m else size
         if stop > at:
-            feature, counted = place()
-            text = entities.unescape(page[at:stop])
-            if stop == size and page.rfind("<", at) >= 0 and re.search(r"<[!/a-zA-Z][^<>]*\Z", page[at:]):
-                text = entities.unescape(page[at:page.rfind("<", at)])  # a tag that the end cuts off
-            yield "w" if counted else "x", feature, text
+            feature, counted = open_.place(has_article)
+            yield "w" if counted else "x", feature, entities.unescape(page[at:stop])
         if not m:
             return
         at = m.end()
@@ -92,35 +128,37 @@ def pieces(page: str):
         if not name:
             continue
         known = name if name in LISTED else "other"
+        if open_.reasons and open_.in_article:
+            known = "skip"  # an article's own boxes neither help nor part it
         if m.group(1):
-            if any(e == name for e, _ in stack):
-                while stack.pop()[0] != name:
+            if open_.names[name]:
+                while open_.pop() != name:
                     pass
-            yield "t", f"/{known}", "" if name in INLINE else "b"
+            yield "t", known if known == "skip" else f"/{known}", "" if name in INLINE else "b"
             continue
         if name == "body":
-            stack[:] = [x for x in stack if x[0] not in ("head", "title")]
-        inside = any(e in ARTICLE for e, _ in stack)
+            open_.rebuild([x for x in open_.stack if x[0] not in ("head", "title")])
+        inside = open_.in_article
         why = name if name in OUTSIDE and not (name == "header" and inside) else None
         found = names_outside(m.group(3) or "")
         if why is None and found and name not in ("html", "body") and not (inside and found == "header"):
             why = found
-        if name in ARTICLE:
-            if found not in ("comment", "comments"):
-                why = None
-                stack[:] = [(e, w if e in OUTSIDE else None) for e, w in stack]  # a wrapper named after its sidebar holds the article
+        if name in ARTICLE and found not in ("comment", "comments"):
+            why = None
+            if any(r not in OUTSIDE for r in open_.reasons):  # a wrapper named after its sidebar holds the article
+                open_.rebuild([(e, w if e in OUTSIDE else None) for e, w in open_.stack])
         yield "t", known, " " if name == "br" else "" if name in INLINE else "b"
         if name in VOID or (m.group(3) or "").endswith("/") and name not in RAW and name not in ARTICLE:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            close = _CLOSE[name].search(page, at)
             at = close.start() if close else size
-            if name == "title" or name == "textarea":
-                continue
             end = page.find(">", at)
             at = size if end < 0 else end + 1
             continue
-        stack.append((name, why))
+        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and open_.stack and open_.stack[-1][0] == name:
+            open_.pop()  # closed by the next of its kind
+        open_.push(name, why)
 
 
 def label_counts(pages: DataFrame) -> DataFrame:
@@ -157,7 +195,9 @@ def label_counts(pages: DataFrame) -> DataFrame:
     return part.groupBy("feature", "inside").agg(F.sum("n").alias("n"))
 
 
-PRIOR = {"in:article": 1.0, "in:rest": -1.0}
+PRIOR = {"in:article": 1.0, "in:rest": -1.0, "skip": 0.0}
+# Text that is never taken only parts regions: its words weigh little.
+APART = 0.1
 
 
 def learn_weights(counts: DataFrame) -> dict[str, float]:
@@ -169,7 +209,11 @@ def learn_weights(counts: DataFrame) -> dict[str, float]:
     weights = {}
     for feature in inside.keys() | outside.keys():
         odds = max(-3.0, min(3.0, math.log((inside[feature] + 1) / (outside[feature] + 1))))
-        if feature.startswith("out:") or feature == "in:rest":
+        if feature == "skip":
+            weights[feature] = 0.0
+        elif feature.startswith("out:"):
+            weights[feature] = APART * min(odds, -1.0)
+        elif feature == "in:rest":
             weights[feature] = min(odds, -1.0)
         elif feature.startswith("in:"):
             weights[feature] = max(odds, 0.5) if feature == "in:article" else odds
@@ -181,7 +225,9 @@ def learn_weights(counts: DataFrame) -> dict[str, float]:
 def weight(weights: dict[str, float], kind: str, feature: str) -> float:
     if feature in weights:
         return weights[feature]
-    return -0.05 if kind == "t" else PRIOR.get(feature, -1.0 if feature.startswith("out:") else 1.0)
+    if feature in PRIOR:
+        return PRIOR[feature]
+    return -0.05 if kind == "t" else -APART if feature.startswith("out:") else 1.0
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:

@@ -4,9 +4,9 @@ K-mers are runs of five words (a shorter text is one k-mer); a k-mer carries its
 takes the PICKED k-mers of smallest hash and keeps them in text order: texts share a sketch when they share those k-mers and their
 order, which follows edit similarity. SKETCHES sketches per text are the keys under which texts meet.
 
-Texts of equal words are one first; the rest works on distinct texts. In each bucket the smallest id is the leader, and
-every other member is compared with it: a star, never all pairs. Members that are not near their leader meet again under pairs
-(then triples) of sketches, with a new leader among them. Candidates are verified by a banded alignment of the labelled k-mers: the
+Texts of equal words are one first; the rest works on distinct texts. In each bucket the member that meets most others leads, and
+every other member is compared with it: a star, never all pairs. Members that are not near their leader, and not in its class by other
+links, meet again in buckets of two sketches, and there under up to ROUNDS - 1 leaders in turn. Candidates are verified by a banded alignment of the labelled k-mers: the
 longest common order-preserving run of them gives matched / (all k-mers of both - matched), which must reach 0.8. Outside the
 band (more unmatched k-mers than that similarity allows) nothing is aligned. Links become classes by hooking to the smallest label
 and shortcutting, in tables; a class is named after its smallest id.
@@ -33,7 +33,7 @@ K = 5
 PICKED = 5
 SKETCHES = 24
 SIMILARITY = 0.8
-ROUNDS = 3
+ROUNDS = 4
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,9 +134,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def stars(bands: DataFrame) -> DataFrame:
-    """(key, leader, rep): members of buckets of two and more with the bucket's smallest rep."""
-    leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    return bands.join(leaders, "key").filter("rep <> leader").select("key", "leader", "rep")
+    """(key, leader, rep): members of buckets of two and more with the bucket's leader: the member that meets most others in
+    all buckets, so that an original leads its copies; the smallest among equals."""
+    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = cut(bands.join(crowded, "key"), "crowded")
+    known = rows.groupBy("rep").agg(F.sum("n").alias("met"))
+    ranked = rows.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("best"))
+    leaders = ranked.select("key", (-F.col("best.back")).alias("leader"))
+    return rows.join(leaders, "key").filter("rep <> leader").select("key", "leader", "rep")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -190,19 +195,21 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) ->
         return lambda rep, want, text: [(rep, text)] if digest(words(text)) == want else []
 
     texts = cut(map_rows(raw.select("rep", "digest", "text"), make, "rep long, text string", many=True).dropDuplicates(["rep"]), "texts")
-    links = None
+    links = labels = None
     for n in range(rounds):
         tested = cut(verified(met.select("leader", "rep").distinct(), texts, least), "tested")
         good = tested.filter("near").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
         links = good if links is None else links.unionByName(good)
-        far = met.join(tested.filter("NOT near"), ["leader", "rep"]).select("key", "rep")
+        labels = components(links)
+        far = met.join(tested.filter("NOT near"), ["leader", "rep"]).select("key", "leader", "rep")
+        one, other = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("leader", "rep"))
+        far = far.join(one, "leader", "left").join(other, "rep", "left").filter("NOT (leader_label <=> rep_label) OR leader_label IS NULL")
+        far = cut(far.select("key", "rep"), "far")
         if n + 1 == rounds or far.isEmpty():
             break
-        crowded = far.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-        again = far.join(crowded, "key").join(reps.select("rep", "sketch"), "rep").select("key", "rep", F.posexplode("sketch").alias("place", "value"))
-        again = again.filter(F.xxhash64("place", "value") != F.col("key")).select(F.xxhash64("key", "place", "value").alias("key"), "rep")
-        met = cut(stars(again), "met")
-    labels = components(links)
+        if n == 0:  # who is near shares many sketches: from here on buckets are pairs of them
+            far = far.join(far.withColumnRenamed("key", "also"), "rep").filter("key < also").select(F.xxhash64("key", "also").alias("key"), "rep")
+        met = cut(stars(far), "met")
     named = labels.join(reps.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
     of = labels.join(named, "label").select(F.col("node").alias("rep"), "class_id")
     of = cut(reps.select("rep", "digest", "first_id").join(of, "rep", "left").select("digest", "first_id", F.coalesce("class_id", "first_id").alias("class_id")), "classes")

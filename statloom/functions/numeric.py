@@ -17,9 +17,12 @@ def round_half_even(c, digits: int = 0) -> Column:
 
 
 def round_half_up(c, digits: int = 0) -> Column:
-    """JavaScript-style rounding: halves go toward plus infinity."""
+    """JavaScript-style rounding: halves go toward plus infinity.
+
+    What lies within a millionth of a unit in the last place of a half counts as the half, so the order of additions does not show.
+    """
     k = float(10**digits)
-    return F.floor(as_col(c) * F.lit(k) + F.lit(0.5)) / F.lit(k)
+    return F.floor(F.rint(as_col(c) * F.lit(k) * F.lit(1e6)) / F.lit(1e6) + F.lit(0.5)) / F.lit(k)
 
 
 def safe_ratio(numerator, denominator) -> Column:

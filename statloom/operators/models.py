@@ -118,11 +118,14 @@ def score_complete(df: DataFrame, model: PipelineModel, features: list[str], out
     )
 
 
-def train_per_type(df: DataFrame, types: list[str], features: list[str], label: str, kind: str = "pitch_type",
+def train_per_type(df: DataFrame, types: list[str] | None, features: list[str], label: str, kind: str = "pitch_type",
                    categorical: list[str] = (), **tree) -> dict[str, PipelineModel]:
-    """One model per listed type, each trained on the rows of its type alone."""
+    """One model per type, each trained on the rows of its type alone; without a list, every type with whole rows has one."""
     pipe = regression_trees(features, label, categorical, **tree)
     whole = df.filter(all_present([*features, label]))
+    if types is None:
+        found = {r[0] for r in whole.select(kind).distinct().na.drop().collect()}  # a row per type
+        types = sorted(t for t in found if TYPE_ALIASES.get(t, t) == t)
     return {t: pipe.fit(whole.filter(F.col(kind) == t)) for t in types}
 
 

@@ -346,8 +346,13 @@ def blend_goalies(seasons: DataFrame, rates: list[str], totals: list[str], key:
     return out.filter(ok).drop("__recent", "__seasons", "__max")
 
 
-def blended_key(df: DataFrame, name: str = "name") -> DataFrame:
-    return df.withColumn("name_key", name_key(name, "ascii"))
+def blended_key(df: DataFrame, name: str = "name", aliases: dict[str, str] | None = None) -> DataFrame:
+    """Adds the normalised name, variants replaced by their spelling after normalising (the known aliases by default)."""
+    if aliases is None:
+        from statloom.operators.joins import NAME_ALIASES as aliases
+    key = name_key(name, "ascii")
+    pairs = [name_key(F.lit(x), "ascii") for pair in aliases.items() for x in pair]
+    return df.withColumn("name_key", F.coalesce(F.try_element_at(F.create_map(*pairs), key), key) if pairs else key)
 
 
 def blend_components(stuff: str, location: str, tunnel: str, weights: dict[str, float]) -> Column:

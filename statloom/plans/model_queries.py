@@ -84,7 +84,7 @@ def l7(spark, folder):
 @query("l9_location_models_by_type")
 def l9(spark, folder):
     data = cut(pitch_features(spark, folder).select("line_key", "pitch_type", "xrv", *models.LOCATION_FEATURES), "location")
-    fits = models.train_per_type(data, ["FF", "SL", "FS"], models.LOCATION_FEATURES, "xrv", categorical=["stand"], **SHORT)
+    fits = models.train_per_type(data, None, models.LOCATION_FEATURES, "xrv", categorical=["stand"], **SHORT)
     scored = models.score_per_type(data, fits, models.LOCATION_FEATURES, "xrv_location")
     return scored.groupBy("pitch_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("xrv_location") != 0).alias("scored"), F.round(F.avg("xrv_location"), 6).alias("mean"))

@@ -63,7 +63,7 @@ def strict_sql(v: str, part: str, lower_better: bool = False) -> str:
 
 
 def half_up_sql(expr: str, digits: int) -> str:
-    return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(floor(round_even(({expr}) * 1e{digits} * 1e6, 0) / 1e6 + 0.5) / 1e{digits})"
 
 
 def half_even_sql(expr: str, digits: int) -> str:

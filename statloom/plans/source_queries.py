@@ -55,7 +55,7 @@ def s3(spark, folder):
 
 
 @query("s4_payload_gate", """
-SELECT kind, count(*) AS n FROM (SELECT 'html' AS kind FROM pages UNION ALL SELECT CASE WHEN trim(text, E' \\t\\n') = '' THEN 'blank' WHEN lower(substr(text, 1, 500)) LIKE '%<table%' OR lower(ltrim(text, E' \\t\\n')) LIKE '<!%' OR lower(ltrim(text, E' \\t\\n')) LIKE '<html%' THEN 'html' ELSE 'csv' END FROM documents) GROUP BY kind""")
+SELECT kind, count(*) AS n FROM (SELECT 'html' AS kind FROM pages UNION ALL SELECT CASE WHEN trim(text, E' \\t\\n') = '' THEN 'blank' WHEN lower(text) LIKE '%<table%' OR lower(ltrim(text, E' \\t\\n')) LIKE '<!%' OR lower(ltrim(text, E' \\t\\n')) LIKE '<html%' THEN 'html' ELSE 'csv' END FROM documents) GROUP BY kind""")
 def s4(spark, folder):
     p = table(spark, folder, "pages").select(F.col("html").alias("payload"))
     d = table(spark, folder, "documents").select(F.col("text").alias("payload"))
@@ -63,7 +63,7 @@ def s4(spark, folder):
 
 
 @query("s4_usable_payloads", """
-SELECT doc_id FROM documents WHERE lower(substr(text, 1, 500)) NOT LIKE '%<table%' AND lower(ltrim(text)) NOT LIKE '<!%' AND lower(ltrim(text)) NOT LIKE '<html%' AND trim(text) <> ''""")
+SELECT doc_id FROM documents WHERE lower(text) NOT LIKE '%<table%' AND lower(ltrim(text)) NOT LIKE '<!%' AND lower(ltrim(text)) NOT LIKE '<html%' AND trim(text) <> ''""")
 def s4_usable(spark, folder):
     good, _ = tables.split_payloads(table(spark, folder, "documents"), "text")
     return good.select("doc_id")
@@ -107,10 +107,10 @@ SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderkey AS id, CAST(o_totalpri
 def s7(spark, folder):
     base = fresh_path(spark, "s7")
     o = table(spark, folder, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    years = list(range(1995, 2002))
+    years = sorted(r["y"] for r in o.select("y").distinct().na.drop().collect())  # a row per season
     for y in years:
         sinks.write_csv(o.filter(F.col("y") == y).drop("y"), f"{base}/{y}{tables.SEASON_FILE_TYPES['pp_indiv']}.csv")
-    got = tables.season_tables(spark, base, [1994, *years], {"pp_indiv": "id BIGINT, v DOUBLE", "qoc": "id BIGINT"})
+    got = tables.season_tables(spark, base, [min(years, default=0) - 1, *years], {"pp_indiv": "id BIGINT, v DOUBLE", "qoc": "id BIGINT"})
     assert got["qoc"] is None
     return got["pp_indiv"]
 
@@ -165,7 +165,7 @@ def a23(spark, folder):
 def _stat_struct(kind: str) -> str:
     if kind == "pitching":
         return ("named_struct('inningsPitched', concat(o_orderkey % 7, '.', o_orderkey % 3), 'hits', o_orderkey % 9, 'runs', o_orderkey % 5, 'earnedRuns', o_orderkey % 4, "
-                "'strikeOuts', o_orderkey % 10, 'baseOnBalls', o_orderkey % 3, 'hitBatsmen', NULL, 'homeRuns', o_orderkey % 2, 'battersFaced', 20 + o_orderkey % 9, 'pitchesThrown', o_orderkey % 2)")
+                "'strikeOuts', o_orderkey % 10, 'baseOnBalls', o_orderkey % 3, 'hitBatsmen', IF(o_orderkey % 4 = 0, 0, NULL), 'hitByPitch', IF(o_orderkey % 8 = 1, NULL, 0), 'homeRuns', o_orderkey % 2, 'battersFaced', 20 + o_orderkey % 9, 'pitchesThrown', o_orderkey % 2)")
     return ("named_struct('plateAppearances', 3 + o_orderkey % 3, 'atBats', 3, 'hits', 1 + o_orderkey % 2, 'doubles', o_orderkey % 2, 'triples', 0, 'homeRuns', 0, 'baseOnBalls', o_orderkey % 2, "
             "'hitByPitch', 0, 'sacFlies', 0)")
 
@@ -293,7 +293,8 @@ def s16(spark, folder):
 WITH r(chunk, a, b) AS (VALUES (1,'03-20','04-15'),(2,'04-16','04-30'),(3,'05-01','05-15'),(4,'05-16','05-31'),(5,'06-01','06-15'),(6,'06-16','06-30'),(7,'07-01','07-15'),(8,'07-16','07-31'),(9,'08-01','08-15'),(10,'08-16','08-31'),(11,'09-01','09-15'),(12,'09-16','10-02'))
 SELECT season, CAST(chunk AS INT) AS chunk, count(*) AS n FROM @pitches JOIN r ON strftime(game_date, '%m-%d') BETWEEN a AND b GROUP BY ALL""")
 def s16_fixed(spark, folder):
-    plan = tables.fixed_ranges(spark, list(range(1995, 2002)), "R").select(
-        "season", "chunk", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("game_date"))
     p = table(spark, folder, "pitches").select("season", "game_date")
+    seasons = sorted(r["season"] for r in p.select("season").distinct().na.drop().collect())  # a row per season
+    plan = tables.fixed_ranges(spark, seasons, "R").select(
+        "season", "chunk", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("game_date"))
     return p.join(plan, ["season", "game_date"]).groupBy("season", "chunk").agg(F.count(F.lit(1)).alias("n"))

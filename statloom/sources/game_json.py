@@ -33,7 +33,7 @@ _TEAM_SIDE = """STRUCT<team: STRUCT<id: BIGINT, abbreviation: STRING, teamName:
     position: STRUCT<abbreviation: STRING, type: STRING>,
     stats: STRUCT<
       pitching: STRUCT<inningsPitched: STRING, hits: INT, runs: INT, earnedRuns: INT, strikeOuts: INT, baseOnBalls: INT,
-                       hitBatsmen: INT, homeRuns: INT, battersFaced: INT, pitchesThrown: INT>,
+                       hitBatsmen: INT, hitByPitch: INT, homeRuns: INT, battersFaced: INT, pitchesThrown: INT>,
       batting: STRUCT<plateAppearances: INT, atBats: INT, hits: INT, doubles: INT, triples: INT, homeRuns: INT,
                       baseOnBalls: INT, hitByPitch: INT, sacFlies: INT>>>>>"""
 BOX_SCHEMA = f"teams STRUCT<away: {_TEAM_SIDE}, home: {_TEAM_SIDE}>"
@@ -181,7 +181,8 @@ def box_pitching(players: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("player_id").alias("pitcher"), innings_to_outs("pitching.inningsPitched").alias("outs"),
         *[F.coalesce(f"pitching.{s}", F.lit(0)).alias(n) for s, n in {
             "hits": "h", "runs": "runs", "earnedRuns": "er", "strikeOuts": "k", "baseOnBalls": "bb",
-            "hitBatsmen": "hbp", "homeRuns": "hr", "battersFaced": "bf"}.items()],
+            "homeRuns": "hr", "battersFaced": "bf"}.items()],
+        F.coalesce("pitching.hitBatsmen", "pitching.hitByPitch", F.lit(0)).alias("hbp"),
     )
 
 

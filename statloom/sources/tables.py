@@ -22,12 +22,12 @@ SEASON_FILE_TYPES = {
 
 
 def payload_kind(text) -> Column:
-    """blank, html or csv, from the head of a downloaded text."""
-    head = F.lower(F.substring(F.coalesce(as_col(text), F.lit("")), 1, 500))
-    body = F.trim(F.regexp_replace(head, "^[\\s\\ufeff]+", ""))
+    """blank, html or csv, from the whole of a downloaded text."""
+    whole = F.lower(F.coalesce(as_col(text), F.lit("")))
+    body = F.regexp_replace(whole, "^[\\s\\ufeff]+", "")
     return (
         F.when(body == "", "blank")
-        .when(body.startswith("<!") | body.startswith("<html") | head.contains("<table"), "html")
+        .when(body.startswith("<!") | body.startswith("<html") | whole.contains("<table"), "html")
         .otherwise("csv")
     )
 
@@ -39,9 +39,9 @@ def split_payloads(payloads: DataFrame, text: str) -> tuple[DataFrame, DataFrame
 
 
 def file_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its head, which is all the gate looks at."""
+    """One row per file with its whole text, for the gate."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode(F.substring("content", 1, 500), F.lit("UTF-8")).alias("head"))
+    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
 
 
 def leaderboard_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

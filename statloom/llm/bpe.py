@@ -20,7 +20,7 @@ import mmap
 import tempfile
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from statloom.llm.common import arrow_rows, count_in_tasks
 
 # The pattern that splits text before merging: a fixed value of this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FLOOR = 1e-5
-CACHE = 200_000
+FLOOR = 2e-6
+CACHE = 300_000
+# Words of up to so many bytes are merged without a heap.
+FEW = 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,6 +57,8 @@ class Vocabulary:
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (n, self.ids[raw(a + b)]) for n, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
+        # the same as whole numbers: both ids in the key, rank and made id in the value, so the smallest value is the next merge
+        self.packed = {a << 32 | b: n << 32 | made for (a, b), (n, made) in self.ranks.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self.bytes = [self.ids[bytes([b])] for b in range(256)]
@@ -78,8 +82,27 @@ class Vocabulary:
         if word.startswith("\0\0") and word[2:] in self.special:
             return (self.special[word[2:]],)
         ids = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
-        if len(ids) < 2:
-            return tuple(ids)
+        return tuple(ids) if len(ids) < 2 else self.merge_few(ids) if len(ids) <= FEW else self.merge_many(ids)
+
+    def merge_few(self, ids: list[int]) -> tuple[int, ...]:
+        """By looking through all pairs for each merge: the faster way for a word of usual length."""
+        packed, none = self.packed, 1 << 62
+        pairs = [packed.get(a << 32 | b, none) for a, b in pairwise(ids)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = packed.get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(pairs):
+                pairs[i] = packed.get(ids[i] << 32 | ids[i + 1], none)
+        return tuple(ids)
+
+    def merge_many(self, ids: list[int]) -> tuple[int, ...]:
+        """With a heap of pairs: for words of any length."""
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(*self.ranks[p], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.ranks]
@@ -217,17 +240,19 @@ class Encoder:
         self.vocabulary, self.transducer = vocabulary, Transducer(image)
         self.known: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, str] = {}
+        self.digits = [str(i) for i in range(max(vocabulary.tokens) + 1)]
         self.token = [vocabulary.tokens.get(i, b"") for i in range(max(vocabulary.tokens) + 1)]
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
             self.shown.clear()
-        new = list({w for t in texts for w in t} - self.known.keys())
+        digits = self.digits
+        new = list(set().union(*texts) - self.known.keys())
         for word, ids in zip(new, self.transducer.look_up([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
             ids = self.vocabulary.merge(word) if ids is None else ids
             self.known[word] = ids
-            self.shown[word] = ",".join(map(str, ids))
+            self.shown[word] = ",".join([digits[i] for i in ids])
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """(ids, the ids in decimal joined by commas) per text."""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.session import cut
+
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join in which null keys match each other; keys appear once, right columns follow.
@@ -25,10 +27,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Adds group aggregates to every row: partial aggregation first, then a join back.
 
-    An aggregate over a window would bring a whole group into one task.
+    An aggregate over a window would bring a whole group into one task. The statistics are written first, so their
+    size is known and rows do not move to meet a few of them.
     """
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-    return lookup(df, stats, keys)
+    return lookup(df, cut(stats, "group-stats"), keys)
 
 
 def with_table_stats(df: DataFrame, **aggregates: Column) -> DataFrame:

@@ -58,12 +58,11 @@ def l2(spark, folder):
 
 
 @query("l4_stratified_split_shares", """
-SELECT CAST(CASE WHEN description IN ('hit_into_play','foul') THEN 1 ELSE 0 END AS INT) AS made_contact, TRUE AS fifth, count(*) AS n FROM @pitches GROUP BY ALL""")
+SELECT CAST(CASE WHEN description IN ('hit_into_play','foul') THEN 1 ELSE 0 END AS INT) AS made_contact, (count(*) + 4) // 5 AS tested, count(*) AS n FROM @pitches GROUP BY ALL""")
 def l4(spark, folder):
     p = table(spark, folder, "pitches").select("line_key", buckets.is_contact("description").cast("int").alias("made_contact"))
-    s = models.stratified_split(p, "line_key", "made_contact").groupBy("made_contact").agg(
-        F.count_if("is_test").alias("t"), F.count(F.lit(1)).alias("n"))
-    return s.select("made_contact", (F.col("t") == F.ceil(F.col("n") / 5)).alias("fifth"), "n")
+    return models.stratified_split(p, "line_key", "made_contact").groupBy("made_contact").agg(
+        F.count_if("is_test").alias("tested"), F.count(F.lit(1)).alias("n"))
 
 
 def pitch_features(spark, folder):

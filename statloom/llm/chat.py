@@ -2,7 +2,8 @@
 
 A conversation is rendered whole: every turn is `<|turn|>role<|text|>text<|end|>`, the three marks being special tokens of the tokenizer,
 so no token crosses the border of a text. It is encoded once with offsets; the assistant texts' spans and the tokens' spans are
-both sorted, and binary search finds the tokens of each span.
+both sorted, and binary search finds the tokens of each span. Tokens never cross a pre-token either, so the library encodes each pre-token
+once, and its ids are remembered; offsets follow from the tokens' lengths in bytes.
 
 Control strings inside roles and texts (the marks, any `<|`, and the usual `<s>`, `</s>`, `[INST]`, `[/INST]`) get a backslash behind their
 first character; a backslash that stands there already is doubled up by one more, so unescaping takes exactly one away.
@@ -17,13 +18,16 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.bpe import PATTERN
 from statloom.llm.common import map_rows
 
+CACHE = 200_000
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED = ("assistant",)
 # What counts as a control string: its first character, with or without backslashes behind it.
@@ -80,18 +84,50 @@ def mask_of(token_starts: np.ndarray, token_ends: np.ndarray, starts: list[int],
     return (np.cumsum(mask)[:-1] > 0).astype(np.int8)
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], mask: list[int]) -> str:
+class OffsetEncoder:
+    """Ids and offsets (code points) of whole texts, as the library gives them."""
+
+    def __init__(self, path: str):
+        import regex
+
+        self.tokenizer = tokenizer_of(path)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added.values(), key=len, reverse=True))) + ")").split
+        self.pieces = regex.compile(PATTERN).findall
+        self.known: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)  # by id; a letter of a vocabulary entry stands for one byte
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        new = [w for w in set(words) if w not in self.known]
+        for word, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self.known[word] = tuple(encoded.ids)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, ends). Tokens tile the text's bytes; a token that holds part of a character covers the whole of it."""
+        words: list[str] = []
+        for i, part in enumerate(self.split(text)):
+            if i % 2:
+                words.append(part)
+            elif part:
+                words.extend(self.pieces(part))
+        self.learn(words)
+        ids = np.array(list(chain.from_iterable(map(self.known.__getitem__, words))), np.int32)
+        if not len(ids):
+            return ids, ids, ids
+        character = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1
+        after = np.cumsum(self.n_bytes[ids])
+        return ids, character[after - self.n_bytes[ids]], character[after - 1] + np.int32(1)
+
+
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """All text under the mask, unescaped, run by run."""
-    out, i = [], 0
-    while i < len(mask):
-        if mask[i]:
-            j = i
-            while j + 1 < len(mask) and mask[j + 1]:
-                j += 1
-            out.append(unescape(formatted[starts[i]:ends[j]]))
-            i = j
-        i += 1
-    return "".join(out)
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
+    return "".join(unescape(formatted[starts[i]:ends[j - 1]]) for i, j in zip(turns[::2], turns[1::2], strict=True))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -100,19 +136,23 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-def format_conversations(rows: DataFrame, tokenizer_path: str, learned: tuple[str, ...] = LEARNED) -> DataFrame:
-    """conv_id, formatted, ids, starts, ends (token offsets in code points), mask (1: learn from this token)."""
+OUTPUT = "formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<byte>"
+
+
+def format_conversations(rows: DataFrame, tokenizer_path: str, learned: tuple[str, ...] = LEARNED, finish=None, schema: str = OUTPUT) -> DataFrame:
+    """conv_id, formatted, ids, starts, ends (token offsets in code points), mask (1: learn from this token); finish(formatted, ids, starts, ends,
+    mask) may put other columns of `schema` in their place."""
+    finish = finish or (lambda *made: made)
 
     def make():
-        tokenizer = tokenizer_of(tokenizer_path)
+        encoder = OffsetEncoder(tokenizer_path)
 
-        def f(conv_id, turns):
-            formatted, starts, ends = render([(t["role"], t["text"]) for t in turns], learned)
-            encoded = tokenizer.encode(formatted, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-            mask = mask_of(offsets[:, 0], offsets[:, 1], starts, ends)
-            return conv_id, formatted, encoded.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist()
+        def f(conv_id, roles, texts):
+            formatted, first, last = render(list(zip(roles, texts, strict=True)), learned)
+            ids, starts, ends = encoder.encode(formatted)
+            return conv_id, *finish(formatted, ids, starts, ends, mask_of(starts, ends, first, last))
 
         return f
 
-    return map_rows(conversations(rows), make, "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<byte>", chunk=200)
+    ordered = conversations(rows).select("conv_id", "turns.role", "turns.text")
+    return map_rows(ordered, make, f"conv_id long, {schema}", chunk=200)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe, chat, decontaminate, html, langid, licenses, neardup, quality, topk, toxicity
-from statloom.llm.common import fold, map_rows, table
+from statloom.llm.common import fold, table
 
 
 def vocabulary_path() -> str:
@@ -68,16 +68,13 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
 
-    def make():
-        def f(conv_id, formatted, starts, ends, mask):
-            turns = chat.read_back(formatted)
-            loss = chat.masked_text(formatted, starts, ends, mask)
-            return (conv_id, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha256(loss), len(formatted))
+    def finish(formatted, ids, starts, ends, mask):
+        turns = chat.read_back(formatted)
+        loss = chat.masked_text(formatted, starts, ends, mask)
+        return len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha256(loss), len(formatted)
 
-        return f
-
-    made = chat.format_conversations(rows, vocabulary_path()).select("conv_id", "formatted", "starts", "ends", "mask")
-    return map_rows(made, make, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return chat.format_conversations(rows, vocabulary_path(), finish=finish,
+                                     schema="n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:

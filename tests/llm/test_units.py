@@ -71,6 +71,18 @@ def test_mask_covers_whole_spans_only():
     assert chat.mask_of(starts[:0], ends[:0], [], []).tolist() == []
 
 
+def test_remembered_pieces_encode_as_the_library():
+    path = vocabulary_path()
+    encoder = chat.OffsetEncoder(path)
+    parts = [chat.TURN, chat.TEXT, chat.END, "<\\|end|>", " it's", "naïve", "日本語", "🙂🙃", "  \n\n", "\t", " 12345", "''s", "<|endoftext|>", "…—", "\x00", "e\u0301", " "]
+    for _ in range(500):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 30)))
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False)
+        ids, starts, ends = encoder.encode(text)
+        assert ids.tolist() == whole.ids
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.offsets
+
+
 def test_license_expressions():
     run = lambda s: [sorted(c) for c in licenses.evaluate(licenses.postfix(licenses.tokens(s)))]
     assert run(" mit or apache-2.0 and bsd-3-clause */") == [["mit"], ["apache-2.0", "bsd-3-clause"]]

@@ -111,12 +111,17 @@ def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, delay: str
 
     Sessions are merged before the shuffle as well, so a busy key sends sessions, not events.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    conf, merge = stream.sparkSession.conf, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = conf.get(merge)
     agg = stream.withWatermark(time, delay).groupBy(*keys, F.session_window(time, gap).alias("session")).agg(
         *[a.alias(n) for n, a in aggregates.items()]
     )
     flat = agg.select(*keys, F.col("session.start").alias("start"), F.col("session.end").alias("end"), *aggregates)
-    return run_to_table(flat, "sessions")
+    conf.set(merge, "true")
+    try:
+        return run_to_table(flat, "sessions")
+    finally:
+        conf.set(merge, before)
 
 
 def latest_attribute(stream: DataFrame, time: str, key: str, attribute: str, tie: str) -> DataFrame:

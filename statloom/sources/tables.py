@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,17 +87,16 @@ def parquet_table(spark: SparkSession, path: str, required: list[str]) -> DataFr
 
 def season_files(spark: SparkSession, folder: str, years: list[int], suffix: str, schema: str) -> DataFrame | None:
     """`{year}{suffix}.csv` of the given years with a year column; absent files are skipped, none gives None."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = []
-    for y in years:
-        p = hadoop.Path(f"{folder}/{y}{suffix}.csv")
-        if p.getFileSystem(conf).exists(p):
-            paths.append(p.toString())
-    if not paths:
+    if not years:
+        return None
+    try:  # one glob for all years
+        found = spark.read.schema(schema).csv(f"{folder}/{{{','.join(map(str, years))}}}{suffix}.csv", header=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     year = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4})[^/]*\.csv(?:/|$)", 1).cast("int")
-    return spark.read.schema(schema).csv(paths, header=True).select("*", year.alias("year"))
+    return found.select("*", year.alias("year"))
 
 
 def season_tables(spark: SparkSession, folder: str, years: list[int], schemas: dict[str, str]) -> dict[str, DataFrame | None]:

@@ -5,13 +5,14 @@ takes the PICKED k-mers of smallest hash and keeps them in text order: texts sha
 order, which follows edit similarity. SKETCHES sketches per text are the keys under which texts meet.
 
 Texts of equal words are one first; the rest works on distinct texts. In each bucket the member that meets most others leads, and
-every other member is compared with it: a star, never all pairs. Members that are not near their leader, and not in its class by other
-links, meet again in buckets of two sketches, and there under up to ROUNDS - 1 leaders in turn. Candidates are verified by a banded alignment of the labelled k-mers: the
+every other member is compared with it: a star, never all pairs. A member that is not near its leader, and not in its class by other
+links, leaves its bucket unsettled: it is then compared with all members of unsettled buckets that are of another class, by an exact prefix
+filter on the labelled k-mers, so that no link between two texts of a bucket is lost. Candidates are verified by a banded alignment of the labelled k-mers: the
 longest common order-preserving run of them gives matched / (all k-mers of both - matched), which must reach 0.8. Outside the
 band (more unmatched k-mers than that similarity allows) nothing is aligned. Links become classes by hooking to the smallest label
 and shortcutting, in tables; a class is named after its smallest id.
 
-Every pair at similarity s is missed by all sketches with chance (1 - s**PICKED)**SKETCHES: 7e-5 at 0.8, 6e-10 at 0.9.
+Every pair of long texts at similarity s shares no sketch with chance (1 - s**PICKED)**SKETCHES: 7e-5 at 0.8, 6e-10 at 0.9.
 
 Defined cases: texts without words (null, empty, marks only) are in no group: each is its own class. Rows without id are left
 out of groups and get a null class. A repeated id: each row goes by its own text. Columns beyond doc_id and text are not read.
@@ -20,20 +21,21 @@ out of groups and get a null class. A repeated id: each row goes by its own text
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import map_rows, mix, words
+from statloom.llm.common import count_in_tasks, map_rows, mix, words
 from statloom.session import cut
 
 K = 5
 PICKED = 5
 SKETCHES = 24
 SIMILARITY = 0.8
-ROUNDS = 4
+CELLS = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +180,64 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often k-mers occur, by cells of their hashes: a table of fixed size that only puts the k-mers in order."""
+
+    def make():
+        known, cells = Hashes(), np.zeros(CELLS, np.int64)
+
+        def feed(text):
+            np.add.at(cells, (labelled_kmers(words(text), known) % np.uint64(CELLS)).astype(np.int64), 1)
+
+        def drain():
+            at = np.flatnonzero(cells)
+            return zip(at.tolist(), cells[at].tolist(), strict=True)
+
+        return feed, drain, lambda: 0
+
+    counted = count_in_tasks(texts.select("text"), make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    return out
+
+
+def candidates(pool: DataFrame, least: float) -> DataFrame:
+    """(leader, rep): all pairs of different labels, one of them asked, that can reach least. pool: rep, label, asked, text.
+
+    K-mers go in one order, seldom ones first; texts with a share of least have a common one among their first n - least * n + 1. Whoever
+    has i and j k-mers up to the last of c common ones there, has at most c and the fewer of both rests in common.
+    """
+    sent = pool.sparkSession.sparkContext.broadcast(frequencies(pool))
+
+    def make():
+        known = Hashes()
+
+        def f(rep, label, asked, text):
+            kmers = labelled_kmers(words(text), known)
+            n = len(kmers)
+            order = np.lexsort((kmers, sent.value[(kmers % np.uint64(CELLS)).astype(np.int64)]))
+            first = kmers[order[:n - math.ceil(least * n - 1e-9) + 1]].view(np.int64).tolist()
+            return [(rep, label, asked, n, i + 1, kmer) for i, kmer in enumerate(first)]
+
+        return f
+
+    found = cut(map_rows(pool.select("rep", "label", "asked", "text"), make,
+                         "rep long, label long, asked boolean, n int, place int, kmer long", many=True), "prefixes")
+    held = found.groupBy("kmer", "label").agg(F.max("asked").alias("asked"))
+    # a k-mer of one class only links nobody: the rows of a large class meet those of other classes, never each other
+    shared = held.groupBy("kmer").agg(F.count(F.lit(1)).alias("labels"), F.max("asked").alias("any")).filter("labels > 1 AND any").select("kmer")
+    held = cut(held.join(shared, "kmer", "left_semi"), "shared")
+    x, y = (held.select("kmer", F.col("label").alias(f"{c}_label"), F.col("asked").alias(f"{c}_any")) for c in "xy")
+    both = x.join(y, "kmer").filter("x_label < y_label AND (x_any OR y_any)").select("kmer", "x_label", "y_label")
+    x, y = (found.select("kmer", *(F.col(k).alias(f"{c}_{k}") for k in ("label", "rep", "asked", "n", "place"))) for c in "xy")
+    pairs = both.join(x, ["kmer", "x_label"]).join(y, ["kmer", "y_label"]).filter("x_asked OR y_asked")
+    pairs = pairs.filter(F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n") - 1e-9)
+    pairs = pairs.groupBy("x_rep", "y_rep", "x_n", "y_n").agg(F.count(F.lit(1)).alias("c"), F.max("x_place").alias("i"), F.max("y_place").alias("j"))
+    most = F.col("c") + F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j"))
+    return pairs.filter(most >= least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-9).select(F.col("x_rep").alias("leader"), F.col("y_rep").alias("rep"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id of its class), copy_id (smallest id among equal texts)."""
     sig = cut(signatures(docs), "signatures")
     known = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -195,21 +254,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) ->
         return lambda rep, want, text: [(rep, text)] if digest(words(text)) == want else []
 
     texts = cut(map_rows(raw.select("rep", "digest", "text"), make, "rep long, text string", many=True).dropDuplicates(["rep"]), "texts")
-    links = labels = None
-    for n in range(rounds):
-        tested = cut(verified(met.select("leader", "rep").distinct(), texts, least), "tested")
-        good = tested.filter("near").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-        far = met.join(tested.filter("NOT near"), ["leader", "rep"]).select("key", "leader", "rep")
-        one, other = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("leader", "rep"))
-        far = far.join(one, "leader", "left").join(other, "rep", "left").filter("NOT (leader_label <=> rep_label) OR leader_label IS NULL")
-        far = cut(far.select("key", "rep"), "far")
-        if n + 1 == rounds or far.isEmpty():
-            break
-        if n == 0:  # who is near shares many sketches: from here on buckets are pairs of them
-            far = far.join(far.withColumnRenamed("key", "also"), "rep").filter("key < also").select(F.xxhash64("key", "also").alias("key"), "rep")
-        met = cut(stars(far), "met")
+    tested = cut(verified(met.select("leader", "rep").distinct(), texts, least), "tested")
+    links = tested.filter("near").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
+    labels = components(links)
+    far = met.join(tested.filter("NOT near"), ["leader", "rep"]).select("key", "leader", "rep")
+    one, other = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("leader", "rep"))
+    far = far.join(one, "leader", "left").join(other, "rep", "left").filter("NOT (leader_label <=> rep_label) OR leader_label IS NULL")
+    far = cut(far.select("key", "rep"), "far")
+    unsettled = met.join(far.select("key").distinct(), "key", "left_semi")
+    pool = unsettled.select("rep").union(unsettled.select("leader")).withColumn("asked", F.lit(False)).union(far.select("rep", F.lit(True)))
+    pool = pool.groupBy("rep").agg(F.max("asked").alias("asked")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    pool = cut(pool.select("rep", F.coalesce("label", "rep").alias("label"), "asked").join(texts, "rep"), "pool")
+    if not pool.isEmpty():
+        more = cut(verified(cut(candidates(pool, least), "candidates"), texts, least).filter("near"), "more")
+        labels = components(links.unionByName(more.select(F.col("leader").alias("u"), F.col("rep").alias("v"))))
     named = labels.join(reps.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
     of = labels.join(named, "label").select(F.col("node").alias("rep"), "class_id")
     of = cut(reps.select("rep", "digest", "first_id").join(of, "rep", "left").select("digest", "first_id", F.coalesce("class_id", "first_id").alias("class_id")), "classes")

@@ -268,3 +268,16 @@ def test_pipeline_keeps_what_it_should(spark):
     empty_docs = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty_docs, FOLDER).count() == 0
+
+
+def test_near_duplicates_behind_a_leader(spark):
+    """a is near its leader, b is near a only: the leaders do not bring them together."""
+    texts = []
+    for x in "adfghjk":
+        own = [f"{x}{i}" for i in range(400)]
+        a = own[:-1] + [f"{x}last"]
+        b = a[:200] + [f"{x}v{i}" for i in range(40)] + a[240:]
+        hub = [own] + [[f"{x}first{i}", *own[1:]] for i in range(30)]
+        texts += [" ".join(w) for w in [*hub, a, b]]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i // 33 * 33 for i in range(len(texts))}

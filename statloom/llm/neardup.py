@@ -12,7 +12,9 @@ longest common order-preserving run of them gives matched / (all k-mers of both
 band (more unmatched k-mers than that similarity allows) nothing is aligned. Links become classes by hooking to the smallest label
 and shortcutting, in tables; a class is named after its smallest id.
 
-Every pair of long texts at similarity s shares no sketch with chance (1 - s**PICKED)**SKETCHES: 7e-5 at 0.8, 6e-10 at 0.9.
+A pair with u different k-mers, i of them common, shares no sketch with chance (1 - C(i, PICKED) / C(u, PICKED))**SKETCHES: at 0.8 from 1.1e-4 where
+the shorter text has SHORT k-mers to 7e-5 for the longest. Below SHORT k-mers sketches miss far more (always, where a text has fewer than
+PICKED), so all these go through the same prefix filter, and no pair of them is missed.
 
 Defined cases: texts without words (null, empty, marks only) are in no group: each is its own class. Rows without id are left
 out of groups and get a null class. A repeated id: each row goes by its own text. Columns beyond doc_id and text are not read.
@@ -35,7 +37,8 @@ K = 5
 PICKED = 5
 SKETCHES = 24
 SIMILARITY = 0.8
-CELLS = 1 << 20
+SHORT = 64
+CELLS = 1 << 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +122,7 @@ def digest(found: list[str]) -> str:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, sketch); digest is null for texts without words."""
+    """(doc_id, digest, n, sketch): n k-mers; digest is null for texts without words."""
 
     def make():
         known = Hashes()
@@ -127,12 +130,13 @@ def signatures(docs: DataFrame) -> DataFrame:
         def f(doc_id, text):
             found = words(text)
             if not found:
-                return doc_id, None, None
-            return doc_id, digest(found), sketches(labelled_kmers(found, known)).view(np.int64).tolist()
+                return doc_id, None, None, None
+            kmers = labelled_kmers(found, known)
+            return doc_id, digest(found), len(kmers), sketches(kmers).view(np.int64).tolist()
 
         return f
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest string, sketch array<long>")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest string, n int, sketch array<long>")
 
 
 def stars(bands: DataFrame) -> DataFrame:
@@ -195,9 +199,9 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
         return feed, drain, lambda: 0
 
-    counted = count_in_tasks(texts.select("text"), make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = count_in_tasks(texts.select("text"), make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
-    out[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
@@ -241,12 +245,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id of its class), copy_id (smallest id among equal texts)."""
     sig = cut(signatures(docs), "signatures")
     known = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min_by("sketch", "doc_id").alias("sketch"))
+    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch"))
                # a repeated id with several texts is told apart by the digest: nodes are hashes of both
                .withColumn("rep", F.xxhash64("first_id", "digest")), "reps")
     bands = reps.select("rep", F.posexplode("sketch").alias("place", "value")).select(F.xxhash64("place", "value").alias("key"), "rep")
     met = cut(stars(bands), "met")
-    asked = met.select("rep").union(met.select("leader")).distinct()
+    # who has fewer than SHORT k-mers is only near texts of up to SHORT / least; below the first bound only equal texts are near
+    short = reps.filter((F.col("n") >= least / (1 - least) - 1e-9) & (F.col("n") <= SHORT / least)).select("rep")
+    asked = met.select("rep").union(met.select("leader")).union(short).distinct()
     ids = cut(reps.join(asked, "rep", "left_semi").select("rep", F.col("first_id").alias("doc_id"), "digest"), "asked")
     raw = docs.select(F.col("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["rep", "text"])
 
@@ -262,7 +268,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     far = far.join(one, "leader", "left").join(other, "rep", "left").filter("NOT (leader_label <=> rep_label) OR leader_label IS NULL")
     far = cut(far.select("key", "rep"), "far")
     unsettled = met.join(far.select("key").distinct(), "key", "left_semi")
-    pool = unsettled.select("rep").union(unsettled.select("leader")).withColumn("asked", F.lit(False)).union(far.select("rep", F.lit(True)))
+    pool = unsettled.select("rep").union(unsettled.select("leader")).withColumn("asked", F.lit(False)).union(far.select("rep").union(short).withColumn("asked", F.lit(True)))
     pool = pool.groupBy("rep").agg(F.max("asked").alias("asked")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     pool = cut(pool.select("rep", F.coalesce("label", "rep").alias("label"), "asked").join(texts, "rep"), "pool")
     if not pool.isEmpty():

@@ -281,3 +281,13 @@ def test_near_duplicates_behind_a_leader(spark):
         texts += [" ".join(w) for w in [*hub, a, b]]
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i // 33 * 33 for i in range(len(texts))}
+
+
+def test_near_duplicates_of_few_words(spark):
+    texts = []
+    for n in (8, 9, 10, 13, 20, 40):
+        own = [f"t{n}x{i}" for i in range(n)]
+        texts += [" ".join(own), " ".join([*own, f"t{n}more"])]
+    texts += ["a b c", "a b c d", "a b c d e", "a b c d e f"]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i // 2 * 2 if i < 12 else i for i in range(len(texts))}

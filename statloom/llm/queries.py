@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, chat, decontaminate, html, langid, licenses, merkle, neardup, quality, topk, toxicity
+from statloom.llm import bpe, chat, decontaminate, html, jaccard, langid, licenses, merkle, neardup, quality, topk, toxicity
 from statloom.llm.common import fold, table
 
 
@@ -94,13 +94,17 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op12_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components(table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.proofs(table(spark, folder, "documents"))
 
 
 def queries():
     found = [op1_language_id, op2_exact_top_k, op3_order_minhash, op4_bpe_transducer, op5_winnowing, op6_toxicity, op7_chat_format, op8_license_scan, op9_quality,
-             op10_html_extraction, op13_merkle_manifest]
+             op10_html_extraction, op12_prefix_tree_join, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
@@ -173,5 +177,19 @@ def merkle_sql(levels: int = 9, top: int = 4) -> str:
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = h AS verified FROM g{top}, t{top}"""
 
 
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct([array_to_string(w[i:i + 2], ' ') for i in generate_series(1, greatest(len(w) - 2, 1))])) END AS s FROM w),
+named AS (SELECT min(doc_id) AS id, s FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+nodes AS (SELECT row_number() OVER () AS node, id, s FROM named),
+grams AS (SELECT node, len(s) AS n, unnest(s) AS g FROM nodes),
+links AS (SELECT a.node AS u, b.node AS v FROM grams a JOIN grams b ON a.g = b.g AND a.node <> b.node
+  WHERE 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT node AS u, node AS v FROM nodes UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+least AS (SELECT u, min(id) AS component_id FROM reach JOIN nodes ON reach.v = nodes.node GROUP BY u)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN sets.doc_id IS NOT NULL THEN coalesce(component_id, sets.doc_id) END AS component_id
+FROM sets LEFT JOIN nodes ON sets.s = nodes.s LEFT JOIN least ON nodes.node = least.u"""
+
+
 def oracle_sql():
-    return {"op2_exact_top_k": OP2_SQL, "op5_winnowing": OP5_SQL, "op13_merkle_manifest": merkle_sql()}
+    return {"op2_exact_top_k": OP2_SQL, "op5_winnowing": OP5_SQL, "op12_prefix_tree_join": OP12_SQL, "op13_merkle_manifest": merkle_sql()}

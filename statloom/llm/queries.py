@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, chat, decontaminate, html, jaccard, langid, licenses, merkle, neardup, quality, topk, toxicity
+from statloom.llm import bpe, chat, decontaminate, html, jaccard, langid, licenses, merkle, neardup, quality, topk, toxicity, whitening
 from statloom.llm.common import fold, table
 
 
@@ -94,6 +94,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")))
+
+
 def op12_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.components(table(spark, folder, "documents"))
 
@@ -104,7 +108,7 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries():
     found = [op1_language_id, op2_exact_top_k, op3_order_minhash, op4_bpe_transducer, op5_winnowing, op6_toxicity, op7_chat_format, op8_license_scan, op9_quality,
-             op10_html_extraction, op12_prefix_tree_join, op13_merkle_manifest]
+             op10_html_extraction, op11_whitening, op12_prefix_tree_join, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 

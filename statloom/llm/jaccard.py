@@ -6,20 +6,20 @@ sets are one set first. Two sets link when 100 * common >= percent * union; with
 
 Meeting. Sizes are in classes, wide enough that sets that link are in one class or in neighbouring ones. For a class that allows H differences the
 range of hashes is cut into H + 1 equal parts: two sets that link agree in one part at least, whatever is in it. So the hash of each part is a
-key, and sets of equal keys are a group; sets near the upper end of their class also have the keys of the next one. Parts of fewer
-than LEAST_PART hashes would bring strangers together; their keys are combined with those of a second cut by another hash, where the same holds.
-Sets that meet nobody leave here, which are nearly all of a corpus: they never move. Those that are left are cut into 2 (H + 1) parts, and a set
-with more than H parts that nobody else has cannot link either.
+key, and sets of equal keys are a group; sets near the upper end of their class also have the keys of the next one. Empty parts (and, of few
+parts, those of one hash) would bring strangers together; their keys are combined with those of a second cut by another hash, where the same holds.
+Sets that meet nobody leave here, which are nearly all of a corpus: their texts never move. Those that are left are cut into 2 (H + 1) parts, and a set
+with more than H parts that nobody else has cannot link either. Groups of the same sets are one group.
 
-Joining. A group becomes blocks, bounded by sets and by hashes. In a block the sets go into a prefix tree, whose common beginnings are
-compared once for all sets below. A set walks down the tree with its overlap so far; a subtree is left when the overlap and the fewer of both
-remaining lengths cannot reach what its sizes need, when its sets are in the walker's component already, or have walked before. Before
-that, sets with too many hashes that no other set of the block has are put aside.
+Joining. Sets that groups connect, directly or over others, are one block if they fit into it, bounded by sets and by hashes. In a block the sets go
+into a prefix tree, whose common beginnings are compared once for all sets below. A set walks down the tree with its overlap so far; a subtree is left
+when the overlap and the fewer of both remaining lengths cannot reach what its sizes need, when its sets are in the walker's component already,
+or have walked before. Before that, sets with too many hashes that no other set of the block has are put aside.
 
-Only components matter, so links within one are not asked for twice. First every set joins one block, of its largest group, where the set that
-meets most others is in every block of the group. Components of those links come next; then only groups with several components are left,
-and there every set that is not of the group's largest component meets all sets of the group, in all its blocks. So no two linked
-sets stay apart, and the work of large groups of one component does not grow with their square.
+Beyond a block the groups themselves are dealt to blocks, in two rounds. Only components matter, so links within one are not asked for twice. First every
+set joins one block, of its largest group, where the set that meets most others is in every block of the group. Components of those links come
+next; then only groups with several components are left, and there every set that is not of the group's largest component meets all sets of the group, in
+all its blocks. So no two linked sets stay apart, and the work of large groups of one component does not grow with their square.
 
 Defined cases: texts without words (null, empty, white space) have no set and are linked with nothing, their component is their id. Texts of fewer
 than SHINGLE words are one run. Rows without id are in no link and have no component, but their sets are counted. A repeated id goes by each
@@ -45,8 +45,8 @@ from statloom.session import cut
 
 SHINGLE = 3
 PERCENT = 90
-LEAST_PART = 2
-BLOCK_SETS = 2048
+FEW_PARTS = 32
+BLOCK_SETS = 1024
 BLOCK_HASHES = 1 << 20
 CACHE = 1 << 20
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -85,8 +85,8 @@ def set_id(hashes: np.ndarray) -> int:
 class Cuts:
     """Size classes and the keys of a set's parts."""
 
-    def __init__(self, percent: int = PERCENT, times: int = 1, least_part: int = LEAST_PART):
-        self.percent, self.times, self.least_part = percent, times, least_part
+    def __init__(self, percent: int = PERCENT, times: int = 1):
+        self.percent, self.times = percent, times
         self.bounds = [max(1, -(-percent // (100 - percent)) if percent < 100 else 2 ** 31)]  # a smaller set links with its equals only
         while self.bounds[-1] < 2 ** 31:
             b = self.bounds[-1]
@@ -109,7 +109,7 @@ class Cuts:
     def _parts(self, hashes: np.ndarray, label: int) -> np.ndarray:
         parts = self.times * (self.allowed(label) + 1)
         first, counts = self._cut(hashes, parts, label)
-        small = np.flatnonzero(counts < self.least_part)
+        small = np.flatnonzero(counts < (2 if parts <= FEW_PARTS else 1))
         if self.times > 1 or not len(small):
             return first
         second, _ = self._cut(np.sort(mix(hashes ^ _THREE)), parts, label)
@@ -281,6 +281,18 @@ def block_count(sets, hashes):
     return F.greatest(F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(hashes / F.lit(BLOCK_HASHES))).cast("int")
 
 
+def small_round(met: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links of the sets that are connected by groups and fit into a block together, met of the others)."""
+    leads = met.groupBy("key").agg(F.min("id").alias("lead"))
+    whole = connected_components(met.join(leads, "key").select("id", "lead"), "id", "lead").withColumnsRenamed({"node": "id", "label": "whole"})
+    sets = met.groupBy("id").agg(F.sum("n").alias("score"), F.first("size").alias("size")).join(whole, "id")
+    fit = sets.groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("hashes")).filter(
+        (F.col("sets") <= BLOCK_SETS) & (F.col("hashes") <= BLOCK_HASHES)).select("whole")
+    rows = cut(sets.join(fit, "whole", "left_semi").select(F.col("whole").alias("key"), F.lit(0).alias("block"), "id", "score"), "whole-blocks")
+    found = blocks(rows.withColumns({"label": F.col("id"), "walks": F.lit(True), "guest": F.lit(False)}).join(texts, "id"), percent)
+    return found, met.join(rows.select("id"), "id", "left_anti")
+
+
 def first_round(met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of every set in one block of its largest group. met: key, id, size, n; texts: id, text."""
     homes = cut(met.groupBy("id").agg(F.sum("n").alias("score"), F.max(F.struct("n", "key")).alias("home"), F.first("size").alias("size"))
@@ -326,11 +338,11 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return f
 
     rows = cut(map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make_first, "doc_id long, n long, id long, keys array<long>", chunk=500), "sets")
-    keyed = rows.select("id", F.col("n").alias("size"), F.explode("keys").alias("key"))
+    keyed = rows.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
     met = cut(keyed.join(shared, "key", "left_semi").distinct(), "met")
-    named = rows.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first_id"))
-    asked = cut(named.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id")), "asked")
+    named = rows.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("size"))
+    asked = cut(named.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "size"), "asked")
 
     def make_check():
         shingles = Shingles()
@@ -353,12 +365,18 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a set that is out in a class cannot link there; it is out when it is out in all its classes
     out = alone.groupBy("id", "class").agg(F.count(F.lit(1)).alias("c"), F.first("allowed").alias("allowed")).filter("c > allowed").groupBy("id").agg(F.count(F.lit(1)).alias("outs"))
     classes = texts.select("id").join(out, "id").join(fine.groupBy("id").agg(F.count(F.lit(1)).alias("classes")), "id").filter("outs >= classes").select("id")
-    met = met.join(classes, "id", "left_anti")
-    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(met.join(crowd, "key"), "close")
-    one = cut(first_round(met, texts, percent), "links")
-    two = cut(second_round(met, connected_components(one), texts, percent), "links")
-    labels = connected_components(one.unionByName(two))
+    met = cut(met.join(classes, "id", "left_anti"), "left")
+    sets = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(s).alias(f"of_{i}") for i, s in enumerate(sets)]).filter("n > 1")
+    crowd = crowd.groupBy("n", "of_0", "of_1").agg(F.min("key").alias("key")).select("key", "n")
+    met = cut(met.join(crowd, "key").join(asked.select("id", "size"), "id"), "close")
+    links, rest = small_round(met, texts, percent)
+    links, rest = cut(links, "links"), cut(rest, "rest")
+    if not rest.isEmpty():
+        one = cut(first_round(rest, texts, percent), "links")
+        two = cut(second_round(rest, connected_components(one), texts, percent), "links")
+        links = links.unionByName(one).unionByName(two)
+    labels = connected_components(links)
     whole = labels.join(named.withColumnRenamed("id", "node"), "node").groupBy("label").agg(F.min("first_id").alias("component"))
     of = labels.join(whole, "label").select(F.col("node").alias("id"), "component")
     of = cut(named.join(of, "id", "left").select("id", F.coalesce("component", "first_id").alias("component")), "components")

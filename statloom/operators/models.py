@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.numeric import all_present
 from statloom.operators.keys import lookup
 from statloom.operators.segments import row_index
+from statloom.session import cut, fresh_path
 
 # Model inputs.
 QUALITY_FEATURES = [
@@ -37,6 +42,16 @@ LOCATION_FEATURES = [
     "plate_x", "plate_z", "plate_x_adj", "zone_center_dist", "out_of_zone_dist", "in_zone",
     "pfx_x", "pfx_z", "release_speed", "stand", "same_side",
 ]
+STUFF_FEATURES = [
+    "release_speed", "pfx_x", "pfx_z", "release_spin_rate", "spin_axis", "release_extension", "release_pos_x", "release_pos_z",
+    "vaa", "haa", "total_movement", "spin_efficiency", "delta_velo", "delta_pfx_x", "delta_pfx_z", "delta_spin", "delta_extension",
+    "delta_vaa", "movement_separation", "release_diff_x", "release_diff_z", "release_distance", "pitch_type", "p_throws",
+]
+# The most trees of a model, and what a further tree must gain.
+MOST_TREES = 800
+TOLERANCE = 0.01
+# A missing number in a model that scores every row: below all real ones, so a split can set it apart.
+MISSING = -1e9
 TREE = {"maxDepth": 7, "stepSize": 0.03, "subsamplingRate": 0.8, "seed": 42}
 
 # Fixed value: pitch types scored by another type's model.
@@ -102,7 +117,7 @@ def importance_table(spark, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
 
 
-def score_complete(df: DataFrame, model: PipelineModel, features: list[str], out: str, default: float = 0.0) -> DataFrame:
+def score_complete(df: DataFrame, model: PipelineModel, features: list[str], out: str, default: float | None = 0.0) -> DataFrame:
     """Prediction for rows that have every feature, the default for the others; all columns of df are kept."""
     kept = df.columns
     whole = all_present(features)
@@ -118,40 +133,253 @@ def score_complete(df: DataFrame, model: PipelineModel, features: list[str], out
     )
 
 
+@dataclass
+class Trees:
+    """Boosted trees of one model with how they came to an end."""
+
+    model: PipelineModel
+    mean: float = 0.0
+    scale: float = 1.0
+    trees: int = 0
+    stopped: bool = False
+    rows: int = 0
+
+
+def filled(df: DataFrame, features: list[str], categorical: list[str] = ()) -> DataFrame:
+    """Missing numbers as MISSING, missing categories as empty text."""
+    return df.withColumns({f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in categorical else F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) for f in features})
+
+
+def fit_early(df: DataFrame, features: list[str], label: str, held: str = "is_test", categorical: list[str] = (),
+              most: int = MOST_TREES, tolerance: float = TOLERANCE, **tree) -> Trees | None:
+    """Regression trees that stop when a further tree takes less than `tolerance` of the error off the rows that `held` marks.
+
+    The label is fitted in units of its deviation, so that the tolerance means the same for every label. All rows with a label are used: those
+    that are held stop the fit, the others make the trees. Without rows of both kinds, or with one label value only, there is nothing to stop by: None.
+    """
+    known = df.filter(F.col(label).isNotNull()).select(*features, label, F.col(held).cast("boolean").alias("__held"))
+    m = known.agg(F.avg(label).alias("mean"), F.stddev_pop(label).alias("scale"), F.count(F.lit(1)).alias("n"), F.count_if("__held").alias("held")).first()
+    if not m["scale"] or m["scale"] != m["scale"] or not 0 < m["held"] < m["n"]:
+        return None
+    unit = known.withColumn("__y", (F.col(label) - F.lit(m["mean"])) / F.lit(m["scale"]))
+    pipe = regression_trees(features, "__y", categorical, maxIter=most, validationIndicatorCol="__held", validationTol=tolerance, **tree)
+    fit = pipe.fit(unit)
+    count = fit.stages[-1].getNumTrees
+    return Trees(fit, float(m["mean"]), float(m["scale"]), count, count < most, m["n"])
+
+
+def fit_probability_early(df: DataFrame, features: list[str], label: str, held: str = "is_test", categorical: list[str] = (),
+                          most: int = MOST_TREES, tolerance: float = TOLERANCE, scaled: bool = False, **tree) -> Trees:
+    """Classification trees with the same stop; the error is the log loss, which needs no units."""
+    known = df.filter(F.col(label).isNotNull()).withColumn("__held", F.col(held).cast("boolean"))
+    fit = classification_trees(features, label, categorical, scaled, maxIter=most, validationIndicatorCol="__held", validationTol=tolerance, **tree).fit(known)
+    count = fit.stages[-1].getNumTrees
+    return Trees(fit, trees=count, stopped=count < most)
+
+
+def predicted(df: DataFrame, fit: Trees, out: str, categorical: list[str] = (), features: list[str] | None = None) -> DataFrame:
+    """Prediction for every row, missing features or not; all columns of df are kept as they are."""
+    kept = df.columns
+    names = features or _inputs(fit.model, categorical)
+    stand = df.withColumns({f"__raw_{f}": F.col(f) for f in names})
+    scored = fit.model.transform(filled(stand, names, categorical))
+    return scored.select(*[(F.col(f"__raw_{c}").alias(c) if c in names else F.col(c)) for c in kept],
+                         (F.col("prediction") * fit.scale + fit.mean).cast("float").alias(out))
+
+
+def _inputs(model: PipelineModel, categorical) -> list[str]:
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    return [c.removesuffix("__i") if c.removesuffix("__i") in categorical else c for c in assembler.getInputCols()]
+
+
+def _at_once(jobs: list, width: int = 4) -> list:
+    """Runs several small fits side by side; each is a series of short Spark jobs that would leave cores idle."""
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
+def type_names(df: DataFrame, kind: str) -> list[str]:
+    """The types that have a model of their own: a row per type."""
+    found = {r[0] for r in df.select(kind).distinct().na.drop().collect()}
+    return sorted(t for t in found if TYPE_ALIASES.get(t, t) == t)
+
+
+def fit_per_type_early(df: DataFrame, features: list[str], label: str, kind: str = "pitch_type", held: str = "is_test", categorical: list[str] = (),
+                       types: list[str] | None = None, **options) -> dict[str, Trees]:
+    """One model per type from its whole rows. The rows are written by type, so a fit reads its own only."""
+    whole = df.filter(all_present([*features, label])).select(*dict.fromkeys([kind, held, *features]), label)
+    spark = df.sparkSession
+    path = fresh_path(spark, "by-type")
+    whole.withColumn("__kind", F.col(kind)).write.partitionBy("__kind").parquet(path)
+    stored = spark.read.schema(whole.schema.add("__kind", "string")).parquet(path)
+    names = types if types is not None else type_names(stored, "__kind")
+    jobs = [lambda t=t: fit_early(stored.filter(F.col("__kind") == t), features, label, held, categorical, **options) for t in names]
+    return {t: f for t, f in zip(names, _at_once(jobs), strict=True) if f}
+
+
 def train_per_type(df: DataFrame, types: list[str] | None, features: list[str], label: str, kind: str = "pitch_type",
                    categorical: list[str] = (), **tree) -> dict[str, PipelineModel]:
     """One model per type, each trained on the rows of its type alone; without a list, every type with whole rows has one."""
     pipe = regression_trees(features, label, categorical, **tree)
     whole = df.filter(all_present([*features, label]))
-    if types is None:
-        found = {r[0] for r in whole.select(kind).distinct().na.drop().collect()}  # a row per type
-        types = sorted(t for t in found if TYPE_ALIASES.get(t, t) == t)
-    return {t: pipe.fit(whole.filter(F.col(kind) == t)) for t in types}
+    names = type_names(whole, kind) if types is None else types
+    return dict(zip(names, _at_once([lambda t=t: pipe.fit(whole.filter(F.col(kind) == t)) for t in names]), strict=True))
 
 
-def score_per_type(df: DataFrame, models: dict[str, PipelineModel], features: list[str], out: str,
+def score_per_type(df: DataFrame, models: dict[str, PipelineModel | Trees], features: list[str], out: str,
                    kind: str = "pitch_type", default: float = 0.0) -> DataFrame:
     """Routes rows to their type's model; types without a model get the default."""
     routed = df.withColumn("__t", F.col(kind))
     for a, b in TYPE_ALIASES.items():
         routed = routed.withColumn("__t", F.when(F.col("__t") == a, b).otherwise(F.col("__t")))
-    parts = [
-        score_complete(routed.filter(F.col("__t") == t), m, features, out, default) for t, m in models.items()
-    ]
+    parts = []
+    for t, m in models.items():
+        trees = m if isinstance(m, Trees) else Trees(m)
+        part = score_complete(routed.filter(F.col("__t") == t), trees.model, features, out, None)
+        parts.append(part.withColumn(out, F.coalesce(F.col(out) * trees.scale + trees.mean, F.lit(default)).cast("float")))
     rest = routed.filter(F.col("__t").isNull() | ~F.col("__t").isin(*models)).withColumn(out, F.lit(default).cast("float"))
     return reduce(lambda a, b: a.unionByName(b), [*parts, rest]).drop("__t")
 
 
+@dataclass
+class Link:
+    """One model of a chain. per: a model per value of that column. whole_only: rows without every feature get 0; otherwise all rows are scored."""
+
+    name: str
+    features: list[str]
+    categorical: list[str] = field(default_factory=list)
+    per: str | None = None
+    whole_only: bool = True
+
+
+@dataclass
+class Chain:
+    links: list[Link]
+    fits: dict[str, dict[str, Trees]]  # link -> type ("" for one model) -> trees
+    weights: dict[str, float]
+    prefix: str = "xrv_"
+
+    def stops(self, spark: SparkSession) -> DataFrame:
+        """(component, type, rows, trees, stopped): how every fit of the chain came to an end."""
+        rows = [(link, kind, f.rows, f.trees, f.stopped) for link, fits in self.fits.items() for kind, f in fits.items()]
+        return spark.createDataFrame(rows, "component string, type string, rows long, trees int, stopped boolean")
+
+
+# The chain as published: stuff on the value, location per type on what stuff leaves, tunnel on what both leave.
+PITCH_CHAIN = [
+    Link("stuff", STUFF_FEATURES, ["pitch_type", "p_throws"], whole_only=False),
+    Link("location", LOCATION_FEATURES, ["stand"], per="pitch_type"),
+    Link("tunnel", TUNNEL_FEATURES, ["pitch_type", "p_throws"]),
+]
+
+
+def _link_score(df: DataFrame, link: Link, fits: dict[str, Trees], out: str) -> DataFrame:
+    if link.per:
+        return score_per_type(df, fits, link.features, out, link.per)
+    if not fits:
+        return df.withColumn(out, F.lit(0.0).cast("float"))
+    if not link.whole_only:
+        return predicted(df, fits[""], out, link.categorical, link.features)
+    scored = score_complete(df, fits[""].model, link.features, out, None)
+    return scored.withColumn(out, F.coalesce(F.col(out) * fits[""].scale + fits[""].mean, F.lit(0.0)).cast("float"))
+
+
+def score_chain(df: DataFrame, chain: Chain) -> DataFrame:
+    """df with a column per component and prefix + "final": weighted components plus intercept."""
+    for link in chain.links:
+        df = _link_score(df, link, chain.fits[link.name], f"{chain.prefix}{link.name}")
+    return df.withColumn(f"{chain.prefix}final", blended(chain.weights, chain.prefix))
+
+
+def blended(weights: dict[str, float], prefix: str = ""):
+    total = reduce(lambda a, b: a + b, [F.col(f"{prefix}{n}") * F.lit(w) for n, w in weights.items() if n != "intercept"])
+    return total + F.lit(weights["intercept"])
+
+
+def fit_chain(df: DataFrame, target: str, held: str = "is_test", links: list[Link] = PITCH_CHAIN, prefix: str = "xrv_", penalty: float = 0.0,
+              **options) -> tuple[Chain, DataFrame]:
+    """(chain, df with its scores). Every link is fitted to what the links before it leave of the target, on the rows that are not held; held rows
+    stop the fits and give the weights, for the links have not seen them. Scores are written after every link, which cuts the lineage."""
+    now = cut(df.withColumn("__rest", F.col(target).cast("double")), "chain")
+    fits = {}
+    for link in links:
+        out = f"{prefix}{link.name}"
+        if link.per:
+            fits[link.name] = fit_per_type_early(now, link.features, "__rest", link.per, held, link.categorical, **options)
+        else:
+            rows = now.filter(all_present(link.features)) if link.whole_only else filled(now, link.features, link.categorical)
+            one = fit_early(rows, link.features, "__rest", held, link.categorical, **options)
+            fits[link.name] = {"": one} if one else {}
+        scored = _link_score(now, link, fits[link.name], out)
+        now = cut(scored.withColumn("__rest", F.col("__rest") - F.col(out)), "chain")
+    names = [f"{prefix}{link.name}" for link in links]
+    found = fit_blend(now.filter(F.col(held)), names, target, penalty)
+    weights = {link.name: found[n] for link, n in zip(links, names, strict=True)} | {"intercept": found["intercept"]}
+    chain = Chain(list(links), fits, weights, prefix)
+    return chain, now.drop("__rest").withColumn(f"{prefix}final", blended(weights, prefix))
+
+
 def residual(df: DataFrame, target: str, prediction: str, out: str) -> DataFrame:
     """Target of the next model in a chain: what the previous prediction left unexplained."""
     return df.withColumn(out, F.col(target) - F.col(prediction))
 
 
+def blend_sums(components: list[str], target: str) -> dict:
+    """Sums of products of (1, components, target): all that a linear fit needs, one partial aggregation whatever the number of rows."""
+    terms = {"one": F.lit(1.0), **{c: F.col(c).cast("double") for c in components}, target: F.col(target).cast("double")}
+    names = list(terms)
+    return {(a, b): F.sum(terms[a] * terms[b]).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
+
+
 def fit_blend(df: DataFrame, components: list[str], target: str, penalty: float = 0.0) -> dict[str, float]:
-    """Weights and intercept of a linear blend of component predictions."""
-    vec = VectorAssembler(inputCols=components, outputCol="__f").transform(df.select(target, *components).na.drop())
-    fit = LinearRegression(featuresCol="__f", labelCol=target, regParam=penalty).fit(vec)
-    return {**dict(zip(components, map(float, fit.coefficients))), "intercept": float(fit.intercept)}
+    """Weights and intercept of a linear blend of component predictions, by the normal equations.
+
+    penalty: added to the weights' squares per row, not to the intercept. Rows without a component or target are left out. Components that
+    say the same share their weight (least norm); without rows all is 0.
+    """
+    sums = blend_sums(components, target)
+    row = df.select(target, *components).na.drop().agg(*sums.values()).first()
+    size = len(components) + 1
+    names = ["one", *components, target]
+    s = np.zeros((size + 1, size + 1))
+    for a, b in sums:
+        i, j = names.index(a), names.index(b)
+        s[i, j] = s[j, i] = row[f"s_{i}_{j}"] or 0.0
+    left = s[:size, :size] + penalty * s[0, 0] * np.diag([0.0] + [1.0] * len(components))
+    found = np.linalg.lstsq(left, s[:size, size], rcond=1e-12)[0]
+    return {**dict(zip(components, map(float, found[1:]), strict=True)), "intercept": float(found[0])}
+
+
+def regression_table(df: DataFrame, label: str, prediction: str, by: list[str] = ()) -> DataFrame:
+    """n, r2, r, rmse per group, from moments: one aggregation, nothing collected. Rows without both values are left out."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    whole = df.filter(y.isNotNull() & p.isNotNull())
+    out = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((y - p) * (y - p)).alias("__mse"), F.var_pop(y).alias("__var"), F.corr(y, p).alias("r"))
+    return out.select(*by, "n", F.when(F.col("__var") > 0, 1 - F.col("__mse") / F.col("__var")).alias("r2"), "r", F.sqrt("__mse").alias("rmse"))
+
+
+def auc_table(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+    """n, positives, auc per group: exact, by rank sums in which ties share their mean rank; null without both classes.
+
+    Equal scores are counted first and ranked as in operators.ranks, so no group is in one task.
+    """
+    from statloom.operators.ranks import average_rank, with_positions
+
+    pool = list(by) or ["__all"]
+    rows = df.select(*by, F.lit(0).alias("__all"), F.col(score).alias("__score"), F.col(label).cast("int").alias("__label")).filter(
+        F.col("__score").isNotNull() & F.col("__label").isNotNull())
+    placed = with_positions(rows, "__score", pool)
+    pos, n = F.sum("__label"), F.count(F.lit(1))
+    area = (F.sum(F.when(F.col("__label") == 1, average_rank())) - pos * (pos + 1) / 2) / (pos * (n - pos))
+    return placed.groupBy(*pool).agg(n.alias("n"), pos.alias("positives"), F.when((pos > 0) & (pos < n), area).alias("auc")).drop("__all")
+
+
+def scaler_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """(feature, mean, deviation) of a pipeline's scaler: as many rows as the model has inputs."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    scaler = next(s for s in model.stages if isinstance(s, StandardScalerModel))
+    rows = list(zip(assembler.getInputCols(), map(float, scaler.mean), map(float, scaler.std), strict=True))
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double")
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from statloom.functions.numeric import round_half_even
@@ -72,6 +74,17 @@ def st5(spark, folder):
     return local_times(live.sessions(e, "ts", ["user_id"], "6 hours", "1 hour", n=F.count(F.lit(1))))
 
 
+@query("st5_open_and_closed_sessions", """
+WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+ r AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS n, round_even(sum(value) * 100, 0) / 100 + 0.0 AS total FROM s GROUP BY user_id, sid)
+SELECT user_id, start, "end", n, total, "end" > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) AS open FROM r""")
+def st5_live(spark, folder):
+    """Every session; the last ones are still open."""
+    e = live.stream_table(spark, folder, "events.parquet")
+    return r6(local_times(live.live_sessions(e, "ts", ["user_id"], timedelta(hours=6), "1 hour", {"total": F.col("value")})), "total", digits=2)
+
+
 @query("st6_latest_attribute", """
 SELECT user_id, arg_max(event_type, event_id) AS latest, max(ts) AS updated FROM events GROUP BY user_id""")
 def st6(spark, folder):

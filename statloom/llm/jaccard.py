@@ -340,7 +340,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = cut(map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make_first, "doc_id long, n long, id long, keys array<long>", chunk=500), "sets")
     keyed = rows.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
-    met = cut(keyed.join(shared, "key", "left_semi").distinct(), "met")
+    # what is shared and asked for grows with the input: these joins never broadcast, so the plan is the same at every size
+    met = cut(keyed.join(shared.hint("merge"), "key", "left_semi").distinct(), "met")
     named = rows.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("size"))
     asked = cut(named.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "size"), "asked")
 
@@ -348,7 +349,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shingles = Shingles()
         return lambda who, text: [(who, text)] if set_id(shingles(text)) == who else []
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").select("id", "text")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("merge"), "doc_id").select("id", "text")
     texts = cut(map_rows(raw, make_check, "id long, text string", many=True, chunk=200).dropDuplicates(["id"]), "texts")
 
     def make_fine():

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.names import name_key
+from statloom.operators.components import connected_components
 from statloom.operators.keys import lookup, pick_first
+from statloom.session import cut
 
 
 def dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,12 +35,30 @@ def entity_keys(df: DataFrame, id_col: str, name_col: str, ordinal: str, by_name
     return out.withColumn("entity", entity).drop("__k", "__id")
 
 
-def consolidate(df: DataFrame, id_col: str, name_col: str, ordinal: str, by_name: bool = False) -> DataFrame:
+def entity_chains(df: DataFrame, id_col: str, name_col: str, ordinal: str) -> DataFrame:
+    """Adds `entity`: rows of one id or of one normalized name are one entity, and so on along chains of both.
+
+    An entity is named after the smallest of its ids as text, without any after the smallest name; a row with neither is one of its own. Ids and names are
+    counted as pairs first, so an id or a name with very many rows is one link.
+    """
+    given = F.col(id_col).cast("string")
+    keyed = df.withColumns({"__i": F.when(given.isNotNull(), F.concat(F.lit("id:"), given)), "__k": F.nullif(name_key(name_col), F.lit(""))})
+    keyed = keyed.withColumn("__k", F.when(F.col("__k").isNotNull(), F.concat(F.lit("name:"), F.col("__k"))))
+    pairs = keyed.select("__i", "__k").distinct()
+    of = cut(connected_components(pairs, "__i", "__k").select(F.col("node").alias("__node"), "label"), "entities")
+    node = F.coalesce("__i", "__k")
+    out = lookup(keyed.withColumn("__node", node), of, ["__node"])
+    own = F.concat(F.lit("row:"), F.col(ordinal).cast("string"))
+    return out.withColumn("entity", F.coalesce("label", "__node", own)).drop("__i", "__k", "__node", "label")
+
+
+def consolidate(df: DataFrame, id_col: str, name_col: str, ordinal: str, by_name: bool = False, chains: bool = False) -> DataFrame:
     """One row per entity: per column the first value that is not null in row order.
 
-    The name is the last one in row order that carries accents or capitals or is longer than the first.
+    The name is the last one in row order that carries accents or capitals or is longer than the first. chains: an id with several names and a
+    name with several ids make one entity of all of them; by_name: as published, a name goes to the id seen first under it.
     """
-    keyed = entity_keys(df, id_col, name_col, ordinal, by_name)
+    keyed = entity_chains(df, id_col, name_col, ordinal) if chains else entity_keys(df, id_col, name_col, ordinal, by_name)
     columns = [c for c in df.columns if c not in (name_col, ordinal)]
     first = [
         F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ordinal))).alias(c) for c in columns

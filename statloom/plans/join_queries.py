@@ -356,6 +356,25 @@ def _entity_rows(spark, folder):
         F.when(i % 2 == 0, F.col("c_acctbal")).alias("v"))
 
 
+@query("a31_entity_chains", """
+WITH RECURSIVE d AS (SELECT c_custkey AS o, CASE WHEN c_custkey % 3 <> 0 THEN 'id:' || CAST(c_custkey % 500 AS VARCHAR) END AS i, CASE WHEN c_custkey % 11 <> 0 THEN 'name:jose r' || CAST(c_custkey % 700 AS VARCHAR) END AS k,
+  CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS v FROM customer),
+ l AS (SELECT DISTINCT i, k FROM d WHERE i IS NOT NULL AND k IS NOT NULL), e AS (SELECT i AS a, k AS b FROM l UNION SELECT k, i FROM l),
+ r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+ c AS (SELECT node, min(other) AS label FROM r GROUP BY node)
+SELECT coalesce(label, coalesce(i, k), 'row:' || CAST(o AS VARCHAR)) AS entity, count(*) AS n_rows, min(o) AS ordinal, arg_min(v, o) FILTER (WHERE v IS NOT NULL) AS v, count(DISTINCT i) AS ids
+FROM d LEFT JOIN c ON c.node = coalesce(i, k) GROUP BY 1""")
+def a31_chains(spark, folder):
+    """Ids with two names, names with several ids."""
+    i = F.col("c_custkey")
+    rows = table(spark, folder, "customer").select(
+        i.alias("ordinal"), F.when(i % 3 != 0, i % 500).alias("player_id"),
+        F.when(i % 11 != 0, F.concat(F.when(i % 7 == 0, "JOSÉ").otherwise("jose"), F.lit(" r"), i % 700)).alias("name"), F.when(i % 2 == 0, F.col("c_acctbal")).alias("v"))
+    whole = entities.consolidate(rows, "player_id", "name", "ordinal", chains=True).select("entity", "n_rows", "ordinal", "v")
+    ids = entities.entity_chains(rows, "player_id", "name", "ordinal").groupBy("entity").agg(F.count_distinct("player_id").alias("ids"))
+    return whole.join(ids, "entity")
+
+
 @query("a32_category_consolidation", f"""WITH {_ENT}, l AS (SELECT nk AS name_key, o, concat('cat', o % 3) AS category, v FROM e)
 SELECT name_key, category, v FROM (SELECT *, row_number() OVER (PARTITION BY name_key, category ORDER BY v IS NULL, o) AS rn FROM l) WHERE rn = 1""")
 def a32(spark, folder):

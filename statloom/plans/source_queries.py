@@ -96,6 +96,23 @@ def s5_tables(spark, folder):
     return got
 
 
+@query("s5_nested_tables", """
+SELECT c_nationkey, c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('home ', c_mktsegment, ' acct ', CAST(c_acctbal AS VARCHAR)) ELSE c_mktsegment END AS contact FROM customer""")
+def s5_nested(spark, folder):
+    """Cells that hold a table of their own, rows without end tags, a comment and a script with tags in them, and a larger table inside a smaller one."""
+    c = table(spark, folder, "customer").withColumn("part", F.floor(F.col("c_custkey") / 500))
+    inner = F.concat(F.lit("<table><tr><th>home</th><td>"), "c_mktsegment", F.lit("</td></tr><tr><td>acct</td><td>"), F.col("c_acctbal").cast("string"), F.lit("</td></tr></table>"))
+    cell = F.when(F.col("c_custkey") % 3 == 0, inner).otherwise(F.col("c_mktsegment"))
+    end = F.when(F.col("c_custkey") % 2 == 0, "</td></tr>").otherwise("")
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td><b>"), "c_name", F.lit("</b><td>"), cell, end, F.lit("<!-- <tr><td>no</td></tr> -->"))
+    pages = c.groupBy("c_nationkey", "part").agg(F.array_join(F.collect_list(row), "").alias("body"))
+    html = F.concat(F.lit("<html><script>'<table>'</script><table class='lay'><tr><td>menu</td></tr><tr><td>about<td><TABLE id=t><tr><th>Id</th><th>Name</th><th>Contact</th></tr>"),
+                    "body", F.lit("</TABLE></td></tr></table></html>"))
+    records = html_tables.table_records(pages.select("c_nationkey", "part", html.alias("html")), ["c_nationkey", "part"], "html")
+    r = F.col("record")
+    return records.select("c_nationkey", r["Id"].cast("bigint").alias("id"), r["Name"].alias("name"), r["Contact"].alias("contact"))
+
+
 @query("s6_required_columns", "SELECT count(*) AS n, count(DISTINCT l_suppkey) AS pitchers FROM lineitem")
 def s6(spark, folder):
     t = tables.parquet_table(spark, f"{folder}/lineitem.parquet", ["l_orderkey", "l_suppkey"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,7 @@ def leaderboard_csv(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE").na.drop("all")
 
 
-def text_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def text_columns(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """CSV with every column as text, headers cleaned."""
     return clean_headers(spark.read.csv(path, header=True, inferSchema=False, encoding=encoding))
 
@@ -58,14 +59,16 @@ def text_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 def csv_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
     """UTF-8 tables as such, others as Latin-1: a file with bytes that are no UTF-8 counts as Latin-1.
 
-    The check is one distributed pass that returns one flag per path.
+    One scan of all files gives a row per file, its first line and whether its bytes are UTF-8; then files of one encoding and one header are read
+    together. So the number of scans goes with the kinds of files, not with the files. Columns that a file lacks are null.
     """
-    flags = []
-    for p in paths:
-        lines = spark.read.text(p)
-        flags.append(lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad")).select(F.lit(p).alias("p"), "bad"))
-    bad = {r["p"] for r in reduce(lambda a, b: a.unionByName(b), flags).collect() if r["bad"]}
-    frames = [text_columns(spark, p, "ISO-8859-1" if p in bad else "UTF-8") for p in paths]
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                                          F.monotonically_increasing_id().alias("at"))
+    found = lines.groupBy("path").agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.min_by(F.col("value").cast("binary"), F.struct("start", "at")).alias("head"))
+    kinds: dict[tuple, list[str]] = {}
+    for r in found.orderBy("path").collect():  # a row per file, as many as the driver lists anyway
+        kinds.setdefault((r["bad"], bytes(r["head"])), []).append(unquote(r["path"]))
+    frames = [text_columns(spark, group, "ISO-8859-1" if bad else "UTF-8") for (bad, _), group in kinds.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

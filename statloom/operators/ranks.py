@@ -1,9 +1,8 @@
 """Ranks, percentiles and exact quantiles within pools of any size.
 
 Equal values are counted first, so a value shared by many rows is one row in what follows. The
-counts are written once to the shared folder, for they are read several times. Pools larger than a
-limit are cut into ordered segments (operators.segments). No task ever holds
-a whole pool.
+counts are dealt by ranges of (pool, value) and written once (operators.segments); a value's place in its part and the sums of
+earlier parts give its place in the pool. No task ever holds a whole pool, and the plan is the same for every size.
 """
 
 from __future__ import annotations
@@ -14,28 +13,27 @@ from pyspark.sql import functions as F
 from statloom.functions import as_col
 from statloom.functions.numeric import round_half_even
 from statloom.operators.keys import lookup
-from statloom.operators.segments import SEG, add_earlier_segments, row_index, with_segments
+from statloom.operators.segments import PART, add_earlier_parts, deal, row_index
 from statloom.session import cut
 
 
 def value_counts(df: DataFrame, value: str, pool: list[str]) -> DataFrame:
-    """(pool, value, n_ties) of the values that are not null or NaN, written once."""
+    """(pool, value, n_ties, part) of the values that are not null or NaN, written once in ranges of pool and value."""
     present = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
         present = present & ~F.isnan(value)
-    return cut(df.filter(present).groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties")), "value-counts")
+    return deal(df.filter(present).groupBy(*pool, value).agg(F.count(F.lit(1)).alias("n_ties")), pool, [value], "value-counts")
 
 
-def place_counts(counts: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
+def place_counts(counts: DataFrame, value: str, pool: list[str]) -> DataFrame:
     """(pool, value, n_ties, n_below, n_pool) from counted values."""
-    seg, cut_any = with_segments(counts, pool, value, limit)
-    part = Window.partitionBy(*pool, SEG)
+    part = Window.partitionBy(*pool, PART)
     before = part.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = seg.withColumns({
+    local = counts.withColumns({
         "__vp_b": F.coalesce(F.sum("n_ties").over(before), F.lit(0)),
         "__vp_n": F.sum("n_ties").over(part),
     })
-    placed = add_earlier_segments(local, seg, pool, cut_any, __vp_e=F.sum("n_ties"))
+    placed = add_earlier_parts(local, counts, pool, __vp_e=F.sum("n_ties"))
     return placed.select(
         *pool,
         value,
@@ -45,16 +43,16 @@ def place_counts(counts: DataFrame, value: str, pool: list[str], limit: int | No
     )
 
 
-def value_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None) -> DataFrame:
+def value_positions(df: DataFrame, value: str, pool: list[str]) -> DataFrame:
     """(pool, value, n_ties, n_below, n_pool) for every distinct value that is not null or NaN."""
-    return place_counts(value_counts(df, value, pool), value, pool, limit)
+    return place_counts(value_counts(df, value, pool), value, pool)
 
 
-def with_positions(df: DataFrame, value: str, pool: list[str], limit: int | None = None, size: str | None = None) -> DataFrame:
+def with_positions(df: DataFrame, value: str, pool: list[str], size: str | None = None) -> DataFrame:
     """Rows with n_ties, n_below and n_pool of their value, null where the value is missing; and, if named,
     the number of values in the pool on every row."""
     counts = value_counts(df, value, pool)
-    out = lookup(df, place_counts(counts, value, pool, limit), [*pool, value])
+    out = lookup(df, place_counts(counts, value, pool), [*pool, value])
     if size:
         sizes = cut(counts.groupBy(*pool).agg(F.sum("n_ties").alias(size)), "pool-sizes")
         out = lookup(out, sizes, pool).withColumn(size, F.coalesce(size, F.lit(0)))

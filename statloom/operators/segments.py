@@ -1,9 +1,9 @@
 """Ordered work inside a key without bringing the whole key into one task.
 
-A key with more rows than a limit is cut into ordered segments at approximate quantiles of its
-first order column. Window functions then run per (key, segment), and what earlier segments
-contribute is added from a table with one row per segment. The cut points only balance the work;
-the results do not depend on them. Keys below the limit stay whole (segment 0).
+Rows are dealt by ranges of (key, order) and written once with the number of their range, their part. Window functions then run per
+(key, part), and what earlier parts of the key contribute is added from a table with one row per key and part, of the keys that are in several.
+Ranges are about equal in rows whatever the keys, so a key with a third of all rows is in a third of the parts; how the cuts fall does not
+show in the results. The plan is the same for every size and every skew; only rows that are equal in the key and all order columns stay together.
 """
 
 from __future__ import annotations
@@ -12,107 +12,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.operators.keys import lookup
-from statloom.session import cut, rows_per_segment
+from statloom.session import cut
 
-MAX_SEGMENTS = 1024
-SEG = "__seg"
+PART = "__part"
 
 
-def order_position(df: DataFrame, order_col: str) -> Column:
-    is_time = dict(df.dtypes)[order_col] in ("date", "timestamp", "timestamp_ntz")
-    return (F.unix_micros(F.col(order_col).cast("timestamp")) if is_time else F.col(order_col)).cast("double")
+def deal(df: DataFrame, keys: list[str], order: list[str], name: str = "parts") -> DataFrame:
+    """Rows with their part, written in ranges of keys and order."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()), name)
 
 
-def with_segments(df: DataFrame, keys: list[str], order_col: str, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """(table with its segment number, whether any key was cut).
-
-    The number is 0 for whole keys and 1..MAX_SEGMENTS for cut ones. order_col is numeric, date or time.
-    One counting pass over the keys finds the ones to cut; without any, the plan stays a plain window.
-    """
-    if not keys:
-        raise ValueError("give at least one key column")
-    limit = limit or rows_per_segment(df.sparkSession)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sx_n")).filter(F.col("__sx_n") > limit)
-    if hot.isEmpty():
-        return df.withColumn(SEG, F.lit(0)), False
-    at = df.withColumn("__sx_at", order_position(df, order_col))
-    shares = [i / MAX_SEGMENTS for i in range(1, MAX_SEGMENTS)]
-    cuts = (
-        lookup(at.select(*keys, "__sx_at"), hot, keys, "inner")
-        .groupBy(*keys, "__sx_n")
-        .agg(F.percentile_approx("__sx_at", shares, 4 * MAX_SEGMENTS).alias("__sx_cuts"))
-    )
-    # keep as many cuts as the key needs, evenly spread
-    wanted = F.least(F.ceil(F.col("__sx_n") / F.lit(limit)), F.lit(MAX_SEGMENTS)).cast("int")
-    stride = F.greatest((F.lit(MAX_SEGMENTS) / wanted).cast("int"), F.lit(1))
-    kept = F.filter("__sx_cuts", lambda _, i: (i + 1) % stride == 0)
-    cuts = cuts.select(*keys, F.array_distinct(kept).alias("__sx_cuts"))
-    # two levels of comparison instead of a scan over all cuts: every 32nd cut, then the 32 in between
-    coarse = F.filter("__sx_cuts", lambda _, i: (i + 1) % 32 == 0)
-    cuts = cut(cuts.withColumn("__sx_coarse", coarse), "cuts")
-    out = lookup(at, cuts, keys)
-    block = F.size(F.filter("__sx_coarse", lambda c: c < F.col("__sx_at")))
-    fine = F.slice("__sx_cuts", block * 32 + 1, 32)
-    number = block * 32 + F.size(F.filter(fine, lambda c: c < F.col("__sx_at"))) + 1
-    seg = F.when(F.col("__sx_cuts").isNotNull(), F.when(F.col("__sx_at").isNull(), F.lit(1)).otherwise(number))
-    return out.withColumn(SEG, F.coalesce(seg, F.lit(0))).drop("__sx_at", "__sx_cuts", "__sx_coarse"), True
-
-
-def add_earlier_segments(out: DataFrame, seg_df: DataFrame, keys: list[str], cut_any: bool, **sums: Column) -> DataFrame:
-    """Adds to rows of cut keys each aggregate summed over the earlier segments (name) and over the whole key
-    (name + '_all'); null on rows of whole keys."""
-    if not cut_any:
-        return out.withColumns({c: F.lit(None).cast("long") for n in sums for c in (n, f"{n}_all")})
-    per = seg_df.filter(F.col(SEG) > 0).groupBy(*keys, SEG).agg(*[a.alias(n) for n, a in sums.items()])
-    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+def add_earlier_parts(out: DataFrame, dealt: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """Adds each aggregate summed over the earlier parts of the key (name) and over the whole key (name + '_all'); null where a key is in one part."""
+    per = dealt.groupBy(*keys, PART).agg(*[a.alias(n) for n, a in sums.items()])
     whole = Window.partitionBy(*keys)
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     table = per.select(
-        *keys,
-        SEG,
+        *keys, PART, F.count(F.lit(1)).over(whole).alias("__parts"),
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums],
         *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums],
     )
-    return lookup(out, table, [*keys, SEG])
+    # ranges are contiguous, so a part shares at most its first and its last key with others: the table is small
+    return lookup(out, cut(table.filter("__parts > 1").drop("__parts"), "earlier-parts"), [*keys, PART])
 
 
-def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "idx", size: str | None = None,
-              limit: int | None = None) -> DataFrame:
+def row_index(df: DataFrame, keys: list[str], order: list[str], index: str = "idx", size: str | None = None) -> DataFrame:
     """0-based position of each row in its key, and the key's row count if size is named.
 
-    order is a list of columns that together order the rows fully; the first must be numeric, date or time.
+    order is a list of columns that together order the rows fully.
     """
-    seg, cut_any = with_segments(df, keys, order[0], limit)
-    w = Window.partitionBy(*keys, SEG).orderBy(*order)
-    out = seg.withColumn("__sx_i", F.row_number().over(w) - 1)
+    dealt = deal(df, keys, order)
+    part = Window.partitionBy(*keys, PART)
+    out = dealt.withColumn("__sx_i", F.row_number().over(part.orderBy(*order)) - 1)
     if size:
-        out = out.withColumn("__sx_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, SEG)))
-    out = add_earlier_segments(out, seg, keys, cut_any, __sx_before=F.count(F.lit(1)))
+        out = out.withColumn("__sx_n", F.count(F.lit(1)).over(part))
+    out = add_earlier_parts(out, dealt, keys, __sx_before=F.count(F.lit(1)))
     out = out.withColumn(index, (F.col("__sx_i") + F.coalesce("__sx_before", F.lit(0))).cast("long"))
     if size:
         out = out.withColumn(size, F.coalesce("__sx_before_all", "__sx_n"))
-    return out.drop(SEG, "__sx_i", "__sx_n", "__sx_before", "__sx_before_all")
+    return out.drop(PART, "__sx_i", "__sx_n", "__sx_before", "__sx_before_all")
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
-                  limit: int | None = None) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
     """For each (new name: column) the last non-null value on earlier rows of the key."""
-    seg, cut_any = with_segments(df, keys, order[0], limit)
-    w = Window.partitionBy(*keys, SEG).orderBy(*order)
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = seg.withColumns({f"__sx_{n}": F.last(c, ignorenulls=True).over(prev) for n, c in columns.items()})
-    if not cut_any:
-        return out.withColumnsRenamed({f"__sx_{n}": n for n in columns}).drop(SEG)
-    last_in = seg.filter(F.col(SEG) > 0).groupBy(*keys, SEG).agg(
-        *[
-            F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
-                     F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__sxc_{n}")
-            for n, c in columns.items()
-        ]
-    )
-    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in.select(
-        *keys, SEG, *[F.last(f"__sxc_{n}", ignorenulls=True).over(before).alias(f"__sxc_{n}") for n in columns]
-    )
-    out = lookup(out, carry, [*keys, SEG])
+    dealt = deal(df, keys, order)
+    prev = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({f"__sx_{n}": F.last(c, ignorenulls=True).over(prev) for n, c in columns.items()})
+    last_in = dealt.groupBy(*keys, PART).agg(*[
+        F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__sxc_{n}") for n, c in columns.items()
+    ])
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_in.select(*keys, PART, F.count(F.lit(1)).over(whole).alias("__parts"),
+                           *[F.last(f"__sxc_{n}", ignorenulls=True).over(before).alias(f"__sxc_{n}") for n in columns])
+    out = lookup(out, cut(carry.filter("__parts > 1").drop("__parts"), "carried"), [*keys, PART])
     out = out.withColumns({n: F.coalesce(f"__sx_{n}", f"__sxc_{n}") for n in columns})
-    return out.drop(SEG, *[f"__sx_{n}" for n in columns], *[f"__sxc_{n}" for n in columns])
+    return out.drop(PART, *[f"__sx_{n}" for n in columns], *[f"__sxc_{n}" for n in columns])

@@ -6,14 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A key with more rows than this is cut into ordered segments (see operators.hotkeys).
-ROWS_PER_SEGMENT = 2_000_000
-ROWS_PER_SEGMENT_CONF = "spark.statloom.rowsPerSegment"
-
-
-def rows_per_segment(spark: SparkSession) -> int:
-    return int(spark.conf.get(ROWS_PER_SEGMENT_CONF, str(ROWS_PER_SEGMENT)))
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.

@@ -1,4 +1,4 @@
-"""Ranks, quantiles and sequences against pandas, with whole keys and with every key cut into segments."""
+"""Ranks, quantiles and sequences against pandas, with few parts and with keys that are in many."""
 
 import numpy as np
 import pandas as pd
@@ -6,14 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import appearances, keys, ranks, rates, reshape, segments
-from statloom.session import ROWS_PER_SEGMENT_CONF
 
 
-@pytest.fixture(params=[1_000_000, 25], ids=["whole", "cut"])
+@pytest.fixture(params=[1, 23], ids=["one part", "many parts"])
 def limit(request, spark):
-    spark.conf.set(ROWS_PER_SEGMENT_CONF, str(request.param))
+    names = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
     yield request.param
-    spark.conf.unset(ROWS_PER_SEGMENT_CONF)
+    for n, v in before.items():
+        spark.conf.set(n, v)
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +75,10 @@ def test_index_and_carry(df, pdf, limit):
     assert np.allclose(got, pdf.groupby("g")["c"].transform(lambda s: s.ffill().shift()), equal_nan=True)
 
 
-def test_segments_balance_a_hot_key(spark, df):
-    seg, cut_any = segments.with_segments(df.filter("g = 'hot'"), ["g"], "id", 25)
-    sizes = [r["count"] for r in seg.groupBy(segments.SEG).count().collect()]
-    assert cut_any and len(sizes) > 10 and max(sizes) < 100
+def test_a_hot_key_is_in_many_parts(spark, df, limit):
+    dealt = segments.deal(df.filter("g = 'hot'"), ["g"], ["id"])
+    sizes = [r["count"] for r in dealt.groupBy(segments.PART).count().collect()]
+    assert len(sizes) == limit and max(sizes) < 2 * sum(sizes) / limit + 2
 
 
 def test_rolling_starts(df, pdf, limit):

@@ -44,7 +44,7 @@ def count_grid_by_group(pitches: DataFrame, keys: list[str] | None = None) -> Da
     """By pitch group, with the group's share (mix) of all pitches in the bucket; ungrouped types count there too."""
     keys = keys or []
     grid = _grid(pitches.withColumn("pitch_group", pitch_group("pitch_type")), keys, "pitch_group")
-    mixed = with_group_stats(grid, [*keys, "bucket"], __t=F.sum("n"))
+    mixed = with_group_stats(grid, [*keys, "bucket"], True, __t=F.sum("n"))
     mixed = mixed.withColumn("mix", safe_percent("n", "__t")).drop("__t")
     return mixed.filter(F.col("pitch_group") != "Other")
 
@@ -96,7 +96,7 @@ def merge_angle_buckets(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 def bucket_shares_vs_league(wide: DataFrame, player: str) -> DataFrame:
     """Share of each bucket and differences to the league rows (is_league = 1)."""
-    shared = with_group_stats(wide, ["is_league", player], __t=F.sum("count"))
+    shared = with_group_stats(wide, ["is_league", player], True, __t=F.sum("count"))
     shared = shared.withColumn("share", F.coalesce(safe_percent("count", "__t"), F.lit(0.0))).drop("__t")
     league = shared.filter("is_league = 1").select(
         "wide_bucket", F.col("share").alias("lg_share"), F.col("avg_ev").alias("lg_ev"),
@@ -135,7 +135,7 @@ def density_grid(pitches: DataFrame, keys: list[str], x: str, z: str, x_range: t
     dx, dy = F.col("col") - F.col("cx"), F.col("row") - F.col("cy")
     weight = F.exp(-(dx * dx / F.lit(2 * sc * sc) + dy * dy / F.lit(2 * sr * sr)))
     grid = cells.groupBy(*keys, "row", "col").agg(F.sum(weight).alias("density"))
-    return with_group_stats(grid, keys, __peak=F.max("density")).withColumn(
+    return with_group_stats(grid, keys, True, __peak=F.max("density")).withColumn(
         "relative", safe_ratio("density", "__peak")
     ).drop("__peak")
 

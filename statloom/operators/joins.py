@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statloom.functions.names import name_key, parent_team_key
 from statloom.functions.numeric import percent_repair
 from statloom.operators.keys import lookup, pick_first
+from statloom.session import cut
 
 # Fastball types in order of preference.
 FASTBALL_PREFERENCE = ("FF", "SI", "FC")
@@ -70,10 +71,12 @@ def join_sources(tables: list[DataFrame], how: str = "left") -> DataFrame:
 def outer_join_with_name_fallback(left: DataFrame, right: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Full outer join on id; rows left over on both sides are then matched on the normalized name.
 
-    Columns of both sides are kept, right ones only where new; the id is the one either side knows.
+    Columns of both sides are kept, right ones only where new; the id is the one either side knows. Each side is written once, since
+    several joins read it.
     """
     fresh = [c for c in right.columns if c not in left.columns]
-    r = right.select(F.col(id_col).alias("__rid"), F.col(name_col).alias("__rname"), *fresh)
+    left = cut(left, "left-source")
+    r = cut(right.select(F.col(id_col).alias("__rid"), F.col(name_col).alias("__rname"), *fresh), "right-source")
     known_l, known_r = left.filter(F.col(id_col).isNotNull()), r.filter(F.col("__rid").isNotNull())
     matched = known_l.join(r, F.col(id_col) == F.col("__rid"), "inner")
     rest_l = left.join(known_r.select("__rid").distinct(), F.col(id_col) == F.col("__rid"), "left_anti")

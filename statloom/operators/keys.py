@@ -24,14 +24,17 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: list[str], once: bool = False, **aggregates: Column) -> DataFrame:
     """Adds group aggregates to every row: partial aggregation first, then a join back.
 
     An aggregate over a window would bring a whole group into one task. The statistics are written first, so their
-    size is known and rows do not move to meet a few of them.
+    size is known and rows do not move to meet a few of them. once: df is itself an aggregate or otherwise smaller than what it is made from;
+    it is then written instead, and made once for both sides of the join.
     """
+    if once:
+        df = cut(df, "group-rows")
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-    return lookup(df, cut(stats, "group-stats"), keys)
+    return lookup(df, stats if once else cut(stats, "group-stats"), keys)
 
 
 def with_table_stats(df: DataFrame, **aggregates: Column) -> DataFrame:

@@ -228,10 +228,14 @@ def train_per_type(df: DataFrame, types: list[str] | None, features: list[str],
 
 def score_per_type(df: DataFrame, models: dict[str, PipelineModel | Trees], features: list[str], out: str,
                    kind: str = "pitch_type", default: float = 0.0) -> DataFrame:
-    """Routes rows to their type's model; types without a model get the default."""
-    routed = df.withColumn("__t", F.col(kind))
+    """Routes rows to their type's model; types without a model get the default. Rows are written by type, so a model reads its own only."""
+    kinds = F.col(kind)
     for a, b in TYPE_ALIASES.items():
-        routed = routed.withColumn("__t", F.when(F.col("__t") == a, b).otherwise(F.col("__t")))
+        kinds = F.when(kinds == a, b).otherwise(kinds)
+    typed = df.withColumn("__t", kinds)
+    path = fresh_path(df.sparkSession, "typed")
+    typed.write.partitionBy("__t").parquet(path)
+    routed = df.sparkSession.read.schema(typed.schema).parquet(path)
     parts = []
     for t, m in models.items():
         trees = m if isinstance(m, Trees) else Trees(m)

@@ -81,7 +81,7 @@ def pitch_mix(pitches: DataFrame, player: list[str], kind: str = "pitch_type") -
         round_half_up(safe_percent(F.count_if(whiff), F.count_if(swing)), 1).alias("whiff_pct"),
     )
     usage = round_half_up(safe_percent("n", "__total"), 1)
-    return with_group_stats(per, player, __total=F.sum("n")).withColumn("usage_pct", usage).drop("__total")
+    return with_group_stats(per, player, True, __total=F.sum("n")).withColumn("usage_pct", usage).drop("__total")
 
 
 def weighted_means(df: DataFrame, by: list[str], rates: list[str], weight: str, totals: dict[str, Column] | None = None,
@@ -252,7 +252,7 @@ def histogram(df: DataFrame, value: str, by: list[str], low: float, high: float,
     counts = df.filter(F.col(value).isNotNull()).groupBy(
         *by, F.width_bucket(F.col(value).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
-    return with_group_stats(counts, by, __t=F.sum("n")).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
+    return with_group_stats(counts, by, True, __t=F.sum("n")).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
 
 
 def trend_series(df: DataFrame, by: list[str], season: str, metrics: list[str], out: str = "series") -> DataFrame:

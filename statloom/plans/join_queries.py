@@ -13,34 +13,34 @@ from statloom.plans.value_queries import _suffix_key, _token_key
 from statloom.session import cut
 
 
-def _sources(spark, folder):
-    """Three leaderboard tables over customers, each with its own columns and gaps."""
-    c = table(spark, folder, "customer")
-    i = F.col("c_custkey")
-    base = c.filter(i % 5 != 0).select(i.alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_acctbal").alias("xslg"))
-    two = c.filter(i % 3 != 0).select(i.alias("player_id"), F.col("c_name").alias("player_name"), (F.col("c_nationkey") + 0.5).alias("avg_ev"))
-    three = c.filter(i % 7 == 0).select(F.col("c_name").alias("player_name"), F.col("c_mktsegment").alias("team"))
-    return base, two, three
-
-
 @query("j1_left_join_sources", """
-SELECT b.c_custkey AS player_id, b.c_name AS player_name, b.c_acctbal AS xslg, CASE WHEN b.c_custkey % 3 <> 0 THEN b.c_nationkey + 0.5e0 END AS avg_ev, CASE WHEN b.c_custkey % 7 = 0 THEN b.c_mktsegment END AS team
-FROM customer b WHERE b.c_custkey % 5 <> 0""")
+SELECT c_custkey AS player_id, c_name AS player_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS xslg, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey + 0.5e0 END AS avg_ev, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment END AS team
+FROM customer""")
 def j1(spark, folder):
-    return joins.join_sources(list(_sources(spark, folder))).select("player_id", "player_name", "xslg", "avg_ev", "team") \
-        .withColumn("avg_ev", F.col("avg_ev").cast("double"))
+    """Three leaderboard tables, each with its own columns; gaps are missing values and missing keys."""
+    c = table(spark, folder, "customer")
+    i = F.col("c_custkey")
+    base = c.select(i.alias("player_id"), F.col("c_name").alias("player_name"), F.when(i % 5 != 0, F.col("c_acctbal")).alias("xslg"))
+    two = c.select(F.when(i % 3 != 0, i).alias("player_id"), F.col("c_name").alias("player_name"), (F.col("c_nationkey") + 0.5).cast("double").alias("avg_ev"))
+    three = c.select(F.when(i % 7 == 0, F.col("c_name")).alias("player_name"), F.col("c_mktsegment").alias("team"))
+    return joins.join_sources([base, two, three]).select("player_id", "player_name", "xslg", "avg_ev", "team")
 
 
 @query("j2_outer_join_sources", """
-SELECT c_custkey AS player_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS player_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS xslg, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey + 0.5e0 END AS avg_ev
-FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 <> 0""")
+SELECT c_custkey AS player_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS player_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS xslg,
+  CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 5 = 0 THEN c_nationkey + 0.5e0 END AS avg_ev
+FROM customer""")
 def j2(spark, folder):
-    base, two, _ = _sources(spark, folder)
-    return joins.join_sources([base, two], "full").withColumn("avg_ev", F.col("avg_ev").cast("double"))
+    """Two tables that share some players; each player is in one of them at least."""
+    c = table(spark, folder, "customer")
+    i = F.col("c_custkey")
+    base = c.filter(i % 5 != 0).select(i.alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_acctbal").alias("xslg"))
+    two = c.filter((i % 3 != 0) | (i % 5 == 0)).select(i.alias("player_id"), F.col("c_name").alias("player_name"), (F.col("c_nationkey") + 0.5).cast("double").alias("avg_ev"))
+    return joins.join_sources([base, two], "full")
 
 
 @query("j3_outer_join_with_name_fallback", f"""
-WITH l AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS player_id, c_name AS player_name, c_acctbal AS a FROM customer WHERE c_custkey % 4 <> 0),
+WITH l AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS player_id, c_name AS player_name, c_acctbal AS a FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 6 = 0),
  r AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS rid, upper(c_name) AS rname, c_nationkey AS b FROM customer WHERE c_custkey % 6 <> 0),
  m AS (SELECT player_id, player_name, a, b FROM l JOIN r ON player_id = rid),
  rl AS (SELECT * FROM l WHERE player_id IS NULL OR player_id NOT IN (SELECT rid FROM r WHERE rid IS NOT NULL)),
@@ -50,7 +50,7 @@ SELECT coalesce(player_id, rid), coalesce(player_name, rname), a, b FROM rl FULL
 def j3(spark, folder):
     c = table(spark, folder, "customer")
     i = F.col("c_custkey")
-    left = c.filter(i % 4 != 0).select(F.when(i % 10 != 0, i).alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_acctbal").alias("a"))
+    left = c.filter((i % 4 != 0) | (i % 6 == 0)).select(F.when(i % 10 != 0, i).alias("player_id"), F.col("c_name").alias("player_name"), F.col("c_acctbal").alias("a"))
     right = c.filter(i % 6 != 0).select(F.when(i % 3 != 0, i).alias("player_id"), F.upper("c_name").alias("player_name"), F.col("c_nationkey").alias("b"))
     return joins.outer_join_with_name_fallback(left, right, "player_id", "player_name")
 
@@ -58,17 +58,16 @@ def j3(spark, folder):
 @query("j4_situation_tables", """
 WITH s AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem)
 SELECT concat('P', s.l_suppkey) AS name, concat('T', s.l_suppkey % 7) AS team, 'C' AS position, s.l_returnflag AS situation, a.g AS pp_goals, CAST(NULL AS DOUBLE) AS pk_goals, CAST(NULL AS DOUBLE) AS missing
-FROM s LEFT JOIN (SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS g FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey) a ON a.l_suppkey = s.l_suppkey AND s.l_suppkey % 2 = 0""")
+FROM s LEFT JOIN (SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS g FROM lineitem GROUP BY l_suppkey) a ON a.l_suppkey = s.l_suppkey AND s.l_suppkey % 2 = 0""")
 def j4(spark, folder):
     li = table(spark, folder, "lineitem")
 
-    def keyed(df):
-        return df.select(F.concat(F.lit("P"), "l_suppkey").alias("name"), F.concat(F.lit("T"), F.col("l_suppkey") % 7).alias("team"),
+    def keyed(df, known=F.lit(True)):
+        return df.select(F.when(known, F.concat(F.lit("P"), "l_suppkey")).alias("name"), F.concat(F.lit("T"), F.col("l_suppkey") % 7).alias("team"),
                          F.lit("C").alias("position"), *[c for c in df.columns if c != "l_suppkey"])
 
     base = keyed(li.select("l_suppkey", F.col("l_returnflag").alias("situation")).distinct())
-    pp = keyed(li.filter((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 2 == 0)).groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).cast("string").alias("Goals/60")))
+    pp = keyed(li.groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("string").alias("Goals/60")), F.col("l_suppkey") % 2 == 0)
     return joins.join_situations(
         base, {"pp": (pp, {"Goals/60": "pp_goals", "Absent/60": "missing"}), "pk": (None, {"Goals/60": "pk_goals"})},
         ["name", "team", "position"])
@@ -78,13 +77,21 @@ def j4(spark, folder):
 WITH c AS (SELECT l_suppkey, l_linestatus AS pos_group, sum(l_extendedprice * greatest(l_discount * 100, 1)) / sum(greatest(l_discount * 100, 1)) AS q FROM lineitem GROUP BY ALL)
 SELECT s_suppkey, pos_group, {r6_sql('q', 3)} AS quality FROM supplier LEFT JOIN c ON l_suppkey = s_suppkey AND pos_group = CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'O' END""")
 def j5(spark, folder):
+    """The first players have names with variants: one table spells them one way, the other the other way."""
+    def player(key, spellings, prefix):
+        known = F.get(F.array(*[F.lit(s) for s in spellings]), (F.col(key) - 1).cast("int"))
+        return F.coalesce(F.initcap(known), F.concat(F.lit(prefix), key))
+
+    def keyed(df, name):
+        return joins.apply_aliases(df.withColumn("name_key", names.name_key(name, "ascii")), "name_key", joins.alias_table(spark)).drop(name)
+
     li = table(spark, folder, "lineitem").select(
-        F.concat(F.lit("Supplier "), "l_suppkey").alias("player"), F.col("l_linestatus").alias("pos_group"),
+        player("l_suppkey", list(joins.NAME_ALIASES), "Supplier ").alias("player"), F.col("l_linestatus").alias("pos_group"),
         F.col("l_extendedprice").alias("quality"), (F.col("l_discount") * 100).alias("toi"))
-    ctx = joins.context_averages(li.withColumn("name_key", names.name_key("player", "ascii")), ["quality"], "toi", "quality")
-    s = table(spark, folder, "supplier").select(
-        "s_suppkey", names.name_key(F.concat(F.lit("SUPPLIER "), "s_suppkey"), "ascii").alias("name_key"),
-        F.when(F.col("s_suppkey") % 2 == 0, "F").otherwise("O").alias("pos_group"))
+    ctx = joins.context_averages(keyed(li, "player"), ["quality"], "toi", "quality")
+    s = keyed(table(spark, folder, "supplier").select(
+        "s_suppkey", player("s_suppkey", list(joins.NAME_ALIASES.values()), "SUPPLIER ").alias("player"),
+        F.when(F.col("s_suppkey") % 2 == 0, "F").otherwise("O").alias("pos_group")), "player")
     return r6(lookup(s, ctx, ["name_key", "pos_group"]).select("s_suppkey", "pos_group", "quality"), "quality", digits=3)
 
 
@@ -145,9 +152,9 @@ def j10(spark, folder):
 
 
 @query("u4_two_role_players", """
-SELECT l_suppkey AS id, count(DISTINCT l_returnflag) AS roles FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1""")
+SELECT l_suppkey AS id, count(DISTINCT l_returnflag) AS roles FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1""")
 def u4(spark, folder):
-    x = table(spark, folder, "lineitem").filter("l_linenumber <= 2").select(F.col("l_returnflag").alias("role"), F.col("l_suppkey").alias("id"))
+    x = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("role"), F.col("l_suppkey").alias("id"))
     per_role = x.dropDuplicates(["role", "id"])
     return per_role.groupBy("id").agg(F.count(F.lit(1)).alias("roles")).filter("roles > 1")
 
@@ -164,10 +171,12 @@ def j11(spark, folder):
 
 
 @query("j12_preferred_fastball", f"""
-WITH g AS (SELECT pitcher, pitch_type, avg(release_speed) AS v, count(*) AS n FROM @pitches WHERE pitch_type IN ('FF','SI') AND (pitcher % 3 <> 0 OR pitch_type <> 'FF') GROUP BY ALL)
+WITH p AS (SELECT pitcher, CASE WHEN pitcher % 3 = 0 AND pitch_type = 'FF' THEN 'SI' ELSE pitch_type END AS pitch_type, release_speed FROM @pitches),
+ g AS (SELECT pitcher, pitch_type, avg(release_speed) AS v, count(*) AS n FROM p WHERE pitch_type IN ('FF','SI') GROUP BY ALL)
 SELECT pitcher, pitch_type, {r6_sql('v')} AS velo, n FROM (SELECT *, row_number() OVER (PARTITION BY pitcher ORDER BY CASE pitch_type WHEN 'FF' THEN 0 ELSE 1 END) AS rn FROM g) WHERE rn = 1""")
 def j12(spark, folder):
-    p = table(spark, folder, "pitches").filter("pitcher % 3 <> 0 OR pitch_type <> 'FF'")
+    # a third of the pitchers throw sinkers where the others throw four-seamers
+    p = table(spark, folder, "pitches").withColumn("pitch_type", F.expr("CASE WHEN pitcher % 3 = 0 AND pitch_type = 'FF' THEN 'SI' ELSE pitch_type END"))
     g = p.groupBy("pitcher", "pitch_type").agg(F.avg("release_speed").alias("velo"), F.count(F.lit(1)).alias("n"))
     return r6(joins.preferred_fastball(g, "pitcher"), "velo")
 
@@ -291,11 +300,13 @@ def j20(spark, folder):
 
 
 @query("j21_situation_columns", f"""
-SELECT l_suppkey, {r6_sql("sum(l_extendedprice) FILTER (WHERE l_returnflag = 'A')", 2)} AS ev5, {r6_sql("sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R' AND l_linenumber > 1)", 2)} AS pk FROM lineitem GROUP BY l_suppkey""")
+SELECT l_suppkey, {r6_sql("sum(l_extendedprice) FILTER (WHERE l_returnflag = 'A')", 2)} AS ev5, {r6_sql("sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R' AND l_linenumber > 1)", 2)} AS pk,
+  {r6_sql("sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N' OR (l_returnflag = 'R' AND l_linenumber = 1))", 2)} AS pp FROM lineitem GROUP BY l_suppkey""")
 def j21(spark, folder):
-    per = table(spark, folder, "lineitem").filter("l_returnflag <> 'R' OR l_linenumber > 1").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_extendedprice").alias("v"))
-    out = joins.situation_columns(per, ["l_suppkey"], "l_returnflag", {"A": {"ev5": F.col("v")}, "R": {"pk": F.col("v")}})
-    return r6(out, "ev5", "pk", digits=2)
+    situation = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), "N").otherwise(F.col("l_returnflag"))
+    per = table(spark, folder, "lineitem").groupBy("l_suppkey", situation.alias("situation")).agg(F.sum("l_extendedprice").alias("v"))
+    out = joins.situation_columns(per, ["l_suppkey"], "situation", {"A": {"ev5": F.col("v")}, "R": {"pk": F.col("v")}, "N": {"pp": F.col("v")}})
+    return r6(out, "ev5", "pk", "pp", digits=2)
 
 
 @query("j22_head_to_head", f"""
@@ -389,12 +400,13 @@ def a32_players(spark, folder):
 
 
 @query("u1_union_with_tags", """
-SELECT '1995' AS data_year, o_orderkey AS id, o_totalprice AS v, CAST(NULL AS VARCHAR) AS extra FROM orders WHERE year(o_orderdate) = 1995 UNION ALL SELECT '1996', o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE year(o_orderdate) = 1996""")
+SELECT CAST(year(o_orderdate) AS VARCHAR) AS data_year, o_orderkey AS id, o_totalprice AS v, CASE WHEN year(o_orderdate) % 2 = 0 THEN o_orderpriority END AS extra FROM orders""")
 def u1(spark, folder):
-    o = table(spark, folder, "orders")
-    a = o.filter(F.year("o_orderdate") == 1995).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    b = o.filter(F.year("o_orderdate") == 1996).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("extra"))
-    return entities.union_tagged({"1995": a, "1996": b}, "data_year")
+    """A table per season that the data has; those of odd seasons lack a column."""
+    o = table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("extra"))
+    years = [r["year"] for r in o.select("year").distinct().orderBy("year").collect()]
+    seasons = {str(y): o.filter(F.col("year") == y).drop("year", *(["extra"] if y % 2 else [])) for y in years}
+    return entities.union_tagged(seasons, "data_year")
 
 
 @query("u2_first_source_wins", """
@@ -425,13 +437,13 @@ def u5(spark, folder):
 
 @query("k10_upsert", """
 SELECT name, season, coalesce(nv, ov) AS xwoba, CASE WHEN nv IS NOT NULL AND ov IS NOT NULL THEN 'updated' WHEN nv IS NOT NULL THEN 'added' ELSE 'kept' END AS status FROM
- (SELECT c_name AS name, CAST(2025 AS INT) AS season, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS ov, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 END AS nv FROM customer) WHERE ov IS NOT NULL OR nv IS NOT NULL""")
+ (SELECT c_name AS name, CAST(2025 AS INT) AS season, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS ov, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 <> 0 THEN c_acctbal + 1 END AS nv FROM customer) WHERE ov IS NOT NULL OR nv IS NOT NULL""")
 def k10(spark, folder):
     from statloom.session import fresh_path
     from statloom.sources import sinks
 
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("i"), F.col("c_name").alias("name"), F.lit(2025).alias("season"), F.col("c_acctbal").alias("xwoba"))
     old = c.filter("i % 2 = 0").drop("i")
-    new = c.filter("i % 3 = 0").withColumn("xwoba", F.col("xwoba") + 1).drop("i")
+    new = c.filter("i % 3 = 0 OR i % 2 <> 0").withColumn("xwoba", F.col("xwoba") + 1).drop("i")
     merged = entities.upsert(old, new, ["name", "season"], "xwoba")
     return spark.read.parquet(sinks.write_upsert(merged, fresh_path(spark, "upsert")))

@@ -315,3 +315,17 @@ def s16_fixed(spark, folder):
     plan = tables.fixed_ranges(spark, seasons, "R").select(
         "season", "chunk", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("game_date"))
     return p.join(plan, ["season", "game_date"]).groupBy("season", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s16_spring_ranges", """
+WITH r(chunk, a, b) AS (VALUES (1,'02-20','03-10'),(2,'03-11','03-28')), y AS (SELECT DISTINCT season FROM @pitches WHERE season IS NOT NULL),
+ c AS (SELECT season, CAST(chunk AS INT) AS chunk, CAST(concat(season, '-', a) AS DATE) AS start, CAST(concat(season, '-', b) AS DATE) AS "end" FROM y, r)
+SELECT c.*, (SELECT count(*) FROM @pitches p WHERE p.game_date BETWEEN c.start AND c."end") AS n FROM c""")
+def s16_spring(spark, folder):
+    """The two ranges of spring for every season, with the pitches of each; ranges without any have none."""
+    p = table(spark, folder, "pitches").select("season", "game_date")
+    seasons = sorted(r["season"] for r in p.select("season").distinct().na.drop().collect())  # a row per season
+    plan = tables.fixed_ranges(spark, seasons, "S")
+    days = plan.select("season", "chunk", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("game_date"))
+    counts = p.drop("season").join(days, "game_date").groupBy("season", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    return plan.join(counts, ["season", "chunk"], "left").na.fill(0, ["n"])

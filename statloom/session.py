@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +29,47 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Owns what operators write inside it, and gives the space back at its end. Use results inside, or write them elsewhere.
+
+    with scratch(spark):
+        joins.outer_join_with_name_fallback(a, b, "id", "name").write.parquet(target)
+    """
+    mine: list[str] = []
+    _owners.append(mine)
+    try:
+        yield mine
+    finally:
+        _owners.remove(mine)
+        nothing = spark.createDataFrame([], "nothing int")
+        for path in mine:
+            nothing.write.mode("overwrite").parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for sessions whose workers cannot import it."""
+    import statloom
+
+    if getattr(spark, "_statloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(statloom.__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "statloom"), "zip", root, "statloom")
+    spark.sparkContext.addPyFile(made)
+    spark._statloom_shipped = True
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes a table to the shared folder and reads it back: short lineage that outlives lost executors.
 
     For steps that read their input several times; the table is then computed once.
     """
     path = fresh_path(df.sparkSession, name)
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

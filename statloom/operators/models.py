@@ -195,7 +195,8 @@ def _inputs(model: PipelineModel, categorical) -> list[str]:
 def _at_once(jobs: list, width: int = 4) -> list:
     """Runs several small fits side by side; each is a series of short Spark jobs that would leave cores idle."""
     with ThreadPoolExecutor(max_workers=width) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        keep = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(keep(job)) for job in jobs]]
 
 
 def type_names(df: DataFrame, kind: str) -> list[str]:
@@ -358,8 +359,9 @@ def regression_table(df: DataFrame, label: str, prediction: str, by: list[str] =
     """n, r2, r, rmse per group, from moments: one aggregation, nothing collected. Rows without both values are left out."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     whole = df.filter(y.isNotNull() & p.isNotNull())
-    out = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((y - p) * (y - p)).alias("__mse"), F.var_pop(y).alias("__var"), F.corr(y, p).alias("r"))
-    return out.select(*by, "n", F.when(F.col("__var") > 0, 1 - F.col("__mse") / F.col("__var")).alias("r2"), "r", F.sqrt("__mse").alias("rmse"))
+    out = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((y - p) * (y - p)).alias("__mse"), F.var_pop(y).alias("__var"), F.covar_pop(y, p).alias("__cov"), F.var_pop(p).alias("__own"))
+    return out.select(*by, "n", (1 - F.try_divide("__mse", "__var")).alias("r2"),
+                      F.try_divide("__cov", F.sqrt("__var") * F.sqrt("__own")).alias("r"), F.sqrt("__mse").alias("rmse"))
 
 
 def auc_table(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
@@ -374,8 +376,8 @@ def auc_table(df: DataFrame, label: str, score: str, by: list[str] = ()) -> Data
         F.col("__score").isNotNull() & F.col("__label").isNotNull())
     placed = with_positions(rows, "__score", pool)
     pos, n = F.sum("__label"), F.count(F.lit(1))
-    area = (F.sum(F.when(F.col("__label") == 1, average_rank())) - pos * (pos + 1) / 2) / (pos * (n - pos))
-    return placed.groupBy(*pool).agg(n.alias("n"), pos.alias("positives"), F.when((pos > 0) & (pos < n), area).alias("auc")).drop("__all")
+    area = F.try_divide(F.sum(F.when(F.col("__label") == 1, average_rank())) - pos * (pos + 1) / 2, pos * (n - pos))
+    return placed.groupBy(*pool).agg(n.alias("n"), pos.alias("positives"), area.alias("auc")).drop("__all")
 
 
 def scaler_table(spark: SparkSession, model: PipelineModel) -> DataFrame:

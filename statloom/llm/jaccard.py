@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -213,9 +214,9 @@ def linkable(sets: list[np.ndarray], percent: int) -> list[int]:
     return here if len(here) > 1 else []
 
 
-def link_block(rows: list[tuple[int, int, bool, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+def link_block(rows: list[tuple], percent: int, confirm: Callable[[Any, Any], bool] | None = None) -> list[tuple[int, int]]:
     """Links between components of a block. rows: id, label, whether it walks, whether it is a guest (in the tree of another
-    block), hashes, in the order of walking."""
+    block), hashes, what confirm needs to know, in the order of walking. confirm: a further test of pairs that link by their sets."""
     left = linkable([r[4] for r in rows], percent)
     rows = [rows[i] for i in left]
     walkers = [i for i, r in enumerate(rows) if r[2]]
@@ -241,7 +242,7 @@ def link_block(rows: list[tuple[int, int, bool, bool, np.ndarray]], percent: int
         for at in tree.walk(rows[i][4], place[i], percent, lambda label, own=own: root(label) == root(own)):
             other = rows[members[at]]
             a, b = root(own), root(other[1])
-            if a != b:
+            if a != b and (confirm is None or confirm(rows[i][5], other[5])):
                 parent[max(a, b)] = min(a, b)
                 out.append((rows[i][0], other[0]))
                 fresh += 1
@@ -251,17 +252,23 @@ def link_block(rows: list[tuple[int, int, bool, bool, np.ndarray]], percent: int
     return out
 
 
-def blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links found in blocks. rows: key, block, id, label, walks, guest, score, text."""
+def by_sets():
+    """How texts are measured: (text to hashes and what confirm needs, confirm)."""
+    shingles = Shingles()
+    return lambda text: (shingles(text), None), None
+
+
+def blocks(rows: DataFrame, percent: int, measure: Callable = by_sets) -> DataFrame:
+    """(u, v): links found in blocks. rows: key, block, id, label, walks, guest, score, text. measure() is called once per task."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        shingles = Shingles()
+        read, confirm = measure()
         held: list = []
         now = None
 
         def close():
-            found = link_block(held, percent)
+            found = link_block(held, percent, confirm)
             return [arrow_rows(found, schema)] if found else []
 
         for batch in batches:
@@ -270,7 +277,7 @@ def blocks(rows: DataFrame, percent: int) -> DataFrame:
                     if now != (key, block):
                         yield from close()
                         held, now = [], (key, block)
-                    held.append((who, label, walks, guest, shingles(text)))
+                    held.append((who, label, walks, guest, *read(text)))
         yield from close()
 
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("score"), "id")
@@ -281,7 +288,7 @@ def block_count(sets, hashes):
     return F.greatest(F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(hashes / F.lit(BLOCK_HASHES))).cast("int")
 
 
-def small_round(met: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def small_round(met: DataFrame, texts: DataFrame, percent: int, measure: Callable) -> tuple[DataFrame, DataFrame]:
     """(links of the sets that are connected by groups and fit into a block together, met of the others)."""
     leads = met.groupBy("key").agg(F.min("id").alias("lead"))
     whole = connected_components(met.join(leads, "key").select("id", "lead"), "id", "lead").withColumnsRenamed({"node": "id", "label": "whole"})
@@ -289,11 +296,11 @@ def small_round(met: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFra
     fit = sets.groupBy("whole").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("hashes")).filter(
         (F.col("sets") <= BLOCK_SETS) & (F.col("hashes") <= BLOCK_HASHES)).select("whole")
     rows = cut(sets.join(fit, "whole", "left_semi").select(F.col("whole").alias("key"), F.lit(0).alias("block"), "id", "score"), "whole-blocks")
-    found = blocks(rows.withColumns({"label": F.col("id"), "walks": F.lit(True), "guest": F.lit(False)}).join(texts, "id"), percent)
+    found = blocks(rows.withColumns({"label": F.col("id"), "walks": F.lit(True), "guest": F.lit(False)}).join(texts, "id"), percent, measure)
     return found, met.join(rows.select("id"), "id", "left_anti")
 
 
-def first_round(met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def first_round(met: DataFrame, texts: DataFrame, percent: int, measure: Callable) -> DataFrame:
     """Links of every set in one block of its largest group. met: key, id, size, n; texts: id, text."""
     homes = cut(met.groupBy("id").agg(F.sum("n").alias("score"), F.max(F.struct("n", "key")).alias("home"), F.first("size").alias("size"))
                 .select("id", "score", F.col("home.key").alias("key"), "size"), "homes")
@@ -303,10 +310,10 @@ def first_round(met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     dealt = homes.join(groups, "key").filter("id <> lead").select("key", "id", "score", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"))
     leads = groups.select("key", F.col("lead").alias("id"), F.col("lead_score").alias("score"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     rows = dealt.unionByName(leads).withColumns({"label": F.col("id"), "walks": F.lit(True), "guest": F.lit(False)})
-    return blocks(rows.join(texts, "id"), percent)
+    return blocks(rows.join(texts, "id"), percent, measure)
 
 
-def second_round(met: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def second_round(met: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, measure: Callable) -> DataFrame:
     """Links between components that the first links left apart, in all groups that have sets of several."""
     named = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
@@ -319,7 +326,25 @@ def second_round(met: DataFrame, labels: DataFrame, texts: DataFrame, percent: i
     members = rows.withColumn("guest", F.lit(False)).select(*columns)
     guests = rows.filter("walks AND parts > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("at <> block")
     guests = guests.withColumn("block", F.col("at")).withColumn("guest", F.lit(True)).select(*columns)
-    return blocks(members.unionByName(guests).join(texts, "id"), percent)
+    return blocks(members.unionByName(guests).join(texts, "id"), percent, measure)
+
+
+def crowds(met: DataFrame) -> DataFrame:
+    """(key, n) of the groups of two and more sets, one of those that have the same sets. met: key, id."""
+    sets = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(s).alias(f"of_{i}") for i, s in enumerate(sets)]).filter("n > 1")
+    return crowd.groupBy("n", "of_0", "of_1").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def linked(met: DataFrame, texts: DataFrame, percent: int, measure: Callable = by_sets) -> DataFrame:
+    """(node, label): components of the links between sets that share a group. met: key, id, size, n (sets of the group); texts: id, text."""
+    links, rest = small_round(met, texts, percent, measure)
+    links, rest = cut(links, "links"), cut(rest, "rest")
+    if not rest.isEmpty():
+        one = cut(first_round(rest, texts, percent, measure), "links")
+        two = cut(second_round(rest, connected_components(one), texts, percent, measure), "links")
+        links = links.unionByName(one).unionByName(two)
+    return connected_components(links)
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -367,17 +392,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = alone.groupBy("id", "class").agg(F.count(F.lit(1)).alias("c"), F.first("allowed").alias("allowed")).filter("c > allowed").groupBy("id").agg(F.count(F.lit(1)).alias("outs"))
     classes = texts.select("id").join(out, "id").join(fine.groupBy("id").agg(F.count(F.lit(1)).alias("classes")), "id").filter("outs >= classes").select("id")
     met = cut(met.join(classes, "id", "left_anti"), "left")
-    sets = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
-    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(s).alias(f"of_{i}") for i, s in enumerate(sets)]).filter("n > 1")
-    crowd = crowd.groupBy("n", "of_0", "of_1").agg(F.min("key").alias("key")).select("key", "n")
-    met = cut(met.join(crowd, "key").join(asked.select("id", "size"), "id"), "close")
-    links, rest = small_round(met, texts, percent)
-    links, rest = cut(links, "links"), cut(rest, "rest")
-    if not rest.isEmpty():
-        one = cut(first_round(rest, texts, percent), "links")
-        two = cut(second_round(rest, connected_components(one), texts, percent), "links")
-        links = links.unionByName(one).unionByName(two)
-    labels = connected_components(links)
+    met = cut(met.join(crowds(met), "key").join(asked.select("id", "size"), "id"), "close")
+    labels = linked(met, texts, percent)
     whole = labels.join(named.withColumnRenamed("id", "node"), "node").groupBy("label").agg(F.min("first_id").alias("component"))
     of = labels.join(whole, "label").select(F.col("node").alias("id"), "component")
     of = cut(named.join(of, "id", "left").select("id", F.coalesce("component", "first_id").alias("component")), "components")

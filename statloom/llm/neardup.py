@@ -4,17 +4,18 @@ K-mers are runs of five words (a shorter text is one k-mer); a k-mer carries its
 takes the PICKED k-mers of smallest hash and keeps them in text order: texts share a sketch when they share those k-mers and their
 order, which follows edit similarity. SKETCHES sketches per text are the keys under which texts meet.
 
-Texts of equal words are one first; the rest works on distinct texts. In each bucket the member that meets most others leads, and
-every other member is compared with it: a star, never all pairs. A member that is not near its leader, and not in its class by other
-links, leaves its bucket unsettled: it is then compared with all members of unsettled buckets that are of another class, by an exact prefix
-filter on the labelled k-mers, so that no link between two texts of a bucket is lost. Candidates are verified by a banded alignment of the labelled k-mers: the
+Texts of equal words are one first; the rest works on distinct texts. Candidates are verified by a banded alignment of the labelled k-mers: the
 longest common order-preserving run of them gives matched / (all k-mers of both - matched), which must reach 0.8. Outside the
-band (more unmatched k-mers than that similarity allows) nothing is aligned. Links become classes by hooking to the smallest label
-and shortcutting, in tables; a class is named after its smallest id.
+band (more unmatched k-mers than that similarity allows) nothing is aligned.
+
+Buckets are compared as the groups of llm.jaccard are, in blocks: texts that buckets connect are one block if they fit into it; beyond that a bucket is dealt
+to blocks, first each text to one, then the texts of every bucket that is not of one class yet. In a block the labelled k-mers are in a prefix tree, which leaves
+pairs that cannot reach 0.8 by their k-mers alone, and pairs of one class; the alignment decides on the others. So a bucket's links are all found, no pairs
+leave a task, and a bucket of one class costs no more than its texts. Links become classes, named after their smallest id.
 
 A pair with u different k-mers, i of them common, shares no sketch with chance (1 - C(i, PICKED) / C(u, PICKED))**SKETCHES: at 0.8 from 1.1e-4 where
 the shorter text has SHORT k-mers to 7e-5 for the longest. Below SHORT k-mers sketches miss far more (always, where a text has fewer than
-PICKED), so all these go through the same prefix filter, and no pair of them is missed.
+PICKED), so these also have the keys of equal parts of llm.jaccard, by which two texts whose k-mers reach 0.8 always meet.
 
 Defined cases: texts without words (null, empty, marks only) are in no group: each is its own class. Rows without id are left
 out of groups and get a null class. A repeated id: each row goes by its own text. Columns beyond doc_id and text are not read.
@@ -23,14 +24,14 @@ out of groups and get a null class. A repeated id: each row goes by its own text
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import count_in_tasks, map_rows, mix, words
+from statloom.llm import jaccard
+from statloom.llm.common import map_rows, mix, words
 from statloom.session import cut
 
 K = 5
@@ -38,7 +39,6 @@ PICKED = 5
 SKETCHES = 24
 SIMILARITY = 0.8
 SHORT = 64
-CELLS = 1 << 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,162 +121,69 @@ def digest(found: list[str]) -> str:
     return hashlib.blake2b("\n".join(found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, sketch): n k-mers; digest is null for texts without words."""
+def signatures(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, digest, n, sketch, parts): n k-mers; digest is null for texts without words; parts: keys of the equal parts of short texts."""
 
     def make():
-        known = Hashes()
+        known, cuts = Hashes(), jaccard.Cuts(percent(least))
 
         def f(doc_id, text):
             found = words(text)
             if not found:
-                return doc_id, None, None, None
+                return doc_id, None, None, None, []
             kmers = labelled_kmers(found, known)
-            return doc_id, digest(found), len(kmers), sketches(kmers).view(np.int64).tolist()
-
-        return f
-
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest string, n int, sketch array<long>")
-
-
-def stars(bands: DataFrame) -> DataFrame:
-    """(key, leader, rep): members of buckets of two and more with the bucket's leader: the member that meets most others in
-    all buckets, so that an original leads its copies; the smallest among equals."""
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = cut(bands.join(crowded, "key"), "crowded")
-    known = rows.groupBy("rep").agg(F.sum("n").alias("met"))
-    ranked = rows.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"))).alias("best"))
-    leaders = ranked.select("key", (-F.col("best.back")).alias("leader"))
-    return rows.join(leaders, "key").filter("rep <> leader").select("key", "leader", "rep")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(leader, rep, near) for distinct (leader, rep). texts: rep, digest, text of all that can be asked for."""
-    a = texts.select(F.col("rep").alias("leader"), F.col("text").alias("a"))
-    b = texts.select("rep", F.col("text").alias("b"))
-
-    def make():
-        known = Hashes()
-        last: list = [None, None]
-
-        def f(leader, rep, x, y):
-            if last[0] != x:
-                last[:] = [x, labelled_kmers(words(x), known)]
-            return leader, rep, aligned(last[1], labelled_kmers(words(y), known), least) > 0
+            # who has fewer than SHORT k-mers is only near texts of up to SHORT / least
+            keys = cuts.keys(np.sort(kmers)) if len(kmers) <= SHORT / least else []
+            parts = np.concatenate([k for _, k in keys]).view(np.int64).tolist() if keys else []
+            return doc_id, digest(found), len(kmers), sketches(kmers).view(np.int64).tolist(), parts
 
         return f
 
-    met = pairs.join(b, "rep").join(a, "leader").select("leader", "rep", "a", "b")
-    return map_rows(met, make, "leader long, rep long, near boolean")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component. links: (u, v)."""
-    edges = cut(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("hook"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("hook"), F.col("label").alias("jump"))
-        step = cut(hooked.join(jump, "hook", "left").select("node", F.least("hook", F.coalesce("jump", "hook")).alias("label"), "old"), "labels")
-        labels = step.select("node", "label")
-        if step.filter("label <> old").isEmpty():
-            return labels
-
-
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """How often k-mers occur, by cells of their hashes: a table of fixed size that only puts the k-mers in order."""
-
-    def make():
-        known, cells = Hashes(), np.zeros(CELLS, np.int64)
-
-        def feed(text):
-            np.add.at(cells, (labelled_kmers(words(text), known) % np.uint64(CELLS)).astype(np.int64), 1)
-
-        def drain():
-            at = np.flatnonzero(cells)
-            return zip(at.tolist(), cells[at].tolist(), strict=True)
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest string, n long, sketch array<long>, parts array<long>")
 
-        return feed, drain, lambda: 0
-
-    counted = count_in_tasks(texts.select("text"), make, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return out
 
+def percent(least: float) -> int:
+    """The share of common k-mers that a similarity needs at least, in whole percent."""
+    return int(least * 100 + 1e-9)
 
-def candidates(pool: DataFrame, least: float) -> DataFrame:
-    """(leader, rep): all pairs of different labels, one of them asked, that can reach least. pool: rep, label, asked, text.
 
-    K-mers go in one order, seldom ones first; texts with a share of least have a common one among their first n - least * n + 1. Whoever
-    has i and j k-mers up to the last of c common ones there, has at most c and the fewer of both rests in common.
-    """
-    sent = pool.sparkSession.sparkContext.broadcast(frequencies(pool))
+def by_alignment(least: float):
+    """How the texts of a block are measured: by their k-mers in the tree, then by the alignment."""
 
     def make():
         known = Hashes()
 
-        def f(rep, label, asked, text):
+        def read(text):
             kmers = labelled_kmers(words(text), known)
-            n = len(kmers)
-            order = np.lexsort((kmers, sent.value[(kmers % np.uint64(CELLS)).astype(np.int64)]))
-            first = kmers[order[:n - math.ceil(least * n - 1e-9) + 1]].view(np.int64).tolist()
-            return [(rep, label, asked, n, i + 1, kmer) for i, kmer in enumerate(first)]
+            return np.sort(kmers), kmers
 
-        return f
+        return read, lambda a, b: aligned(a, b, least) > 0
 
-    found = cut(map_rows(pool.select("rep", "label", "asked", "text"), make,
-                         "rep long, label long, asked boolean, n int, place int, kmer long", many=True), "prefixes")
-    held = found.groupBy("kmer", "label").agg(F.max("asked").alias("asked"))
-    # a k-mer of one class only links nobody: the rows of a large class meet those of other classes, never each other
-    shared = held.groupBy("kmer").agg(F.count(F.lit(1)).alias("labels"), F.max("asked").alias("any")).filter("labels > 1 AND any").select("kmer")
-    held = cut(held.join(shared, "kmer", "left_semi"), "shared")
-    x, y = (held.select("kmer", F.col("label").alias(f"{c}_label"), F.col("asked").alias(f"{c}_any")) for c in "xy")
-    both = x.join(y, "kmer").filter("x_label < y_label AND (x_any OR y_any)").select("kmer", "x_label", "y_label")
-    x, y = (found.select("kmer", *(F.col(k).alias(f"{c}_{k}") for k in ("label", "rep", "asked", "n", "place"))) for c in "xy")
-    pairs = both.join(x, ["kmer", "x_label"]).join(y, ["kmer", "y_label"]).filter("x_asked OR y_asked")
-    pairs = pairs.filter(F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n") - 1e-9)
-    pairs = pairs.groupBy("x_rep", "y_rep", "x_n", "y_n").agg(F.count(F.lit(1)).alias("c"), F.max("x_place").alias("i"), F.max("y_place").alias("j"))
-    most = F.col("c") + F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j"))
-    return pairs.filter(most >= least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-9).select(F.col("x_rep").alias("leader"), F.col("y_rep").alias("rep"))
+    return make
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id of its class), copy_id (smallest id among equal texts)."""
-    sig = cut(signatures(docs), "signatures")
+    sig = cut(signatures(docs, least), "signatures")
     known = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch"))
+    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("size"), F.first("sketch").alias("sketch"), F.first("parts").alias("parts"))
                # a repeated id with several texts is told apart by the digest: nodes are hashes of both
-               .withColumn("rep", F.xxhash64("first_id", "digest")), "reps")
-    bands = reps.select("rep", F.posexplode("sketch").alias("place", "value")).select(F.xxhash64("place", "value").alias("key"), "rep")
-    met = cut(stars(bands), "met")
-    # who has fewer than SHORT k-mers is only near texts of up to SHORT / least; below the first bound only equal texts are near
-    short = reps.filter((F.col("n") >= least / (1 - least) - 1e-9) & (F.col("n") <= SHORT / least)).select("rep")
-    asked = met.select("rep").union(met.select("leader")).union(short).distinct()
-    ids = cut(reps.join(asked, "rep", "left_semi").select("rep", F.col("first_id").alias("doc_id"), "digest"), "asked")
-    raw = docs.select(F.col("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["rep", "text"])
+               .withColumn("id", F.xxhash64("first_id", "digest")), "reps")
+    bands = reps.select("id", F.posexplode("sketch").alias("place", "value")).select(F.xxhash64("place", "value").alias("key"), "id")
+    bands = bands.unionByName(reps.select(F.explode("parts").alias("value"), "id").select(F.xxhash64(F.lit("part"), "value").alias("key"), "id"))
+    met = cut(bands.join(jaccard.crowds(bands), "key").join(reps.select("id", "size"), "id"), "met")
+    asked = cut(reps.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "digest"), "asked")
+    raw = docs.select("doc_id", "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def make():
-        return lambda rep, want, text: [(rep, text)] if digest(words(text)) == want else []
-
-    texts = cut(map_rows(raw.select("rep", "digest", "text"), make, "rep long, text string", many=True).dropDuplicates(["rep"]), "texts")
-    tested = cut(verified(met.select("leader", "rep").distinct(), texts, least), "tested")
-    links = tested.filter("near").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
-    labels = components(links)
-    far = met.join(tested.filter("NOT near"), ["leader", "rep"]).select("key", "leader", "rep")
-    one, other = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("leader", "rep"))
-    far = far.join(one, "leader", "left").join(other, "rep", "left").filter("NOT (leader_label <=> rep_label) OR leader_label IS NULL")
-    far = cut(far.select("key", "rep"), "far")
-    unsettled = met.join(far.select("key").distinct(), "key", "left_semi")
-    pool = unsettled.select("rep").union(unsettled.select("leader")).withColumn("asked", F.lit(False)).union(far.select("rep").union(short).withColumn("asked", F.lit(True)))
-    pool = pool.groupBy("rep").agg(F.max("asked").alias("asked")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    pool = cut(pool.select("rep", F.coalesce("label", "rep").alias("label"), "asked").join(texts, "rep"), "pool")
-    if not pool.isEmpty():
-        more = cut(verified(cut(candidates(pool, least), "candidates"), texts, least).filter("near"), "more")
-        labels = components(links.unionByName(more.select(F.col("leader").alias("u"), F.col("rep").alias("v"))))
-    named = labels.join(reps.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    of = labels.join(named, "label").select(F.col("node").alias("rep"), "class_id")
-    of = cut(reps.select("rep", "digest", "first_id").join(of, "rep", "left").select("digest", "first_id", F.coalesce("class_id", "first_id").alias("class_id")), "classes")
+        return lambda doc_id, text: (doc_id, digest(words(text)), text)
+
+    told = map_rows(raw, make, "doc_id long, digest string, text string", chunk=200)
+    texts = cut(told.join(asked, ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    labels = jaccard.linked(met, texts, percent(least), by_alignment(least)).withColumnRenamed("node", "id")
+    named = labels.join(reps.select("id", "first_id"), "id").groupBy("label").agg(F.min("first_id").alias("class_id"))
+    of = labels.join(named, "label").select("id", "class_id")
+    of = cut(reps.select("id", "digest", "first_id").join(of, "id", "left").select("digest", "first_id", F.coalesce("class_id", "first_id").alias("class_id")), "classes")
     rows = sig.select("doc_id", "digest").join(of, "digest", "left")
     grouped = F.col("doc_id").isNotNull()
     return rows.select("doc_id", F.when(grouped, F.coalesce("class_id", "doc_id")).alias("class_id"),

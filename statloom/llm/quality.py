@@ -152,12 +152,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Trees(base, *(np.stack(z) for z in zip(*made, strict=True)))
 
 
-def bounded_sample(rows: DataFrame, key: str, sample: int) -> DataFrame:
-    """About `sample` rows at most, by a hash of the key; the same rows each time."""
-    n = rows.count()
-    if n <= sample:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+def bounded_sample(rows: DataFrame, sample: int) -> DataFrame:
+    """`sample` rows at most, those of the smallest hashes of all their values: the same rows each time, and as many whatever their ids are. Rows with
+    equal values are alike, so it does not matter which of them are taken."""
+    return rows.withColumn("_hash", F.xxhash64(*rows.columns)).orderBy("_hash").limit(sample).drop("_hash")
 
 
 def score_statistics(table: DataFrame, trees: Trees, keep: list[str], threshold: float) -> DataFrame:
@@ -181,6 +179,6 @@ def classify(docs: DataFrame, labelled: DataFrame, keep: list[str], threshold: f
     stats = cut(with_statistics(docs, keep), "quality")
     wanted = labelled.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).filter("_y IN (0, 1)")
     rows = cut(stats.select("doc_id", "stats").join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "stats", "_y"), "quality-train")
-    train: pd.DataFrame = bounded_sample(rows, "doc_id", sample).toPandas().sort_values("doc_id", kind="stable")
+    train: pd.DataFrame = bounded_sample(rows, sample).toPandas().sort_values("doc_id", kind="stable")
     x = np.array([list(v) for v in train["stats"]], dtype=float).reshape(len(train), len(STATISTICS))
     return score_statistics(stats, fit(x, train["_y"].to_numpy(float)), keep, threshold)

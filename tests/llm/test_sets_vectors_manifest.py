@@ -249,3 +249,26 @@ def test_rows_are_ranked_across_parts(spark):
     for t in range(3):
         own = sorted((r["at"], r["rank"], r["n"]) for r in got if r["tree"] == t)
         assert [r[1] for r in own] == list(range(len(own))) and {r[2] for r in own} == {len(own)}
+
+
+# ---- stages on rows
+
+def test_stages_judge_rows_not_ids(spark):
+    import corpus_pipeline as p
+
+    def words_of(letter):
+        return " ".join(f"{letter}{i}" for i in range(60))
+
+    rows = [(1, "t"), (2, "t"), (2, "u"), (3, "v"), (3, "v"), (None, "t"), (None, "w"), (None, "w")]
+    docs = spark.createDataFrame([(i, words_of(x), "en", "s", 1) for i, x in rows] + [(9, None, None, None, None), (9, "", None, None, 0)], DOCS)
+    got = [(r["doc_id"], (r["text"] or "-")[:1]) for r in p.one_of_each(spark, docs, "").collect()]
+    assert sorted(got, key=key) == sorted([(1, "t"), (2, "u"), (3, "v"), (None, "w"), (9, "-"), (9, "-")], key=key)
+
+
+def test_sample_is_a_bound(spark):
+    from statloom.llm.quality import bounded_sample
+
+    one_id = spark.range(3000).select(F.lit(7).alias("doc_id"), (F.col("id") % 2000).alias("v"))
+    got = [tuple(r) for r in bounded_sample(one_id, 500).collect()]
+    assert len(got) == 500 and sorted(got) == sorted(map(tuple, bounded_sample(one_id.repartition(9), 500).collect()))
+    assert bounded_sample(one_id.limit(20), 500).count() == 20

@@ -1,7 +1,11 @@
 """A corpus from raw documents to token digests, in stages.
 
-Each stage reads what its predecessor kept, written as Parquet. The filtering stages go by doc_id: rows whose id a stage rejects go,
-rows without id stay. The statistics and models of a stage come from the documents that it is given.
+Each stage reads what its predecessor kept, written as Parquet. Decisions are taken on rows, not on ids: a row goes because of its own text, whatever other
+rows have its id, and rows without id are judged like others. The statistics and models of a stage come from the documents that it is given.
+
+Defined cases: texts that are null or empty are judged like others by the classifiers, have no near copies and no benchmark passages, and give no tokens.
+Of a group of near copies one row stays, of the smallest id (rows without id last), the first of equal rows; repeated rows are copies. Very long texts are
+judged whole. An empty table gives an empty table. Columns beyond COLUMNS are not carried on.
 """
 
 from __future__ import annotations
@@ -17,31 +21,32 @@ from statloom.session import cut
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among rejected."""
-    gone = cut(rejected.select(F.col("doc_id").alias("_gone")).filter("_gone IS NOT NULL").distinct(), "rejected")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _judged(docs: DataFrame, classify, labels: DataFrame) -> DataFrame:
+    """Rows with what a classifier says about them; it is given their text as `text` and carries their columns along."""
+    carried = docs.select(*COLUMNS).withColumn("_whole", F.col("text"))
+    out = classify(carried, labels, ["doc_id", "_whole", "lang", "source", "n_chars"])
+    return out.withColumnRenamed("_whole", "text").select(*COLUMNS, "predicted")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    scored = quality.classify(docs, table(spark, folder, "labels"), ["doc_id"])
-    return without(docs, scored.filter("predicted = 0"))
+    return _judged(docs, quality.classify, table(spark, folder, "labels")).filter("predicted = 1").select(*COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    scored = toxicity.classify(docs, table(spark, folder, "labels"), ["doc_id"])
-    return without(docs, scored.filter("predicted = 1"))
+    return _judged(docs, toxicity.classify, table(spark, folder, "labels")).filter("predicted = 0").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The smallest id of every class stays."""
-    found = neardup.classes(docs)
-    return without(docs, found.filter("class_id <> doc_id"))
+    """One row of every class stays. Rows are numbered and written first, so that a number means the same row throughout."""
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = neardup.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = cut(rows.select("doc_id", "_row").join(found, "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, folder, "benchmark"), ["doc_id"])
-    return without(docs, found.filter("contaminated"))
+    return decontaminate.decontaminate(docs, table(spark, folder, "benchmark"), COLUMNS).filter("NOT contaminated").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

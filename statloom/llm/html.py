@@ -46,6 +46,7 @@ LISTED = INLINE | VOID | OUTSIDE | ARTICLE | RAW | {
     "h6", "hgroup", "html", "li", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>?", re.S)
+_CUT_OFF = re.compile(r"<[!?/a-zA-Z]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLOSE = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -113,10 +114,11 @@ def pieces(page: str):
     open_ = Open()
     at, size = 0, len(page)
     has_article = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
-    cut_off = re.search(r"<[!/a-zA-Z][^<>]*\Z", page[-4096:])  # a tag that the end cuts off
-    size -= len(cut_off.group()) if cut_off else 0
+    closed = page.rfind(">") + 1  # no tag ends beyond, so none is looked for there
+    cut_off = _CUT_OFF.search(page, closed)  # a tag that the end cuts off, with all that stands in it
+    size = cut_off.start() if cut_off else size
     while at < size:
-        m = _TAG.search(page, at, size)
+        m = _TAG.search(page, at, closed) if at < closed else None
         stop = m.start() if m else size
         if stop > at:
             feature, counted = open_.place(has_article)
@@ -124,6 +126,8 @@ def pieces(page: str):
         if not m:
             return
         at = m.end()
+        if m.group().startswith("<!--") and not m.group().endswith("-->"):
+            return  # a comment without end
         name = (m.group(2) or "").lower()
         if not name:
             continue

@@ -272,3 +272,19 @@ def test_sample_is_a_bound(spark):
     got = [tuple(r) for r in bounded_sample(one_id, 500).collect()]
     assert len(got) == 500 and sorted(got) == sorted(map(tuple, bounded_sample(one_id.repartition(9), 500).collect()))
     assert bounded_sample(one_id.limit(20), 500).count() == 20
+
+
+# ---- markup without end
+
+@pytest.mark.parametrize("page, texts", [
+    ("<p>hi there</p><a title='" + "x" * 5000, ["hi there"]), ("<p>hi</p>" + "<a " * 300_000, ["hi"]), ("<p>a</p><!-- x > y", ["a"]), ("<p>t</p>" + "<!-- " * 200_000, ["t"]),
+    ("<p>a < b</p> c", ["a < b", " c"]), ("<" * 300_000, ["<" * 300_000]),
+])
+def test_markup_without_end(page, texts):
+    import time
+
+    from statloom.llm import html
+
+    start = time.time()
+    assert [text for kind, _, text in html.pieces(page) if kind == "w"] == texts
+    assert time.time() - start < 5

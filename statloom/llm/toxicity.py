@@ -9,7 +9,7 @@ that are words of clean texts are struck out.
 Every hit is weighed in its context window: inside quotation marks it counts little, near other hits more. A logistic
 regression turns total strength, density and the strongest window into a score.
 
-Labelled rows: at most `sample` (a documented bound, by a hash of the id), so the ids can be broadcast; texts are not moved.
+Labelled rows: `sample` at most (a documented bound, those of the smallest hashes), so the ids can be broadcast; texts are not moved.
 
 Defined cases: null and empty texts score like a text without hits. Null labels and ids are not learned from. Without
 toxic or without clean labelled texts nothing can be learned: every score is 0. Repeated rows are scored each.
@@ -40,7 +40,8 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
 
 class Matcher:
-    """Words within one edit of a term of the trie, and words that begin with a stem."""
+    """Words within one edit of a term of the trie, and words that begin with a stem. Whole words are in the trie also where a stem covers them, so that
+    their misspellings are met; a stem itself is met as it is written, for with an edit it would take in clean words."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset()):
         self.terms, self.stems, self.clean = terms, stems, clean
@@ -213,7 +214,7 @@ def learn_terms(train: DataFrame, support: float = SUPPORT, odds: float = ODDS)
             largest = max((n for (x, xs), n in in_toxic.items() if not xs and x.startswith(t)), default=0)
             if in_toxic[t, True] >= 1.3 * largest:  # many endings, not one word
                 stems[t] = w
-    return {t: w for t, w in whole.items() if not any(t.startswith(p) for p in stems)}, stems
+    return whole, stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:

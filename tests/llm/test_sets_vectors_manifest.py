@@ -288,3 +288,12 @@ def test_markup_without_end(page, texts):
     start = time.time()
     assert [text for kind, _, text in html.pieces(page) if kind == "w"] == texts
     assert time.time() - start < 5
+
+
+def test_misspelled_words_under_a_stem():
+    from statloom.llm.toxicity import Matcher
+
+    m = Matcher({"vequabc": 1.0, "badword": 1.0}, {"vequ": 1.0})
+    assert m.look("vequabc") == ("vequabc", 1.0, False) and m.look("vequxyz") == ("vequ", 1.0, False)
+    assert all(m.look(w) == ("vequabc", 0.7, True) for w in ("vepuabc", "vwquabc", "veqabc"))
+    assert m.look("vepuxyz") is None and m.look("other") is None

@@ -1,11 +1,13 @@
 """License scan: Aho-Corasick over words for notice phrases and over the text for identifier tags, expressions by shunting-yard.
 
 Phrases are found where their words stand one after the other. A tag (`SPDX-License-Identifier:` and the like) is followed by an
-expression of identifiers with AND, OR, WITH and parentheses; it is put into postfix order with two stacks and evaluated to its
-licences. The expression ends at the line's end, a comment's end or where it stops being one.
+expression of identifiers with AND, OR, WITH and parentheses; it is put into postfix order with two stacks and evaluated over a stack: to the licences it
+names, and to whether a set of licences satisfies it. Alternatives are never multiplied out. The expression ends at the line's end, a comment's end or
+where it stops being one. Identifiers are those of known families and LicenseRef- ones; other words behind a tag are kept apart and give no label.
 
 Defined cases: null and empty texts have no words, no places and empty labels. Overlapping phrases all count. A tag whose
-expression is broken gives the identifiers read before the break. Repeated rows get a row each.
+expression is broken gives the identifiers read before the break. Ties need no rule: labels are sets in order. Very long texts and expressions are read whole,
+in one pass. Repeated rows get a row each, an empty table none. Columns beyond text and those to keep are not read, whatever they are named.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ FAMILIES = {
     "agpl": "agpl", "apache": "apache", "artistic": "artistic", "bsd": "bsd", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "epl": "epl",
     "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense", "wtfpl": "wtfpl", "zlib": "zlib",
 }
-# Beyond so many choices an AND of alternatives is kept as all its licences together.
-CHOICES = 4096
+OWN = "licenseref-"
 TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:")
 _TOKEN = re.compile(r"[ \t]*(?:(\()|(\))|([a-z0-9][a-z0-9.+:-]*))")
 _POWER = {"with": 3, "and": 2, "or": 1}
@@ -80,27 +81,54 @@ def postfix(infix: list[str]) -> list[str]:
     return out + [t for t in reversed(waiting) if t != "("]
 
 
+def satisfied(order: list[str], held: set[str]) -> bool:
+    """Whether licences satisfy an expression in postfix order; an exception (WITH) asks for no licence."""
+    stack: list[bool] = []
+    for t in order:
+        if t not in _POWER:
+            stack.append(t in held)
+        elif len(stack) >= 2:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if t == "with" else left and right if t == "and" else left or right)
+    return stack[-1] if stack else False
+
+
 def evaluate(order: list[str]) -> list[frozenset[str]]:
-    """The choices an expression leaves: each a set of licences that hold together. An exception (WITH) adds no licence."""
+    """The choices an expression leaves, multiplied out: each a set of licences that hold together. For short expressions; a scan does without."""
     stack: list[list[frozenset[str]]] = []
     for t in order:
         if t not in _POWER:
             stack.append([frozenset([t])])
         elif len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
-            if t == "or":
-                stack.append(list(dict.fromkeys(left + right)))
-            elif t == "with":
-                stack.append(left)
-            else:
-                both = dict.fromkeys(a | b for a in left for b in right) if len(left) * len(right) <= CHOICES else [frozenset().union(*left, *right)]
-                stack.append(list(both))
+            both = left if t == "with" else left + right if t == "or" else [a | b for a in left for b in right]
+            stack.append(list(dict.fromkeys(both)))
     return stack[-1] if stack else []
 
 
-def family(identifier: str) -> str:
-    found = [f for f in FAMILIES if identifier.startswith(f)]
-    return FAMILIES[max(found, key=len)] if found else identifier
+def licences(order: list[str]) -> set[str]:
+    """The licences that an expression in postfix order names, exceptions left out."""
+    stack: list[set[str]] = []
+    for t in order:
+        if t not in _POWER:
+            stack.append({t})
+        elif len(stack) >= 2:
+            right, left = stack.pop(), stack.pop()
+            if t == "with":
+                stack.append(left)
+            else:  # the smaller into the larger one
+                few, many = sorted((left, right), key=len)
+                many |= few
+                stack.append(many)
+    return stack[-1] if stack else set()
+
+
+def family(identifier: str) -> str | None:
+    """Label of an identifier; None for a word that is none."""
+    if identifier.startswith(OWN) and len(identifier) > len(OWN):
+        return identifier
+    found = [f for f in FAMILIES if identifier.startswith(f) and not identifier[len(f):len(f) + 1].isalpha()]
+    return FAMILIES[max(found, key=len)] if found else None
 
 
 class Scanner:
@@ -116,8 +144,8 @@ class Scanner:
             self.tags.add_word(tag, tag)
         self.tags.make_automaton()
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, list[frozenset[str]]]]]:
-        """Number of words, phrase places (word number, label), and expressions (character behind the tag, choices)."""
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, list[str]]]]:
+        """Number of words, phrase places (word number, label), and expressions (character behind the tag, postfix order)."""
         found = words(text)
         places: list[tuple[int, str]] = []
         if found:
@@ -137,30 +165,36 @@ class Scanner:
             for end, _ in self.tags.iter(low):
                 stop = low.find("\n", end + 1)
                 behind = low[end + 1:stop if stop >= 0 else len(low)]
-                expressions.append((end + 1, evaluate(postfix(tokens(behind)))))
+                expressions.append((end + 1, postfix(tokens(behind))))
         return len(found), places, expressions
 
 
 def scan(docs: DataFrame, keep: list[str], phrases: dict[str, str] | None = None, tags: tuple[str, ...] = TAGS) -> DataFrame:
-    """keep, and n_words, places (word number, label), expressions (one array of joined choices per tag), labels, score.
+    """keep, and n_words, starts and base (places and labels of phrases), expressions (postfix order, per tag that names a licence), unknown (words behind
+    tags that are no identifiers), labels, score.
 
-    score: 1 for an expression that could be read, 0.9 for a phrase, 0 without either.
+    score: 1 for an expression that names a licence, 0.9 for a phrase, 0 without either.
     """
     phrases = PHRASES if phrases is None else phrases
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (
-        ", n_words long, starts array<long>, base array<string>, expressions array<array<string>>, labels array<string>, score double")
+        ", n_words long, starts array<long>, base array<string>, expressions array<array<string>>, unknown array<string>, labels array<string>, score double")
 
     def make():
         scanner = Scanner(phrases, tags)
 
         def f(*row):
             n, places, expressions = scanner.scan(row[-1])
-            read = [["+".join(sorted(c)) for c in choices] for _, choices in expressions if choices]
             base = sorted({label for _, label in places})
-            more = {family(x) for _, choices in expressions for c in choices for x in c}
+            read, more, unknown = [], set(), set()
+            for _, order in expressions:
+                named = {x: family(x) for x in licences(order)}
+                if any(named.values()):
+                    read.append(order)
+                more |= {label for label in named.values() if label}
+                unknown |= {x for x, label in named.items() if not label}
             score = 1.0 if read else 0.9 if places else 0.0
-            return (*row[:-1], n, [p for p, _ in places], base, read, sorted({*base, *more}), score)
+            return (*row[:-1], n, [p for p, _ in places], base, read, sorted(unknown), sorted({*base, *more}), score)
 
         return f
 

@@ -297,3 +297,23 @@ def test_misspelled_words_under_a_stem():
     assert m.look("vequabc") == ("vequabc", 1.0, False) and m.look("vequxyz") == ("vequ", 1.0, False)
     assert all(m.look(w) == ("vequabc", 0.7, True) for w in ("vepuabc", "vwquabc", "veqabc"))
     assert m.look("vepuxyz") is None and m.look("other") is None
+
+
+# ---- licence expressions
+
+def test_licence_expressions(spark):
+    from itertools import chain, combinations
+
+    from statloom.llm import licenses
+
+    order = licenses.postfix(licenses.tokens("(mit or gpl-2.0 with classpath-exception) and (cc0-1.0 or isc)"))
+    assert licenses.licences(order) == {"mit", "gpl-2.0", "cc0-1.0", "isc"}
+    names = ["mit", "gpl-2.0", "cc0-1.0", "isc", "classpath-exception"]
+    for held in map(set, chain.from_iterable(combinations(names, n) for n in range(6))):
+        assert licenses.satisfied(order, held) == bool(held & {"mit", "gpl-2.0"} and held & {"cc0-1.0", "isc"})
+    wide = " and ".join(f"(mit or licenseref-{i})" for i in range(20_000))  # 2 ** 20,000 choices
+    texts = [(1, "license-expression: see the file below"), (2, "SPDX-License-Identifier: " + wide), (3, "spdx-license-identifier: MIT OR mitten"), (4, "// SPDX-License-Identifier: LicenseRef-Own")]
+    got = {r["doc_id"]: r for r in licenses.scan(clashing(spark.createDataFrame(texts, "doc_id long, text string")), ["doc_id"]).collect()}
+    assert (got[1]["labels"], got[1]["unknown"], got[1]["score"]) == ([], ["see"], 0.0)
+    assert len(got[2]["labels"]) == 20_001 and len(got[2]["expressions"][0]) == 79_999
+    assert (got[3]["labels"], got[3]["unknown"]) == (["mit"], ["mitten"]) and got[4]["labels"] == ["licenseref-own"]

@@ -9,7 +9,8 @@ The vocabulary file is a parameter; executors must be able to read it. Special t
 asks. Decoding joins the tokens' bytes and reads them as UTF-8, with replacement marks where an id list cuts a character.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. Texts of any length, and words of any length (merged with a heap),
-are encoded whole. Repeated rows get a row each.
+are encoded whole. Repeated rows get a row each, an empty table none. Ties between
+merges: by rank, then from the left. Columns beyond text and those to keep are not read.
 """
 
 from __future__ import annotations

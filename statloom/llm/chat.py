@@ -11,7 +11,8 @@ first character; a backslash that stands there already is doubled up by one more
 Turns of a conversation are put together by one grouping; a conversation is one row, the unit that the rendering needs whole.
 
 Defined cases: null text or role: empty. Turns are ordered by turn, then role, then text; a null turn comes first, repeated turns all
-stay. Rows with null conv_id form one conversation with a null id. Empty table: no rows.
+stay. Rows with null conv_id form one conversation with a null id. Empty table: no rows. Very long texts are
+encoded whole. Columns beyond the four named are not read.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ again for every use.
 
 Defined cases: null and empty texts have no words and no hits. Items without words, or with a null id, take no part. Items that
 repeat an id count as one item of several texts. Repeated documents, and documents without id, get a row each. Empty benchmark: no hits.
+Very long texts are read whole, an empty table gives none. Columns beyond text and those to keep are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ where they stand (in a menu, footer, advert, ...; in the article; else by the bl
 scan finds the contiguous region of the highest total, and the words in it that stand in no menu, form, notice or the like are the text, with
 character references decoded, white space in a block made one space, and blocks joined by one.
 
-Defined cases: null and empty pages, and pages without words, give the empty text. Unclosed, wrongly nested and cut-off markup is read as
-far as it goes. Ties between regions: the first. No labelled pages: prior weights. Repeated rows get a row each.
+Defined cases: null and empty pages, and pages without words, give the empty text. Unclosed and wrongly nested markup is read as
+far as it goes; a tag that the end cuts off goes with all that stands in it, a comment without end too. Ties between regions: the first. No labelled
+pages: prior weights. Very long pages are read whole, in one scan. Repeated rows get a row each, an empty table none. Columns beyond html and those to
+keep are not read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ of a language's n-grams is at least `floor`; so a language has at most 1/floor n
 
 Defined cases: null or empty text, or a text without a letter: `und`, score 0. Null lang: not learned from. No training
 rows: every text is `und`. Ties between languages: the first in sorted order. Repeated rows are scored each, and counted each.
+Very long texts are read whole. Columns beyond text, lang and those to keep are not read.
 """
 
 from __future__ import annotations

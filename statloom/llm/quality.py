@@ -7,7 +7,8 @@ batch through a tree at once.
 
 Defined cases: null and empty texts have the statistics of an empty text and are scored like any other. Null labels and
 null ids are not learned from; repeated and contradictory labels count each. No labelled rows: every score is 0.5. One class
-only: scores near that class. Columns beyond those named are not read.
+only: scores near that class. Ties between splits: the first. Very long texts are read whole, an empty table gives none. Columns beyond
+those named are not read.
 """
 
 from __future__ import annotations

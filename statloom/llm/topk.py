@@ -12,7 +12,7 @@ and every pair of packs gives at most k rows per query; the best k of those are
 Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part. Vectors of
 unequal length are compared as if the shorter went on with zeros. A query's own id is no candidate, in whatever row. Repeated rows
 are candidates each; a repeated query row gets its own ranks. Ties: smaller id first. Scores beyond 64 bits are held at
-the ends of the range.
+the ends of the range. Empty tables give no rows. Columns beyond id and vector are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ regression turns total strength, density and the strongest window into a score.
 Labelled rows: `sample` at most (a documented bound, those of the smallest hashes), so the ids can be broadcast; texts are not moved.
 
 Defined cases: null and empty texts score like a text without hits. Null labels and ids are not learned from. Without
-toxic or without clean labelled texts nothing can be learned: every score is 0. Repeated rows are scored each.
+toxic or without clean labelled texts nothing can be learned: every score is 0. Repeated rows are scored each. Ties between near terms: the first in order. Very long
+texts are read whole. An empty table gives none. Columns beyond doc_id, text and those to keep are not read.
 """
 
 from __future__ import annotations

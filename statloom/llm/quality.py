@@ -155,8 +155,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 def bounded_sample(rows: DataFrame, sample: int) -> DataFrame:
     """`sample` rows at most, those of the smallest hashes of all their values: the same rows each time, and as many whatever their ids are. Rows with
-    equal values are alike, so it does not matter which of them are taken."""
-    return rows.withColumn("_hash", F.xxhash64(*rows.columns)).orderBy("_hash").limit(sample).drop("_hash")
+    equal values are alike, so it does not matter which of them are taken. Only hashes are put in order; rows stay where they are."""
+    names = rows.columns
+    hashed = rows.withColumn("_hash", F.xxhash64(*names))
+    least = hashed.select("_hash").orderBy("_hash").limit(sample)
+    last = least.agg(F.max("_hash").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if last["n"] < sample:
+        return rows
+    at_last = sample - least.filter(F.col("_hash") < last["last"]).count()
+    return hashed.filter(F.col("_hash") < last["last"]).unionByName(hashed.filter(F.col("_hash") == last["last"]).limit(at_last)).select(*names)
 
 
 def score_statistics(table: DataFrame, trees: Trees, keep: list[str], threshold: float) -> DataFrame:

@@ -261,8 +261,8 @@ def classify(docs: DataFrame, labelled: DataFrame, keep: list[str], sample: int
     wanted = labelled.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     wanted = bounded_sample(wanted.filter("_y IN (0, 1) AND _id IS NOT NULL").distinct(), sample)
     # `sample` ids at most, so they can be sent to every task; an id that many rows have still gives `sample` rows at most
-    train = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-    train = cut(bounded_sample(train, sample), "toxic-train")
+    train = cut(docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y"), "toxic-train")
+    train = bounded_sample(train, sample)
     whole, stems = learn_terms(train)
     if not whole and not stems:
         return score_texts(docs, None, None, keep)

@@ -173,13 +173,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bands = bands.unionByName(reps.select(F.explode("parts").alias("value"), "id").select(F.xxhash64(F.lit("part"), "value").alias("key"), "id"))
     met = cut(bands.join(jaccard.crowds(bands), "key").join(reps.select("id", "size"), "id"), "met")
     asked = cut(reps.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "digest"), "asked")
-    raw = docs.select("doc_id", "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    # who is asked for grows with the input: these joins never broadcast, so the plan is the same at every size
+    raw = docs.select("doc_id", "text").join(asked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     def make():
         return lambda doc_id, text: (doc_id, digest(words(text)), text)
 
     told = map_rows(raw, make, "doc_id long, digest string, text string", chunk=200)
-    texts = cut(told.join(asked, ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    texts = cut(told.join(asked.hint("merge"), ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"]), "texts")
     labels = jaccard.linked(met, texts, percent(least), by_alignment(least)).withColumnRenamed("node", "id")
     named = labels.join(reps.select("id", "first_id"), "id").groupBy("label").agg(F.min("first_id").alias("class_id"))
     of = labels.join(named, "label").select("id", "class_id")

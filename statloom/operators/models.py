@@ -278,7 +278,8 @@ PITCH_CHAIN = [
 ]
 
 
-def _link_score(df: DataFrame, link: Link, fits: dict[str, Trees], out: str) -> DataFrame:
+def link_score(df: DataFrame, link: Link, fits: dict[str, Trees], out: str) -> DataFrame:
+    """df with the score of one link of a chain; 0 where the link has no model or, for whole_only links, a feature is missing."""
     if link.per:
         return score_per_type(df, fits, link.features, out, link.per)
     if not fits:
@@ -292,7 +293,7 @@ def _link_score(df: DataFrame, link: Link, fits: dict[str, Trees], out: str) ->
 def score_chain(df: DataFrame, chain: Chain) -> DataFrame:
     """df with a column per component and prefix + "final": weighted components plus intercept."""
     for link in chain.links:
-        df = _link_score(df, link, chain.fits[link.name], f"{chain.prefix}{link.name}")
+        df = link_score(df, link, chain.fits[link.name], f"{chain.prefix}{link.name}")
     return df.withColumn(f"{chain.prefix}final", blended(chain.weights, chain.prefix))
 
 
@@ -315,7 +316,7 @@ def fit_chain(df: DataFrame, target: str, held: str = "is_test", links: list[Lin
             rows = now.filter(all_present(link.features)) if link.whole_only else filled(now, link.features, link.categorical)
             one = fit_early(rows, link.features, "__rest", held, link.categorical, **options)
             fits[link.name] = {"": one} if one else {}
-        scored = _link_score(now, link, fits[link.name], out)
+        scored = link_score(now, link, fits[link.name], out)
         now = cut(scored.withColumn("__rest", F.col("__rest") - F.col(out)), "chain")
     names = [f"{prefix}{link.name}" for link in links]
     found = fit_blend(now.filter(F.col(held)), names, target, penalty)

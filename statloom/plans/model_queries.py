@@ -120,7 +120,7 @@ def l10(spark, folder):
     weights = models.load_config(spark, models.save_config(spark, fresh_path(spark, "config"), chain.weights))
     tunnel = chain.fits["tunnel"][""]
     tunnel.model = models.load_model(models.save_model(tunnel.model, fresh_path(spark, "model")))
-    again = models._link_score(scored.drop("xrv_tunnel"), chain.links[2], {"": tunnel}, "xrv_tunnel")
+    again = models.link_score(scored.drop("xrv_tunnel"), chain.links[2], {"": tunnel}, "xrv_tunnel")
     out = again.withColumn("xrv_final", models.blended(weights, "xrv_"))
     mean = [F.avg(f"xrv_{c}").alias(f"xrv_{c}") for c in ("stuff", "location", "tunnel", "final")]
     return r6(out.groupBy("pitcher").agg(F.count(F.lit(1)).alias("n"), *mean), "xrv_stuff", "xrv_location", "xrv_tunnel", "xrv_final")

@@ -1,39 +1,41 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model per language, over the letters of words: a word is read with start marks before it and an end mark behind it, so a
-word's log-probability depends on the word alone and is computed once per task. All models share sorted hash arrays: one sorted
-array of 64-bit n-gram hashes with a column of discounted probabilities per language, one of context hashes with the back-off
-weights. The language with the lowest cross-entropy per character wins; a text whose cross-entropy is far above what the winner's
-own training texts have is flagged as rejected.
+One model per language, over the letters of words: a word is read with start marks before it and an end mark behind it, so a word's log-probability
+depends on the word alone and is computed once for the corpus. Each language's model is kept in sorted hash arrays: blocks of the hash range, each a row with the
+sorted 64-bit hashes of n-grams, their discounted probabilities, and their back-off weights as contexts. The language with the lowest
+cross-entropy per character wins. Its limit for rejection is a quantile of what its own training texts have under its model.
 
-Counts cover every training text: tasks count words, turn them into n-grams and emit sums. An n-gram enters the model when its share
-of a language's n-grams is at least `floor`; so a language has at most 1/floor n-grams of the top order, whatever the corpus.
+Counts cover every training text and every n-gram is kept: counts, continuation counts, discounts and back-off weights are aggregations of tables, and the
+model grows with the corpus. Distinct words are scored by joins. Words with a share of at least `common` of all occurrences (so at most 1/common words) are
+sent to the tasks with their scores; texts meet the scores of the others by a join, in which no word is frequent.
 
 Defined cases: null or empty text, or a text without a letter: `und`, score 0. Null lang: not learned from. No training
 rows: every text is `und`. Ties between languages: the first in sorted order. Repeated rows are scored each, and counted each.
-Very long texts are read whole. Columns beyond text, lang and those to keep are not read.
+Very long texts and words are read whole. Empty table: no rows. Columns beyond text, lang and those to keep are not read, and those to keep may have any name.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import count_in_tasks, map_rows, mix
+from statloom.llm.common import count_in_tasks, map_rows
+from statloom.session import cut
 
 ORDER = 5
-FLOOR = 2e-6
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 SHARPNESS = 12.0
-REJECT_SD = 5.0
-CACHE = 300_000
-_B = np.uint64(0x9E3779B97F4A7C15)
+REJECT = 0.001
+COMMON = 1e-5
+PIECE = 1000
+BLOCK = 1 << 16
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -42,174 +44,189 @@ def letter_words(text: str | None) -> list[str]:
     return found if any(any(c.isalpha() for c in w) for w in found) else []
 
 
-def gram_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all training texts with columns lang and text."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) over all texts with columns lang and text; a null lang is counted too."""
 
     def make():
-        seen: dict[str, Counter] = defaultdict(Counter)
+        seen: dict[str | None, Counter] = defaultdict(Counter)
 
         def feed(lang, text):
             seen[lang].update(letter_words(text))
 
         def drain():
             for lang, counted in seen.items():
-                grams: Counter = Counter()
                 for word, n in counted.items():
-                    padded = START * (order - 1) + word + END
-                    for i in range(len(padded) - order + 1):
-                        grams[padded[i:i + order]] += n
-                for gram, n in grams.items():
-                    yield lang, gram, n
+                    yield lang, word, n
             seen.clear()
 
-        return feed, drain, lambda: max(map(len, seen.values()), default=0)
+        return feed, drain, lambda: sum(map(len, seen.values()))
 
-    usable = training.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    partial = count_in_tasks(usable, make, "lang string, gram string, n long", limit=100_000)
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    partial = count_in_tasks(texts.select("lang", "text").filter("text IS NOT NULL"), make, "lang string, word string, n long")
+    return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def window_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 0 .. order the hash of the k characters that end at each place (0: the empty one)."""
-    out, h, power = [np.zeros(len(codes), np.uint64)], np.zeros(len(codes), np.uint64), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(1, order + 1):
-            shifted = np.zeros(len(codes), np.uint64)
-            shifted[k - 1:] = codes[: len(codes) - k + 1]
-            h = h + mix(shifted + np.uint64(1)) * power
-            power = power * _B
-            out.append(mix(h + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93)))
+def windows(word: Column, order: int) -> Column:
+    """The `order` characters that end at each character of the word and at its end mark; a long word is cut into pieces first."""
+    padded = F.concat(F.lit(START * (order - 1)), word, F.lit(END))
+    firsts = F.sequence(F.lit(0), F.floor(F.length(word) / PIECE).cast("int"))
+    pieces = F.transform(firsts, lambda j: F.substring(padded, j * PIECE + 1, F.lit(PIECE + order - 1)))
+    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - order + 1), lambda i: F.substring(p, i, F.lit(order)))))
+
+
+def levels(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, k, gram, c): occurrences of the longest n-grams, and for shorter ones the number of different characters before them."""
+    grams = counted.filter("lang IS NOT NULL").select("lang", "n", F.explode(windows(F.col("word"), order)).alias("gram"))
+    level = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
+    out = level.select("lang", F.lit(order).alias("k"), "gram", "c")
+    for k in range(order - 1, 0, -1):
+        level = cut(level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "grams")
+        out = out.unionByName(level.select("lang", F.lit(k).alias("k"), "gram", "c"))
     return out
 
 
-def codes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def discounts(counts: DataFrame) -> DataFrame:
+    """(lang, k, d): n1 / (n1 + 2 n2), kept between 0.1 and 0.9; 0.5 where no n-gram was seen once."""
+    seen = counts.groupBy("lang", "k").agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
+    d = F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))))
+    return seen.select("lang", "k", F.when(F.col("n1") > 0, d).otherwise(0.5).alias("d"))
+
+
+def estimates(counts: DataFrame, found: DataFrame) -> DataFrame:
+    """(lang, gram, alpha, gamma): the discounted probability of an n-gram and, as a context, the weight of its back-off; null where it is no such thing."""
+    told = counts.withColumn("ctx", F.expr("substring(gram, 1, k - 1)"))
+    contexts = told.groupBy("lang", "k", "ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(found, ["lang", "k"])
+    contexts = cut(contexts, "contexts")
+    alpha = told.join(contexts, ["lang", "k", "ctx"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
+    gamma = contexts.select("lang", F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma"))
+    return alpha.unionByName(gamma).groupBy("lang", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
+
+
+def block_of(gram: Column, bits: int) -> tuple[Column, Column]:
+    key = F.xxhash64(gram)
+    return key.alias("key"), F.shiftrightunsigned(key, 64 - bits).cast("int").alias("block")
 
 
 class Model:
-    """Sorted hash arrays; pickled into a broadcast."""
-
-    def __init__(self, langs, grams, alpha, contexts, gamma, base, order):
-        self.langs, self.grams, self.alpha, self.contexts, self.gamma, self.base, self.order = langs, grams, alpha, contexts, gamma, base, order
-
-    @staticmethod
-    def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], np.float32(missing))
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Natural log-probability of each word, its end mark included: one row per word, one column per language."""
-        pad = START * (self.order - 1)
-        codes = codes_of("".join(pad + w + END for w in texts))
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + self.order
-        ends = np.cumsum(lengths)
-        real = np.ones(len(codes), bool)
-        for k in range(self.order - 1):
-            real[ends - lengths + k] = False
-        places = np.flatnonzero(real)
-        hashes = window_hashes(codes, self.order)
-        p = np.full((len(places), len(self.langs)), self.base)
-        for k in range(1, self.order + 1):
-            a = self.look_up(self.grams, self.alpha, hashes[k][places], 0.0)
-            g = self.look_up(self.contexts, self.gamma, hashes[k - 1][places - 1], 1.0)
-            p = a + g * p
-        return np.add.reduceat(np.log(p), np.concatenate(([0], np.cumsum(lengths - self.order + 1)[:-1])), axis=0)
-
-
-def fit(counts: DataFrame, order: int = ORDER, floor: float = FLOOR) -> Model | None:
-    """Kneser-Ney estimates from the counted n-grams; the table that reaches the driver has at most 1/floor rows per language."""
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * floor).select("lang", "gram", "n")
-    top = kept.toPandas().sort_values(["lang", "gram"], ignore_index=True)
-    if top.empty:
+    """langs; blocks: (block, lang, keys, alpha, gamma), a row per language and part of the hash range, its arrays sorted by hash."""
+
+    def __init__(self, langs: list[str], blocks: DataFrame, bits: int, base: float, order: int):
+        self.langs, self.blocks, self.bits, self.base, self.order = langs, blocks, bits, base, order
+
+    def look_up(self, grams: DataFrame) -> DataFrame:
+        """gram, and by language alpha (0 if not seen) and gamma (1 if not seen as a context); by binary search in the arrays of each block."""
+        langs = self.langs
+
+        def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+            wanted = asked["key"].to_numpy()
+            alpha, gamma = np.zeros((len(wanted), len(langs))), np.ones((len(wanted), len(langs)))
+            for lang, keys, a, g in zip(stored["lang"], stored["keys"], stored["alpha"], stored["gamma"], strict=True):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                here, column = keys[at] == wanted, langs.index(lang)
+                alpha[here, column], gamma[here, column] = a[at[here]], g[at[here]]
+            return pd.DataFrame({"gram": asked["gram"], "alpha": list(alpha), "gamma": list(gamma)})
+
+        asked = grams.select("gram", *block_of(F.col("gram"), self.bits))
+        return asked.groupBy("block").cogroup(self.blocks.groupBy("block")).applyInPandas(search, "gram string, alpha array<double>, gamma array<double>")
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """(gram, p): the interpolated probability of the last character of each of the given n-grams of full length, by language."""
+        order = self.order
+        ends = [F.substring("gram", order - k + 1, k) for k in range(1, order + 1)]
+        contexts = [F.substring("gram", order - k + 1, k - 1) for k in range(1, order + 1)]
+        table = cut(self.look_up(grams.select(F.explode(F.array(*ends, *contexts)).alias("gram")).distinct()), "looked_up")
+        p = None
+        for k in range(1, order + 1):
+            here = table.filter(F.length("gram") == k).select("gram", "alpha", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("end"))
+            weights = table.filter(F.length("gram") == k - 1).select(F.col("gram").alias("ctx"), "gamma")
+            shorter = F.array(*[F.lit(self.base)] * len(self.langs))
+            both = here.join(weights, "ctx")
+            if p is not None:
+                both, shorter = both.join(p.select(F.col("gram").alias("end"), "p"), "end"), F.col("p")
+            rest = F.zip_with("gamma", shorter, lambda g, q: g * q)
+            p = both.select("gram", F.zip_with("alpha", rest, lambda a, r: a + r).alias("p"))
+        return p
+
+    def score(self, words: DataFrame) -> DataFrame:
+        """(word, s): natural log-probabilities of distinct words, the end mark included, by language."""
+        parts = words.select("word", F.explode(windows(F.col("word"), self.order)).alias("gram"))
+        logs = self.probabilities(parts.select("gram").distinct()).select("gram", F.transform("p", lambda q: F.log(q)).alias("logs"))
+        return parts.join(logs, "gram").groupBy("word").agg(F.array(*[F.sum(F.col("logs")[i]) for i in range(len(self.langs))]).alias("s"))
+
+
+def fit(counted: DataFrame, order: int = ORDER) -> Model | None:
+    """The model of the counted words (lang, word, n); None if no word has a lang."""
+    counts = levels(counted, order)
+    found = cut(discounts(counts), "discounts")
+    langs = sorted(r[0] for r in found.select("lang").distinct().collect())  # a row per language
+    if not langs:
         return None
-    langs = sorted(top["lang"].unique())
-    column = {x: i for i, x in enumerate(langs)}
-    alpha: dict[str, np.ndarray] = {}
-    gamma: dict[str, np.ndarray] = {}
-    level = top.rename(columns={"n": "c"})
-    for k in range(order, 0, -1):
-        seen = level.assign(ctx=level["gram"].str.slice(0, k - 1))
-        once = seen[seen["c"] == 1].groupby("lang").size()
-        twice = seen[seen["c"] == 2].groupby("lang").size()
-        for lang, rows in seen.groupby("lang"):
-            n1, n2 = once.get(lang, 0), twice.get(lang, 0)
-            d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 else 0.5
-            by = rows.groupby("ctx")["c"].agg(["sum", "size"])
-            total = by["sum"].reindex(rows["ctx"]).to_numpy(float)
-            for gram, value in zip(rows["gram"], (rows["c"].to_numpy(float) - d) / total, strict=True):
-                alpha.setdefault(gram, np.zeros(len(langs), np.float32))[column[lang]] = value
-            for ctx, value in zip(by.index, d * by["size"].to_numpy(float) / by["sum"].to_numpy(float), strict=True):
-                gamma.setdefault(ctx, np.ones(len(langs), np.float32))[column[lang]] = value
-        level = pd.DataFrame({"lang": level["lang"], "gram": level["gram"].str.slice(1)}).groupby(["lang", "gram"]).size().reset_index(name="c")
-    letters = len({g[-1] for g in top["gram"]}) + 1
-
-    def packed(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.empty(len(table), np.uint64)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        names = list(table)
-        for i, g in enumerate(names):
-            by_length[len(g)].append(i)
-        for length, rows in by_length.items():
-            hashes = window_hashes(codes_of("".join(names[i] for i in rows)), length)[length] if length else np.zeros(1, np.uint64)
-            keys[rows] = hashes[length - 1::length] if length else hashes
-        by = np.argsort(keys, kind="stable")
-        return keys[by], np.stack([table[names[i]] for i in by])
-
-    return Model(langs, *packed(alpha), *packed(gamma), 1.0 / letters, order)
-
-
-def score_texts(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """keep, and per text: lang_pred, score, entropy (nats per character of the winner; null for `und`)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, entropy double"
+    told = cut(estimates(counts, found), "estimates")
+    bits = max(5, int(np.ceil(np.log2(max(told.count(), 1) / BLOCK))))
+    letters = counts.filter("k = 1").select(F.count_distinct("gram")).first()[0] + 1
+    entry = F.struct("key", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    blocks = told.select("lang", "alpha", "gamma", *block_of(F.col("gram"), bits)).groupBy("block", "lang").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    blocks = blocks.select("block", "lang", F.col("e.key").alias("keys"), F.col("e.alpha").alias("alpha"), F.col("e.gamma").alias("gamma"))
+    return Model(langs, cut(blocks, "sorted_arrays"), bits, 1.0 / letters, order)
+
+
+def add_up(rows: DataFrame, scored: DataFrame, langs: list[str], keep: list[str], common: float) -> DataFrame:
+    """Per row of (_k0 .., _row, lang, text): its log-probability by language and its number of characters, null without letters."""
+    kinds = dict(rows.dtypes)
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") >= total * common
+    table = scored.filter(frequent).select("word", "s").toPandas()  # at most 1/common rows
+    sent = rows.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(table["word"])}, np.array([*map(list, table["s"]), [0.0] * len(langs)])))
 
     def make():
-        m = sent.value
-        place: dict[str, int] = {}
-        rows = np.empty((CACHE, len(m.langs) if m else 0))
+        place, values = sent.value
+        none = len(values) - 1
 
         def f(*row):
-            nonlocal rows
-            found = letter_words(row[-1]) if m else []
+            found = letter_words(row[-1])
             if not found:
-                return (*row[:-1], "und", 0.0, None)
-            if len(place) > CACHE // 2:
-                place.clear()
-            new = [w for w in dict.fromkeys(found) if w not in place]
-            if new:
-                if len(place) + len(new) > len(rows):
-                    rows = np.concatenate([rows, np.empty((len(new), rows.shape[1]))])
-                for start in range(0, len(new), 20_000):
-                    some = new[start:start + 20_000]
-                    rows[len(place):len(place) + len(some)] = m.score(some)
-                    place.update(zip(some, range(len(place), len(place) + len(some)), strict=True))
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            entropy = -rows[at].sum(axis=0) / (sum(map(len, found)) + len(found))
-            best = int(np.argmin(entropy))
-            weights = np.exp(-SHARPNESS * (entropy - entropy[best]))
-            return (*row[:-1], m.langs[best], float(1.0 / weights.sum()), float(entropy[best]))
+                return (*row[:-1], None, None, None)
+            at = np.fromiter(map(place.get, found, repeat(none)), np.int64, len(found))
+            times = np.bincount(at, minlength=1) if len(at) > len(values) else None
+            sums = times @ values[:len(times)] if times is not None else values[at].sum(axis=0)
+            seldom = [found[i] for i in np.flatnonzero(at == none)]
+            return (*row[:-1], sums.tolist(), sum(map(len, found)) + len(found), seldom or None)
 
         return f
 
-    return map_rows(docs.select(*keep, "text"), make, schema)
+    names = [*keep, "_row", "lang"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sums array<double>, chars long, seldom array<string>"
+    met = cut(map_rows(rows.select(*names, "text"), make, schema), "langid")
+    others = met.select("_row", F.explode("seldom").alias("word")).join(scored.filter(~frequent).select("word", "s"), "word")
+    others = others.groupBy("_row").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(len(langs))]).alias("more"))
+    sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    return met.drop("seldom").join(others, "_row", "left").select(*names, sums.alias("sums"), "chars")
 
 
-def identify(docs: DataFrame, training: DataFrame, keep: list[str], order: int = ORDER, floor: float = FLOOR,
-             reject_sd: float = REJECT_SD) -> DataFrame:
-    """Predicts the language of every text in docs; training has lang and text.
+def identify(docs: DataFrame, learned: Column, keep: list[str], order: int = ORDER, reject: float = REJECT, common: float = COMMON) -> DataFrame:
+    """keep, and per text: lang_pred, score, entropy (nats per character of the winner; null for `und`), rejected.
 
-    `rejected`: the winner's cross-entropy lies more than reject_sd deviations above the mean over all texts that it won.
+    docs has lang and text; `learned` says from which rows the lang may be learned. `rejected`: the cross-entropy is above that of all but a share
+    `reject` of the winner's own training texts (a quantile sketch), or the text is `und`.
     """
-    from statloom.session import cut
-
-    model = fit(gram_counts(training, order), order, floor)
-    scored = cut(score_texts(docs, model, keep), "langid")
-    usual = scored.filter("entropy IS NOT NULL").groupBy("lang_pred").agg(
-        F.avg("entropy").alias("_mean"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("_sd"))
-    limits = {r["lang_pred"]: r["_mean"] + reject_sd * r["_sd"] for r in usual.collect()}  # a row per language
+    renamed = [f"_k{i}" for i in range(len(keep))]
+    back = [F.col(new).alias(old) for new, old in zip(renamed, keep, strict=True)]
+    rows = docs.select(*[F.col(old).alias(new) for new, old in zip(renamed, keep, strict=True)], F.when(learned, F.col("lang")).alias("lang"), "text")
+    counted = cut(word_counts(rows), "words")
+    model = fit(counted, order)
+    if model is None:
+        return rows.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
+    words = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    scored = cut(words.join(model.score(words), "word"), "scored")
+    summed = add_up(rows.withColumn("_row", F.monotonically_increasing_id()), scored, model.langs, renamed, common)
+    langs = F.array(*map(F.lit, model.langs))
+    nats = F.transform("sums", lambda s: -s / F.col("chars"))
+    judged = cut(summed.select(*renamed, "lang", nats.alias("nats")).withColumn("entropy", F.array_min("nats")), "judged")
+    own = judged.filter("lang IS NOT NULL AND entropy IS NOT NULL").withColumn("own", F.element_at("nats", F.array_position(langs, F.col("lang")).cast("int")))
+    limits = own.groupBy("lang").agg(F.percentile_approx("own", 1 - reject, 10_000).alias("limit")).collect()  # a row per language
     limit = F.lit(float("inf"))
-    for lang, value in sorted(limits.items()):
-        limit = F.when(F.col("lang_pred") == lang, F.lit(value)).otherwise(limit)
-    return scored.withColumn("rejected", F.coalesce(F.col("entropy") > limit, F.lit(True)))
+    for r in limits:
+        limit = F.when(F.col("lang_pred") == r["lang"], F.lit(r["limit"])).otherwise(limit)
+    best = F.when(F.col("entropy").isNotNull(), F.element_at(langs, F.array_position("nats", F.col("entropy")).cast("int")))  # a null place would give an element
+    weight = F.aggregate("nats", F.lit(0.0), lambda total, e: total + F.exp(-SHARPNESS * (e - F.col("entropy"))))
+    out = judged.withColumn("lang_pred", F.coalesce(best, F.lit("und"))).withColumn("score", F.coalesce(1 / weight, F.lit(0.0)))
+    return out.select(*back, "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > limit, F.lit(True)).alias("rejected"))

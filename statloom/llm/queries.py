@@ -24,7 +24,7 @@ def sha256(text: str) -> str:
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = fold(F.col("doc_id"), 4) == 2
-    out = langid.identify(docs, docs.filter(~held), ["doc_id"])
+    out = langid.identify(docs, ~held, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -147,13 +147,15 @@ def empty(spark):
 
 
 def test_language_odd(spark):
-    train = spark.createDataFrame([("en", "the word of the others"), ("fr", "les mots des autres"), (None, "x"), ("en", None)], "lang string, text string")
-    got = langid.identify(odd(spark), train, ["doc_id"]).collect()
-    assert len(got) == len(ROWS)
+    train = [(100, "the word of the others", "en"), (101, "les mots des autres", "fr"), (102, "x", None), (103, None, "en")]
+    rows = ROWS + [(i, t, lang, None, None) for i, t, lang in train]
+    both = clashing(spark.createDataFrame(rows, DOCS))
+    got = langid.identify(both, F.col("doc_id") >= 100, ["doc_id", "text", "lang"]).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["lang"] or "") for r in got) == sorted((r[0] or 0, r[1] or "", r[2] or "") for r in rows)
     assert [r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 5)] == ["und"] * 3
     assert {r["lang_pred"] for r in got if r["doc_id"] in (3, 4)} == {"en"}
-    assert {r["lang_pred"] for r in langid.identify(odd(spark), train.limit(0), ["doc_id"]).collect()} == {"und"}
-    assert langid.identify(empty(spark), train, ["doc_id"]).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(both, F.lit(False), ["doc_id"]).collect()} == {"und"}
+    assert langid.identify(empty(spark), F.lit(True), ["doc_id"]).count() == 0
 
 
 def test_classifiers_odd(spark):

@@ -6,8 +6,8 @@ sorted 64-bit hashes of n-grams, their discounted probabilities, and their back-
 cross-entropy per character wins. Its limit for rejection is a quantile of what its own training texts have under its model.
 
 Counts cover every training text and every n-gram is kept: counts, continuation counts, discounts and back-off weights are aggregations of tables, and the
-model grows with the corpus. Distinct words are scored by joins. Words with a share of at least `common` of all occurrences (so at most 1/common words) are
-sent to the tasks with their scores; texts meet the scores of the others by a join, in which no word is frequent.
+model grows with the corpus. Every n-gram of the texts gets its interpolated log-probabilities once. Those with a share of at least `common` of all
+occurrences (so at most 1/common) are sent to the tasks, as a sorted hash array; texts meet the others by a join, in which no n-gram is frequent.
 
 Defined cases: null or empty text, or a text without a letter: `und`, score 0. Null lang: not learned from. No training
 rows: every text is `und`. Ties between languages: the first in sorted order. Repeated rows are scored each, and counted each.
@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import count_in_tasks, map_rows
+from statloom.llm.common import count_in_tasks, map_rows, mix
 from statloom.session import cut
 
 ORDER = 5
@@ -33,9 +32,10 @@ START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 SHARPNESS = 12.0
 REJECT = 0.001
-COMMON = 1e-5
-PIECE = 1000
+COMMON = 1e-6
 BLOCK = 1 << 16
+CACHE = 150_000
+_B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -44,8 +44,8 @@ def letter_words(text: str | None) -> list[str]:
     return found if any(any(c.isalpha() for c in w) for w in found) else []
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, n) over all texts with columns lang and text; a null lang is counted too."""
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n) over all texts with columns lang and text; a null lang is counted too."""
 
     def make():
         seen: dict[str | None, Counter] = defaultdict(Counter)
@@ -55,28 +55,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def drain():
             for lang, counted in seen.items():
+                grams: Counter = Counter()
                 for word, n in counted.items():
-                    yield lang, word, n
+                    padded = START * (order - 1) + word + END
+                    for i in range(len(word) + 1):
+                        grams[padded[i:i + order]] += n
+                for gram, n in grams.items():
+                    yield lang, gram, n
             seen.clear()
 
         return feed, drain, lambda: sum(map(len, seen.values()))
 
-    partial = count_in_tasks(texts.select("lang", "text").filter("text IS NOT NULL"), make, "lang string, word string, n long")
-    return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    partial = count_in_tasks(texts.select("lang", "text").filter("text IS NOT NULL"), make, "lang string, gram string, n long")
+    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def windows(word: Column, order: int) -> Column:
-    """The `order` characters that end at each character of the word and at its end mark; a long word is cut into pieces first."""
-    padded = F.concat(F.lit(START * (order - 1)), word, F.lit(END))
-    firsts = F.sequence(F.lit(0), F.floor(F.length(word) / PIECE).cast("int"))
-    pieces = F.transform(firsts, lambda j: F.substring(padded, j * PIECE + 1, F.lit(PIECE + order - 1)))
-    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - order + 1), lambda i: F.substring(p, i, F.lit(order)))))
+def window_hashes(text: str, order: int) -> np.ndarray:
+    """For each character of the text from the `order`-th on, a hash of the `order` characters that end there."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(codes) - order + 1, 0)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        codes = mix(codes + np.uint64(1))
+        for k in range(order):
+            h = h * _B + codes[k:k + n]
+        return mix(h).view(np.int64)
 
 
 def levels(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, k, gram, c): occurrences of the longest n-grams, and for shorter ones the number of different characters before them."""
-    grams = counted.filter("lang IS NOT NULL").select("lang", "n", F.explode(windows(F.col("word"), order)).alias("gram"))
-    level = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
+    level = counted.filter("lang IS NOT NULL").select("lang", "gram", F.col("n").alias("c"))
     out = level.select("lang", F.lit(order).alias("k"), "gram", "c")
     for k in range(order - 1, 0, -1):
         level = cut(level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "grams")
@@ -146,15 +154,9 @@ class Model:
             p = both.select("gram", F.zip_with("alpha", rest, lambda a, r: a + r).alias("p"))
         return p
 
-    def score(self, words: DataFrame) -> DataFrame:
-        """(word, s): natural log-probabilities of distinct words, the end mark included, by language."""
-        parts = words.select("word", F.explode(windows(F.col("word"), self.order)).alias("gram"))
-        logs = self.probabilities(parts.select("gram").distinct()).select("gram", F.transform("p", lambda q: F.log(q)).alias("logs"))
-        return parts.join(logs, "gram").groupBy("word").agg(F.array(*[F.sum(F.col("logs")[i]) for i in range(len(self.langs))]).alias("s"))
-
 
 def fit(counted: DataFrame, order: int = ORDER) -> Model | None:
-    """The model of the counted words (lang, word, n); None if no word has a lang."""
+    """The model of the counted n-grams (lang, gram, n); None if none has a lang."""
     counts = levels(counted, order)
     found = cut(discounts(counts), "discounts")
     langs = sorted(r[0] for r in found.select("lang").distinct().collect())  # a row per language
@@ -169,35 +171,77 @@ def fit(counted: DataFrame, order: int = ORDER) -> Model | None:
     return Model(langs, cut(blocks, "sorted_arrays"), bits, 1.0 / letters, order)
 
 
-def add_up(rows: DataFrame, scored: DataFrame, langs: list[str], keep: list[str], common: float) -> DataFrame:
-    """Per row of (_k0 .., _row, lang, text): its log-probability by language and its number of characters, null without letters."""
-    kinds = dict(rows.dtypes)
-    total = scored.agg(F.sum("n")).first()[0] or 0
+def some_of(owners: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The different owners, which are sorted, and each one's values."""
+    names, firsts = np.unique(owners, return_index=True)
+    return names.tolist(), np.split(values, firsts[1:]) if len(names) else []
+
+
+def add_up(rows: DataFrame, scored: DataFrame, model: Model, keep: list[str], common: float) -> DataFrame:
+    """Per row of (keep, _row, lang, text): its log-probability by language, `sums`, and its number of characters; null without letters.
+
+    scored: (gram, n, logs) of all n-grams of the texts.
+    """
+    kinds, order, langs = dict(rows.dtypes), model.order, range(len(model.langs))
+
+    @F.pandas_udf("long")
+    def key_of(grams: pd.Series) -> pd.Series:
+        return pd.Series(window_hashes("".join(grams), order)[::order])
+
+    keyed = cut(scored.select(key_of("gram").alias("key"), "n", *[F.col("logs")[i].alias(f"p{i}") for i in langs]), "scored")
+    total = keyed.agg(F.sum("n")).first()[0] or 0
     frequent = F.col("n") >= total * common
-    table = scored.filter(frequent).select("word", "s").toPandas()  # at most 1/common rows
-    sent = rows.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(table["word"])}, np.array([*map(list, table["s"]), [0.0] * len(langs)])))
+    table = keyed.filter(frequent).drop("n").toPandas().sort_values("key")  # at most 1/common rows
+    keys, logs = table["key"].to_numpy(np.int64), table.drop(columns="key").to_numpy(float)
+    sent = rows.sparkSession.sparkContext.broadcast((np.append(keys, np.iinfo(np.int64).max), np.append(logs, np.zeros((1, len(langs))), axis=0)))
 
     def make():
-        place, values = sent.value
-        none = len(values) - 1
+        keys, logs = sent.value
+        place: dict[str, int] = {}
+        sums = np.empty((2 * CACHE, len(langs)))
+        seldom: dict[int, np.ndarray] = {}
+
+        def learn(some: list[str]) -> None:
+            nonlocal sums
+            lengths = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            pad = START * (order - 1)
+            hashes = window_hashes("".join(pad + w + END for w in some), order)
+            firsts = np.cumsum(lengths + order - 1) - lengths - order + 1  # windows over the border of two words are left out
+            starts = np.cumsum(lengths) - lengths
+            wanted = hashes[np.repeat(firsts - starts, lengths) + np.arange(lengths.sum())]
+            at = np.searchsorted(keys, wanted)
+            known = keys[at] == wanted
+            values = np.where(known[:, None], logs[at], 0.0)
+            if len(place) + len(some) > len(sums):
+                sums = np.concatenate([sums, np.empty((len(some), len(langs)))])
+            sums[len(place):len(place) + len(some)] = np.add.reduceat(values, starts, axis=0)
+            lost = np.flatnonzero(~known)
+            owners = np.searchsorted(starts, lost, side="right") - 1
+            for w, part in zip(*some_of(owners, wanted[lost]), strict=True):
+                seldom[len(place) + w] = part
+            place.update(zip(some, range(len(place), len(place) + len(some)), strict=True))
 
         def f(*row):
             found = letter_words(row[-1])
             if not found:
                 return (*row[:-1], None, None, None)
-            at = np.fromiter(map(place.get, found, repeat(none)), np.int64, len(found))
-            times = np.bincount(at, minlength=1) if len(at) > len(values) else None
-            sums = times @ values[:len(times)] if times is not None else values[at].sum(axis=0)
-            seldom = [found[i] for i in np.flatnonzero(at == none)]
-            return (*row[:-1], sums.tolist(), sum(map(len, found)) + len(found), seldom or None)
+            if len(place) > CACHE:
+                place.clear()
+                seldom.clear()
+            new = [w for w in dict.fromkeys(found) if w not in place]
+            for start in range(0, len(new), 20_000):
+                learn(new[start:start + 20_000])
+            at = list(map(place.__getitem__, found))
+            rare = [seldom[i] for i in at if i in seldom]
+            return (*row[:-1], sums[at].sum(axis=0).tolist(), sum(map(len, found)) + len(found), np.concatenate(rare).tolist() if rare else None)
 
         return f
 
     names = [*keep, "_row", "lang"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sums array<double>, chars long, seldom array<string>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sums array<double>, chars long, seldom array<long>"
     met = cut(map_rows(rows.select(*names, "text"), make, schema), "langid")
-    others = met.select("_row", F.explode("seldom").alias("word")).join(scored.filter(~frequent).select("word", "s"), "word")
-    others = others.groupBy("_row").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(len(langs))]).alias("more"))
+    others = met.select("_row", F.explode("seldom").alias("key")).join(keyed.filter(~frequent).drop("n"), "key")
+    others = others.groupBy("_row").agg(F.array(*[F.sum(f"p{i}") for i in langs]).alias("more"))
     sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
     return met.drop("seldom").join(others, "_row", "left").select(*names, sums.alias("sums"), "chars")
 
@@ -211,13 +255,13 @@ def identify(docs: DataFrame, learned: Column, keep: list[str], order: int = ORD
     renamed = [f"_k{i}" for i in range(len(keep))]
     back = [F.col(new).alias(old) for new, old in zip(renamed, keep, strict=True)]
     rows = docs.select(*[F.col(old).alias(new) for new, old in zip(renamed, keep, strict=True)], F.when(learned, F.col("lang")).alias("lang"), "text")
-    counted = cut(word_counts(rows), "words")
+    counted = cut(gram_counts(rows, order), "grams")
     model = fit(counted, order)
     if model is None:
         return rows.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    words = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    scored = cut(words.join(model.score(words), "word"), "scored")
-    summed = add_up(rows.withColumn("_row", F.monotonically_increasing_id()), scored, model.langs, renamed, common)
+    grams = counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    logs = model.probabilities(grams.select("gram")).select("gram", F.transform("p", lambda q: F.log(q)).alias("logs"))
+    summed = add_up(rows.withColumn("_row", F.monotonically_increasing_id()), grams.join(logs, "gram"), model, renamed, common)
     langs = F.array(*map(F.lit, model.langs))
     nats = F.transform("sums", lambda s: -s / F.col("chars"))
     judged = cut(summed.select(*renamed, "lang", nats.alias("nats")).withColumn("entropy", F.array_min("nats")), "judged")

@@ -9,7 +9,7 @@ from statloom.llm import langid
 
 ORDER = 5
 rng = random.Random(3)
-LETTERS = "abcdé🙂"
+LETTERS = "abcdé𐐨"
 
 
 def some_words(n, weights):
@@ -45,8 +45,8 @@ def plain(words):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = [(lang, w, 1) for lang, words in TEXTS.items() for w in words] + [(None, "zzz", 7)]
-    counted = spark.createDataFrame(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = [(lang, w) for lang, words in TEXTS.items() for w in words] + [(None, "zzz")]
+    counted = langid.gram_counts(spark.createDataFrame(rows, "lang string, text string"))
     return counted, langid.fit(counted)
 
 
@@ -67,7 +67,7 @@ def test_every_counted_gram_is_kept(spark, model):
 def test_probabilities_equal_the_formula_and_sum_to_one(spark, model):
     characters = sorted(set(LETTERS) | {"\x03"})
     assert model[1].base == 1 / (len(characters) + 1)
-    contexts = ["\x02" * 4, "\x02\x02\x02a", "abcd", "🙂éaa", "qqqq", "aaqa"]
+    contexts = ["\x02" * 4, "\x02\x02\x02a", "abcd", "𐐨éaa", "qqqq", "aaqa"]
     asked = [c + x for c in contexts for x in [*characters, "?"]]
     got = {r["gram"]: r["p"] for r in model[1].probabilities(spark.createDataFrame([(g,) for g in asked], "gram string")).collect()}
     for i, lang in enumerate(model[1].langs):
@@ -83,23 +83,24 @@ def test_words_and_texts_equal_the_formula(spark):
     rows += [(9, "abc " + "dé" * 1200 + " zz1a", "x"), (9, "abc", None)]
     docs = spark.createDataFrame(rows, "id int, text string, lang string")
     learned = F.col("id") < 9
-    for common in (1e-5, 0.02, 2.0):  # all, some and no words are sent to the tasks; five letters and the end are known
+    for common in (1e-6, 0.002, 2.0):  # all, some and no n-grams are sent to the tasks
         got = langid.identify(docs, learned, ["text"], common=common).collect()
         assert len(got) == len(rows)
-        models = [plain(langid.letter_words(" ".join(TEXTS[lang])))[0] for lang in ("x", "y")]
+        models = [plain(TEXTS[lang])[0] for lang in ("x", "y")]
         for r in got:
             found = langid.letter_words(r["text"])
             windows = [p[i:i + ORDER] for w in found for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)]
-            nats = [-sum(math.log(p(g, 1 / 7)) for g in windows) / len(windows) for p in models]
+            nats = [-sum(math.log(p(g, 1 / 8)) for g in windows) / len(windows) for p in models]
             assert math.isclose(r["entropy"], min(nats), rel_tol=1e-9) and r["lang_pred"] == "xy"[nats.index(min(nats))]
 
 
-def test_windows_of_long_words(spark):
-    for n in (0, 1, 998, 999, 1000, 1001, 2500):
-        word = "".join(rng.choices(LETTERS, k=n))
-        padded = "\x02" * 4 + word + "\x03"
-        got = spark.createDataFrame([(word,)], "w string").select(langid.windows(F.col("w"), ORDER).alias("g")).first()["g"]
-        assert got == [padded[i:i + ORDER] for i in range(n + 1)]
+def test_hashes_of_windows():
+    text = "".join(rng.choices(LETTERS, k=3000))
+    hashes = langid.window_hashes(text, ORDER)
+    assert len(hashes) == len(text) - ORDER + 1
+    by_gram = {text[i:i + ORDER]: h for i, h in enumerate(hashes.tolist())}
+    assert all(by_gram[text[i:i + ORDER]] == h for i, h in enumerate(hashes.tolist())) and len(set(by_gram.values())) == len(by_gram)
+    assert len(langid.window_hashes("abc", ORDER)) == 0
 
 
 @pytest.mark.parametrize("share", [0.02, 0.3, 0.6])

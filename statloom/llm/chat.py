@@ -1,6 +1,6 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole: every turn is `<|turn|>role<|text|>text<|end|>`, the three marks being special tokens of the tokenizer,
+Conversations are rendered whole: every turn is `<|turn|>role<|text|>text<|end|>`, the three marks being special tokens of the tokenizer,
 so no token crosses the border of a text. It is encoded once with offsets; the assistant texts' spans and the tokens' spans are
 both sorted, and binary search finds the tokens of each span. Tokens never cross a pre-token either, so the library encodes each pre-token
 once, and its ids are remembered; offsets follow from the tokens' lengths in bytes.
@@ -8,27 +8,33 @@ once, and its ids are remembered; offsets follow from the tokens' lengths in byt
 Control strings inside roles and texts (the marks, any `<|`, and the usual `<s>`, `</s>`, `[INST]`, `[/INST]`) get a backslash behind their
 first character; a backslash that stands there already is doubled up by one more, so unescaping takes exactly one away.
 
-Turns of a conversation are put together by one grouping; a conversation is one row, the unit that the rendering needs whole.
+Turns are put in order by ranges of (conversation, turn), and consecutive turns of a conversation are rendered and encoded together as one piece, which ends
+with the conversation, with the range or before it exceeds `limit` characters. A conversation may have any number of rows: no task holds
+more than a piece. The marks are special tokens, so pieces encode as the whole conversation does; their offsets count from their own start.
 
-Defined cases: null text or role: empty. Turns are ordered by turn, then role, then text; a null turn comes first, repeated turns all
-stay. Rows with null conv_id form one conversation with a null id. Empty table: no rows. Very long texts are
-encoded whole. Columns beyond the four named are not read.
+Defined cases: null text or role: empty. Turns are ordered by turn, then role, then a hash of the text; a null turn comes first, repeated turns all
+stay. Rows with null conv_id form one conversation with a null id. Empty table: no rows. A very long text is encoded whole, in a piece of its
+own. Columns beyond the four named are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.bpe import PATTERN
-from statloom.llm.common import map_rows
+from statloom.llm.common import arrow_rows, chunks
 
 CACHE = 200_000
+LIMIT = 1_000_000
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED = ("assistant",)
 # What counts as a control string: its first character, with or without backslashes behind it.
@@ -131,29 +137,105 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
     return "".join(unescape(formatted[starts[i]:ends[j - 1]]) for i, j in zip(turns[::2], turns[1::2], strict=True))
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns in order. rows: conv_id, turn, role, text."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+def in_order(rows: DataFrame) -> DataFrame:
+    """(conv_id, role, text, part): turns in order within parts, and parts in order. rows: conv_id, turn, role, text.
+
+    The key of the ranges is short whatever the texts are, and rows of one key are dealt over several ranges.
+    """
+    text = F.coalesce("text", F.lit(""))
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.xxhash64(text).alias("tie"),
+                        F.monotonically_increasing_id().alias("row"))
+    key = ["conv_id", "turn", "role", "tie", "row"]
+    return turns.repartitionByRange(*key).sortWithinPartitions(*key).select("conv_id", "role", "text", F.spark_partition_id().alias("part"))
+
+
+def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True)
 
 
 OUTPUT = "formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<byte>"
 
 
-def format_conversations(rows: DataFrame, tokenizer_path: str, learned: tuple[str, ...] = LEARNED, finish=None, schema: str = OUTPUT) -> DataFrame:
-    """conv_id, formatted, ids, starts, ends (token offsets in code points), mask (1: learn from this token); finish(formatted, ids, starts, ends,
-    mask) may put other columns of `schema` in their place."""
+def format_conversations(rows: DataFrame, tokenizer_path: str, learned: tuple[str, ...] = LEARNED, finish=None, schema: str = OUTPUT,
+                         limit: int = LIMIT) -> DataFrame:
+    """conv_id, part, piece, formatted, ids, starts, ends (token offsets in code points), mask (1: learn from this token): a conversation's pieces in the order of
+    (part, piece). finish(formatted, ids, starts, ends, mask) may put other columns of `schema` in place of the last five."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     finish = finish or (lambda *made: made)
+    schema = f"conv_id long, part int, piece long, {schema}"
+    out = to_arrow_schema(_parse_datatype_string(schema))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = OffsetEncoder(tokenizer_path)
+        made: list[tuple] = []
+        held: list[tuple[str, str]] = []
+        number = size = waiting = 0
+        conv = part = None
 
-        def f(conv_id, roles, texts):
-            formatted, first, last = render(list(zip(roles, texts, strict=True)), learned)
+        def piece():
+            formatted, first, last = render(held, learned)
             ids, starts, ends = encoder.encode(formatted)
-            return conv_id, *finish(formatted, ids, starts, ends, mask_of(starts, ends, first, last))
-
-        return f
-
-    ordered = conversations(rows).select("conv_id", "turns.role", "turns.text")
-    return map_rows(ordered, make, f"conv_id long, {schema}", chunk=200)
+            return conv, part, number, *finish(formatted, ids, starts, ends, mask_of(starts, ends, first, last))
+
+        for conv_id, role, text, at in values(batches):
+            here = len(role) + len(text)
+            if held and (conv_id != conv or size + here > limit):
+                made.append(piece())
+                waiting += size
+                held, number, size = [], number + 1, 0
+                if waiting > limit or len(made) == 500:
+                    yield arrow_rows(made, out)
+                    made, waiting = [], 0
+            conv, part, size = conv_id, at, size + here
+            held.append((role, text))
+        if held:
+            made.append(piece())
+        if made:
+            yield arrow_rows(made, out)
+
+    return in_order(rows).mapInArrow(run, schema)
+
+
+def read_pieces(formatted: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple[int, str, str, int]:
+    """A finish of format_conversations: what is read back from a piece, in the columns PIECE."""
+    turns = read_back(formatted)
+    return len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), masked_text(formatted, starts, ends, mask), len(formatted)
+
+
+PIECE = "n_turns long, turns string, loss string, formatted_chars long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """A row of DIGESTS per conversation from its pieces of PIECE, which pass through one by one."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(DIGESTS))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        conv, sums = None, None
+
+        def row():
+            return conv, sums[0], turns_hash.hexdigest(), sums[1], loss_hash.hexdigest(), sums[2]
+
+        for conv_id, n_turns, turns, loss, n_chars in values(batches):
+            if sums is None or conv_id != conv:
+                if sums is not None:
+                    yield row()
+                conv, sums, turns_hash, loss_hash = conv_id, [0, 0, 0], hashlib.sha256(), hashlib.sha256()
+            turns_hash.update(turns.encode())
+            loss_hash.update(loss.encode())
+            sums = [sums[0] + n_turns, sums[1] + len(loss), sums[2] + n_chars]
+        if sums is not None:
+            yield row()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from chunks(fold(batches), out)
+
+    together = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
+    return together.select("conv_id", "n_turns", "turns", "loss", "formatted_chars").mapInArrow(run, DIGESTS)

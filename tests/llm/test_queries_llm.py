@@ -2,8 +2,10 @@
 
 import hashlib
 import os
+import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 from helpers import clashing, words
 from pyspark.sql import functions as F
@@ -233,10 +235,34 @@ def test_chat_odd(spark):
     from statloom.llm import chat
 
     rows = spark.createDataFrame([(1, 0, "user", None), (1, None, None, "x"), (None, 1, "assistant", "y"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.format_conversations(clashing(rows), queries.vocabulary_path()).collect()}
-    assert chat.read_back(got[1]["formatted"]) == [("", "x"), ("user", ""), ("user", "")]
-    assert chat.masked_text(got[None]["formatted"], got[None]["starts"], got[None]["ends"], got[None]["mask"]) == "y"
+    got = {}
+    for r in sorted(chat.format_conversations(clashing(rows), queries.vocabulary_path()).collect(), key=lambda r: (r["part"], r["piece"])):
+        turns, loss = got.get(r["conv_id"], ([], ""))
+        got[r["conv_id"]] = turns + chat.read_back(r["formatted"]), loss + chat.masked_text(r["formatted"], *map(np.array, (r["starts"], r["ends"], r["mask"])))
+    assert got == {1: ([("", "x"), ("user", ""), ("user", "")], ""), None: ([("assistant", "y")], "y")}
     assert chat.format_conversations(rows.limit(0), queries.vocabulary_path()).count() == 0
+    assert chat.digests(chat.format_conversations(rows.limit(0), queries.vocabulary_path(), finish=chat.read_pieces, schema=chat.PIECE)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 300, 10**6])
+def test_chat_of_one_hot_conversation(spark, limit):
+    """A third of all rows, very long texts, repeated rows and null ids; pieces of one turn, of some and of all."""
+    from statloom.llm import chat
+
+    talk = [(7, i, ("user", "assistant")[i % 2], f"say {i} </s> it's <|end|> naïve 🙂") for i in range(600)] + [(7, 600, "assistant", "long " * 40_000)]
+    other = [(i, j, ("assistant", "user")[j % 2], f"{i} {j}") for i in range(100, 300) for j in range(6)] + [(None, 1, "assistant", "same")] * 50
+    rows = talk + other
+    spread = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "conv_id long, turn long, role string, text string").repartition(7)
+    pieces = chat.format_conversations(spread, queries.vocabulary_path(), finish=chat.read_pieces, schema=chat.PIECE, limit=limit)
+    got = {r["conv_id"]: r for r in chat.digests(pieces).collect()}
+    want = {}
+    for conv, _, role, text in rows:
+        want.setdefault(conv, []).append((role, text))
+    assert got.keys() == want.keys()
+    for conv, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        whole = chat.render(turns)[0]
+        assert tuple(got[conv])[1:] == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(whole))
 
 
 def test_top_k_odd(spark):

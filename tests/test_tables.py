@@ -170,3 +170,14 @@ def test_split_does_not_depend_on_layout(spark):
     a = rows(models.key_split(d, ["id"]).filter("is_test"), "id")
     b = rows(models.key_split(d.repartition(7), ["id"]).filter("is_test"), "id")
     assert a == b and 120 < len(a) < 280
+
+
+def test_player_games_are_not_moved_as_pairs(spark):
+    games = spark.createDataFrame([(1, "A", "B"), (2, "B", "C"), (3, "A", "A"), (4, None, "A"), (4, "C", "B")], "game_pk int, away string, home string")
+    log = spark.createDataFrame([(9, 1), (9, 1), (9, 7)], "player_id int, game_pk int")
+    players = spark.createDataFrame([(5, "A"), (5, "B"), (5, "A"), (6, "C"), (7, None), (9, "A")], "player_id int, team string")
+    got = joins.player_games(games, log, players)
+    assert rows(got) == [(5, 1), (5, 2), (5, 3), (5, 4), (6, 2), (6, 4), (9, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    pairs = [plan.children().apply(i).toString() for i in range(plan.children().size())][1]
+    assert "Aggregate [player_id" not in pairs.split("Join Inner")[0]

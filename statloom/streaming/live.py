@@ -21,16 +21,17 @@ from statloom.streaming.upserts import Upserts
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder that match a name, as a stream with the schema of the files there.
+    """The Parquet table of a name in a folder, one file or a folder of files, as a stream with its schema.
 
     Times without a zone are read as session time, since event time needs one.
     """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     local = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return reader.parquet(folder).withColumns({c: F.col(c).cast("timestamp") for c in local})
+    # a pattern of one name: as a plain path a file is refused
+    return reader.parquet(f"{folder}/{{{name}}}").withColumns({c: F.col(c).cast("timestamp") for c in local})
 
 
 def _run(writer, checkpoint: str) -> list:

@@ -125,3 +125,14 @@ def test_sessions_over_batches(spark, tmp_path):
 def test_parts_merge_in_any_order():
     assert merge([(0, 3, 1), (6, 6, 1)], 3) == [(0, 3, 1), (6, 6, 1)]
     assert merge([(6, 6, 1), (0, 3, 1), (5, 5, 1)], 3) == [(0, 6, 3)]
+
+
+def test_stream_of_a_table_in_one_file_and_in_a_folder(spark, tmp_path):
+    rows = [(i, i * 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    df.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        got = live.run_to_table(live.stream_table(spark, str(tmp_path), name), "whole")
+        assert sorted(map(tuple, got.collect())) == rows

@@ -55,7 +55,8 @@ def pieces(keys: list[str], gap: int, sums: list[str]) -> Callable[[Iterator[pa.
 class SessionProcessor(StatefulProcessor):
     """Open sessions of a key by their start. Every change is emitted; a session that another one has taken in is emitted as gone.
 
-    A batch emits a start once: what it has just extended ends after the watermark, so no timer of the same batch closes it.
+    A batch emits a start once: what it has just extended ends after the watermark, so no timer of the same batch closes it. All open sessions of a key are
+    one value with one timer, at the end of the first of them (due, in ms): a key costs a few calls a batch, however many sessions it has.
     """
 
     def __init__(self, keys: list[tuple[str, str]], gap: int, sums: list[str]):
@@ -63,38 +64,44 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", ", ".join(["last long", "n long", *[f"{s} double" for s in self.sums]]))
+        columns = ["start array<bigint>", "last array<bigint>", "n array<bigint>", *[f"{s} array<double>" for s in self.sums]]
+        self.open = handle.getValueState("open", ", ".join(["due bigint", *columns]))
 
     def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         names = [*[k for k, _ in self.keys], "start", "last", "n", *self.sums, "open", "gone"]
         return pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
-    def _held(self) -> list[tuple]:
-        return [(k[0], *v) for k, v in self.open.iterator()]
+    def _held(self) -> tuple[int | None, list[tuple]]:
+        held = self.open.get()
+        return (None, []) if held is None else (held[0], list(zip(*held[1:], strict=True)))
+
+    def _hold(self, due: int | None, sessions: list[tuple]) -> None:
+        if not sessions:
+            self.open.clear()
+            return
+        # the first millisecond at which a session is over
+        first = -(-(min(s[1] for s in sessions) + self.gap) // 1000)
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            due = first
+        self.open.update((due, *[list(c) for c in zip(*sessions, strict=True)]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._held()
+        due, before = self._held()
         parts = [tuple(int(x) if i < 3 else float(x) for i, x in enumerate(r))
                  for df in rows for r in df[["start", "last", "n", *self.sums]].itertuples(index=False, name=None)]
         now = merge([*before, *parts], self.gap)
-        out = []
         starts = {s[0] for s in now}
-        for s in before:
-            if s[0] not in starts:
-                self.open.removeKey((s[0],))
-                out.append((*s, False, True))
-        for s in set(now) - set(before):
-            self.open.updateValue((s[0],), tuple(s[1:]))
-            # the first millisecond at which the session is over
-            self.handle.registerTimer(-(-(s[1] + self.gap) // 1000))
-            out.append((*s, True, False))
+        out = [(*s, False, True) for s in before if s[0] not in starts] + [(*s, True, False) for s in set(now) - set(before)]
         if out:
+            self._hold(due, now)
             yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        done = [s for s in self._held() if s[1] + self.gap <= passed]
-        for s in done:
-            self.open.removeKey((s[0],))
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, held = self._held()
+        done = [s for s in held if s[1] + self.gap <= passed * 1000]
+        if done or (due is not None and due <= passed):
+            self._hold(due if due is not None and due > passed else None, [s for s in held if s[1] + self.gap > passed * 1000])
         if done:
             yield self._frame(key, [(*s, False, False) for s in done])

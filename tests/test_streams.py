@@ -136,3 +136,12 @@ def test_stream_of_a_table_in_one_file_and_in_a_folder(spark, tmp_path):
     for name in ("many.parquet", "one.parquet"):
         got = live.run_to_table(live.stream_table(spark, str(tmp_path), name), "whole")
         assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_many_sessions_of_a_key_are_one_value(spark, tmp_path):
+    batches = [[(START + timedelta(hours=5 * i), 1, "k", 1.0) for i in range(30)], [(START + timedelta(days=60), 2, "k", 1.0)]]
+    progress = []
+    got = live.live_sessions(files(spark, tmp_path, batches), "ts", ["user"], timedelta(hours=2), "1 hour", {"total": F.col("value")}, progress)
+    assert got.groupBy("user", "open").count().sort("user").collect() == [(1, False, 30), (2, True, 1)]
+    # a value and a timer (kept in both of its orders) of a key, not of a session
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 2 * 3

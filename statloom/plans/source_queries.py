@@ -162,7 +162,7 @@ SELECT game_pk, at_bat_index, pitcher, batter, result, n AS pitch_number, CASE n
  n > 1 AS is_swing, n = 2 AS is_whiff, CASE n WHEN 1 THEN {half_up_sql(f'degrees(atan((-4e0 + -20e0 * {_T2}) / abs(vy + 25e0 * {_T2})))', 1)} WHEN 2 THEN {half_up_sql('degrees(atan((2.5e0 - 5.5e0) / (60.5e0 - 6e0)))', 1)} END AS vaa
 FROM p, (SELECT unnest([1, 2, 3]) AS n)""")
 def s8(spark, folder):
-    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"])
+    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"], game_json.PITCHES_SCHEMA)
     return game_json.pitches(plays, ["game_pk"]).select(
         "game_pk", "at_bat_index", "pitcher", "batter", "result", "pitch_number", "pitch_type", "velo", "balls", "strikes", "is_swing", "is_whiff", "vaa")
 
@@ -175,7 +175,7 @@ _LINES = f"""pl AS (SELECT l_orderkey AS game_pk, l_suppkey AS pitcher, {EVENT}
 
 @query("a23_pitching_lines", f"WITH {_LINES} SELECT * FROM pb")
 def a23(spark, folder):
-    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"])
+    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"], game_json.LINES_SCHEMA)
     return game_json.pitching_lines(plays, ["game_pk"])
 
 
@@ -217,7 +217,7 @@ WITH {_LINES}, bx AS (SELECT o_orderkey AS game_pk, o_custkey % 50 AS pitcher, (
   CASE WHEN bx.pitcher IS NOT NULL THEN 1 ELSE 0 END AS b FROM pb FULL JOIN bx ON bx.game_pk = pb.game_pk AND bx.pitcher = pb.pitcher)
 SELECT pitcher, count(*) AS games, CAST(sum(b) AS BIGINT) AS box_games, CAST(sum(outs) AS BIGINT) AS outs, CAST(sum(er) AS BIGINT) AS er, CAST(sum(k) AS BIGINT) AS k, CAST(sum(bb) AS BIGINT) AS bb, CAST(sum(hr) AS BIGINT) AS hr, CAST(sum(bf) AS BIGINT) AS bf FROM j GROUP BY pitcher""")
 def a24(spark, folder):
-    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"])
+    plays = game_json.playlist(play_documents(spark, folder), "doc", ["game_pk"], game_json.LINES_SCHEMA)
     stats = ["outs", "er", "k", "bb", "hr", "bf"]
     games = rates.prefer_box(game_json.box_pitching(box_rows(spark, folder), ["game_pk"]), game_json.pitching_lines(plays, ["game_pk"]), ["game_pk", "pitcher"], stats)
     return games.groupBy("pitcher").agg(

@@ -11,14 +11,13 @@ from statloom.functions.dates import innings_to_outs
 from statloom.functions.physics import approach_angle_at_plate
 from statloom.operators.keys import lookup
 
-PLAYS_SCHEMA = """allPlays ARRAY<STRUCT<
-  atBatIndex: INT,
+_PLAY = """atBatIndex: INT,
   result: STRUCT<type: STRING, event: STRING>,
-  matchup: STRUCT<pitcher: STRUCT<id: BIGINT>, batter: STRUCT<id: BIGINT>, batSide: STRUCT<code: STRING>>,
-  runners: ARRAY<STRUCT<
+  matchup: STRUCT<pitcher: STRUCT<id: BIGINT>, batter: STRUCT<id: BIGINT>, batSide: STRUCT<code: STRING>>"""
+_RUNNERS = """runners: ARRAY<STRUCT<
     movement: STRUCT<isOut: BOOLEAN, `end`: STRING>,
-    details: STRUCT<responsiblePitcher: STRUCT<id: BIGINT>, isEarned: BOOLEAN, earned: BOOLEAN>>>,
-  playEvents: ARRAY<STRUCT<
+    details: STRUCT<responsiblePitcher: STRUCT<id: BIGINT>, isEarned: BOOLEAN, earned: BOOLEAN>>>"""
+_PLAY_EVENTS = """playEvents: ARRAY<STRUCT<
     isPitch: BOOLEAN, pitchNumber: INT, count: STRUCT<balls: INT, strikes: INT>,
     details: STRUCT<type: STRUCT<code: STRING, description: STRING>, call: STRUCT<code: STRING>,
                     isStrike: BOOLEAN, isInPlay: BOOLEAN>,
@@ -26,7 +25,11 @@ PLAYS_SCHEMA = """allPlays ARRAY<STRUCT<
       breaks: STRUCT<spinRate: DOUBLE, spinDirection: DOUBLE, breakHorizontal: DOUBLE, breakVerticalInduced: DOUBLE>,
       coordinates: STRUCT<pX: DOUBLE, pZ: DOUBLE, x0: DOUBLE, z0: DOUBLE, vX0: DOUBLE, vY0: DOUBLE, vZ0: DOUBLE,
                           aX: DOUBLE, aY: DOUBLE, aZ: DOUBLE, pfxX: DOUBLE, pfxZ: DOUBLE>>,
-    hitData: STRUCT<launchSpeed: DOUBLE, launchAngle: DOUBLE, coordinates: STRUCT<coordX: DOUBLE, coordY: DOUBLE>>>>>>"""
+    hitData: STRUCT<launchSpeed: DOUBLE, launchAngle: DOUBLE, coordinates: STRUCT<coordX: DOUBLE, coordY: DOUBLE>>>>"""
+PLAYS_SCHEMA = f"allPlays ARRAY<STRUCT<{_PLAY}, {_RUNNERS}, {_PLAY_EVENTS}>>"
+# What pitches and pitching_lines read; the parser skips the rest of the text.
+PITCHES_SCHEMA = f"allPlays ARRAY<STRUCT<{_PLAY}, {_PLAY_EVENTS}>>"
+LINES_SCHEMA = f"allPlays ARRAY<STRUCT<{_PLAY}, {_RUNNERS}>>"
 
 _TEAM_SIDE = """STRUCT<team: STRUCT<id: BIGINT, abbreviation: STRING, teamName: STRING>,
   players: MAP<STRING, STRUCT<person: STRUCT<id: BIGINT, fullName: STRING>,
@@ -118,33 +121,35 @@ def pitches(play_rows: DataFrame, keep: list[str]) -> DataFrame:
 def pitching_lines(play_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Outs and runs from runner movements, strikeouts and so on from plate appearances, per key and pitcher.
 
-    A run is charged to the responsible pitcher when that is the pitcher of the play.
+    A run is charged to the responsible pitcher when that is the pitcher of the play. Movements are counted inside their play, so a document is
+    parsed once and plays go through one aggregation.
     """
     from statloom.operators.rates import HIT_BASES, STRIKEOUT_EVENTS, WALK_EVENTS
 
     p = F.col("play")
+
+    def charged(m):
+        responsible = F.coalesce(m["details"]["responsiblePitcher"]["id"], F.col("pitcher"))
+        return (m["movement"]["end"] == "score") & (responsible == F.col("pitcher"))
+
+    def earned(m):
+        return F.coalesce(m["details"]["isEarned"], F.lit(False)) | F.coalesce(m["details"]["earned"], F.lit(False))
+
+    def moves(cond):
+        return F.coalesce(F.sum(F.array_size(F.filter("runners", cond))), F.lit(0))
+
     base = play_rows.select(
         *keys, p["matchup"]["pitcher"]["id"].alias("pitcher"), p["result"].alias("r"), p["runners"].alias("runners")
     )
-    run = base.select(*keys, "pitcher", F.explode_outer("runners").alias("m"))
-    charged = (F.col("m.movement.end") == "score") & (
-        F.coalesce("m.details.responsiblePitcher.id", "pitcher") == F.col("pitcher")
-    )
-    earned = F.coalesce("m.details.isEarned", F.lit(False)) | F.coalesce("m.details.earned", F.lit(False))
-    moves = run.groupBy(*keys, "pitcher").agg(
-        F.count_if(F.col("m.movement.isOut")).alias("outs"),
-        F.count_if(charged).alias("runs"), F.count_if(charged & earned).alias("er"),
-    )
     e = F.col("r.event")
-    at_bats = base.groupBy(*keys, "pitcher").agg(
+    return base.groupBy(*keys, "pitcher").agg(
         F.count_if(F.col("r.type") == "atBat").alias("bf"),
         *[F.count_if((F.col("r.type") == "atBat") & cond).alias(n) for n, cond in {
             "k": e.isin(*STRIKEOUT_EVENTS), "bb": e.isin(*WALK_EVENTS), "hbp": e == "Hit By Pitch",
             "h": e.isin(*HIT_BASES), "hr": e == "Home Run",
         }.items()],
+        moves(lambda m: m["movement"]["isOut"]).alias("outs"), moves(charged).alias("runs"), moves(lambda m: charged(m) & earned(m)).alias("er"),
     )
-    out = lookup(at_bats, moves, [*keys, "pitcher"])
-    return out.na.fill(0, ["outs", "runs", "er"])
 
 
 def box_players(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -251,9 +256,9 @@ def grade_rows(documents: DataFrame, text: str) -> DataFrame:
     return per.select(F.col("pitcher").try_cast("bigint").alias("pitcher"), "pitch_type", "g.*")
 
 
-def playlist(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def playlist(documents: DataFrame, text: str, keep: list[str], schema: str = PLAYS_SCHEMA) -> DataFrame:
     """Play-by-play text straight to play rows."""
-    return plays(parse(documents, text, PLAYS_SCHEMA, keep), keep)
+    return plays(parse(documents, text, schema, keep), keep)
 
 
 def as_json(c) -> Column:

@@ -181,3 +181,17 @@ def test_player_games_are_not_moved_as_pairs(spark):
     plan = got._jdf.queryExecution().optimizedPlan()
     pairs = [plan.children().apply(i).toString() for i in range(plan.children().size())][1]
     assert "Aggregate [player_id" not in pairs.split("Join Inner")[0]
+
+
+def test_pitching_lines_parse_a_document_once(spark):
+    from statloom.sources import game_json
+
+    doc = """{"allPlays": [{"result": {"type": "atBat", "event": "Walk"}, "matchup": {"pitcher": {"id": 1}}, "runners": null, "playEvents": [{"isPitch": true}]},
+     {"result": {"type": "atBat", "event": "Single"}, "matchup": {"pitcher": {"id": 1}}, "runners": [null, {"movement": {"isOut": true}}, {"movement": {"end": "score"}},
+      {"movement": {"end": "score"}, "details": {"isEarned": true}}, {"movement": {"end": "score"}, "details": {"responsiblePitcher": {"id": 2}}}]},
+     {"result": {"type": "action"}, "matchup": {"pitcher": {"id": 3}}}]}"""
+    docs = spark.createDataFrame([(7, doc)], "game_pk int, doc string")
+    for schema in (game_json.PLAYS_SCHEMA, game_json.LINES_SCHEMA):
+        got = game_json.pitching_lines(game_json.playlist(docs, "doc", ["game_pk"], schema), ["game_pk"])
+        assert rows(got, "pitcher", "bf", "bb", "h", "outs", "runs", "er") == [(1, 2, 1, 1, 1, 2, 1), (3, 0, 0, 0, 0, 0, 0)]
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -195,3 +195,14 @@ def test_pitching_lines_parse_a_document_once(spark):
         got = game_json.pitching_lines(game_json.playlist(docs, "doc", ["game_pk"], schema), ["game_pk"])
         assert rows(got, "pitcher", "bf", "bb", "h", "outs", "runs", "er") == [(1, 2, 1, 1, 1, 2, 1), (3, 0, 0, 0, 0, 0, 0)]
         assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_pitches_need_no_runners(spark):
+    from statloom.sources import game_json
+
+    doc = """{"allPlays": [{"atBatIndex": 4, "result": {"event": "Walk"}, "matchup": {"pitcher": {"id": 1}}, "runners": [{"movement": {"isOut": true}}],
+     "playEvents": [{"isPitch": true, "pitchNumber": 1, "count": {"balls": 1, "strikes": 0}, "pitchData": {"startSpeed": 90.5}},
+      {"isPitch": true, "pitchNumber": 2, "pitchData": {"startSpeed": 91.5}}]}]}"""
+    docs = spark.createDataFrame([(7, doc)], "game_pk int, doc string")
+    whole, less = [game_json.pitches(game_json.playlist(docs, "doc", ["game_pk"], s), ["game_pk"]).collect() for s in (game_json.PLAYS_SCHEMA, game_json.PITCHES_SCHEMA)]
+    assert whole == less and [(r["pitch_number"], r["velo"], r["balls"]) for r in less] == [(1, 90.5, 0), (2, 91.5, 1)]

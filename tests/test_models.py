@@ -101,3 +101,27 @@ def test_measures(spark):
         want = np.mean([(a > b) + (a == b) / 2 for a in one for b in two]) if one and two else None
         assert r["positives"] == len(one) and (r["auc"] == pytest.approx(want) if want is not None else r["auc"] is None)
     assert models.auc_table(df, "label", "score").columns == ["n", "positives", "auc"]
+
+
+def test_fits_deal_rows_evenly(rows, monkeypatch):
+    """A table in one split is trained on in many parts of bounded size; they are given back."""
+    seen = []
+    fit = models.Pipeline.fit
+
+    def watched(pipe, df):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        seen.append((df.rdd.getNumPartitions(), sum(sizes), max(sizes)))
+        return fit(pipe, df)
+
+    monkeypatch.setattr(models.Pipeline, "fit", watched)
+    monkeypatch.setattr(models, "PART_ROWS", 300)
+    one = rows.na.drop().withColumn("up", (F.col("y") > 0).cast("int")).coalesce(1)
+    n, kept = one.count(), one.sparkSession.sparkContext._jsc.getPersistentRDDs().size()
+    few = {"maxDepth": 2}
+    models.fit_early(one, ["a", "c"], "y", most=1, **few)
+    models.fit_probability_early(one, ["a", "c"], "up", most=1, **few)
+    models.train_per_type(one, ["CH"], ["a", "c"], "y", maxIter=1, **few)
+    own = one.filter("pitch_type = 'CH'").count()
+    assert [s[:2] for s in seen] == [(-(-m // 300), m) for m in (n, n, own)]
+    assert max(s[2] for s in seen) <= 310
+    assert one.sparkSession.sparkContext._jsc.getPersistentRDDs().size() == kept

@@ -21,7 +21,7 @@ import mmap
 import tempfile
 from collections import Counter
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,19 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import arrow_rows, count_in_tasks
 
-# The pattern that splits text before merging: a fixed value of this kind of vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pattern that splits text before merging: a fixed value of this kind of vocabulary. Letters come first, being most frequent; no two of the first
+# three ways can start at the same place.
+PATTERN = r""" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FLOOR = 2e-6
 CACHE = 300_000
 # Words of up to so many bytes are merged without a heap.
 FEW = 64
+# Words of up to so many bytes are merged many at a time.
+SHORT = 32
+# Numbers that are looked up at a time.
+MANY = 1 << 16
+# No merge: above every rank and id.
+NONE = 1 << 62
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,6 +70,10 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array(self.bytes, np.int64)
+        self.pair_keys = np.array(sorted(self.packed), np.int64) if self.packed else np.array([-1], np.int64)
+        self.pair_values = np.array([self.packed.get(k, NONE) for k in self.pair_keys.tolist()], np.int64)
+        self.byte_pairs = self._next(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.pieces = regex.compile(PATTERN).findall
 
@@ -87,7 +98,7 @@ class Vocabulary:
 
     def merge_few(self, ids: list[int]) -> tuple[int, ...]:
         """By looking through all pairs for each merge: the faster way for a word of usual length."""
-        packed, none = self.packed, 1 << 62
+        packed, none = self.packed, NONE
         pairs = [packed.get(a << 32 | b, none) for a, b in pairwise(ids)]
         while pairs:
             best = min(pairs)
@@ -102,6 +113,55 @@ class Vocabulary:
                 pairs[i] = packed.get(ids[i] << 32 | ids[i + 1], none)
         return tuple(ids)
 
+    def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        """As `merge`, for many words at once: each round makes the next merge of every word that has one."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [i for i, c in enumerate(coded) if 1 < len(c) <= SHORT and not c.startswith(b"\0\0")]
+        short.sort(key=lambda i: len(coded[i]))  # words of one length make narrow tables
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        for start in range(0, len(short), 2048):
+            part = short[start:start + 2048]
+            for i, ids in zip(part, self._merge_short([coded[i] for i in part]), strict=True):
+                out[i] = ids
+        return [self.merge(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _next(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and made id of pairs, NONE where they do not merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+
+    def _merge_short(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n, size = len(words), int(lengths.max())
+        letters = np.zeros((n, size + 1), np.int64)
+        real = np.arange(size + 1) < lengths[:, None]
+        letters[real] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(real, self.byte_ids[letters], -1)
+        pairs = np.full((n, size + 1), NONE)  # of each place with the next one that is left; the last column is never a pair
+        pairs[:, :-1] = np.where(real[:, 1:], self.byte_pairs[letters[:, :-1], letters[:, 1:]], NONE)
+        after = np.tile(np.arange(1, size + 2), (n, 1))
+        before = np.tile(np.arange(-1, size), (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            at = pairs[rows].argmin(1)  # leftmost among equals
+            best = pairs[rows, at]
+            going = best != NONE
+            rows, at, best = rows[going], at[going], best[going]
+            gone = after[rows, at]
+            follow = after[rows, gone]
+            made = best & 0xFFFFFFFF
+            ids[rows, at], ids[rows, gone], pairs[rows, gone] = made, -1, NONE
+            after[rows, at], before[rows, np.minimum(follow, size)] = follow, at
+            pairs[rows, at] = np.where(follow < lengths[rows], self._next(made, ids[rows, np.minimum(follow, size)]), NONE)
+            led = before[rows, at] >= 0
+            r, a, m = rows[led], at[led], made[led]
+            lead = before[r, a]
+            pairs[r, lead] = self._next(ids[r, lead], m)
+        left = ids >= 0
+        flat, ends = ids[left].tolist(), np.cumsum(left.sum(1)).tolist()
+        return [tuple(flat[a:b]) for a, b in pairwise([0, *ends])]
+
     def merge_many(self, ids: list[int]) -> tuple[int, ...]:
         """With a heap of pairs: for words of any length."""
         n = len(ids)
@@ -234,35 +294,73 @@ class Transducer:
         return [tuple(self.ids[self.starts[n]:self.starts[n + 1]].tolist()) if ok else None for ok, n in zip(known, total, strict=True)]
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
+class Pieces:
+    """Short arrays laid end to end; `take` gives those of many numbers, joined in order."""
+
+    def __init__(self, kind):
+        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        if len(numbers) > MANY:  # long texts in parts: the places take more room than what they point to
+            return np.concatenate([self.take(numbers[i:i + MANY]) for i in range(0, len(numbers), MANY)])
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        done = np.cumsum(sizes)
+        return self.flat[np.repeat(begin - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)]
+
+
 class Encoder:
     """Encodes and decodes texts; remembers words it has met."""
 
     def __init__(self, vocabulary: Vocabulary, image: bytes):
         self.vocabulary, self.transducer = vocabulary, Transducer(image)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
+        self.forget()
         self.digits = [str(i) for i in range(max(vocabulary.tokens) + 1)]
-        self.token = [vocabulary.tokens.get(i, b"") for i in range(max(vocabulary.tokens) + 1)]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.shown.clear()
+        token = [vocabulary.tokens.get(i, b"") for i in range(max(vocabulary.tokens) + 1)]
+        self.token = Pieces(np.uint8)
+        self.token.add(np.frombuffer(b"".join(token), np.uint8), np.array(list(map(len, token)), np.int64))
+
+    def forget(self) -> None:
+        self.number, self.known, self.shown = Numbers(), Pieces(np.int32), []
+
+    def learn(self) -> None:
+        """Encodes the words that have a number only."""
+        new = list(islice(self.number, len(self.shown), None))
+        if not new:
+            return
+        found = self.transducer.look_up([w.encode("utf-8", "surrogatepass") for w in new])
+        other = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(other, self.vocabulary.merge_all([new[i] for i in other]), strict=True):
+            found[i] = ids
         digits = self.digits
-        new = list(set().union(*texts) - self.known.keys())
-        for word, ids in zip(new, self.transducer.look_up([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            ids = self.vocabulary.merge(word) if ids is None else ids
-            self.known[word] = ids
-            self.shown[word] = ",".join([digits[i] for i in ids])
+        self.shown.extend([",".join([digits[i] for i in ids]) for ids in found])
+        self.known.add(np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64))
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """(ids, the ids in decimal joined by commas) per text."""
-        split = [self.vocabulary.pre_tokens(t) if t else [] for t in texts]
-        self.learn(split)
-        return [(list(chain.from_iterable(map(self.known.__getitem__, t))), ",".join(map(self.shown.__getitem__, t))) for t in split]
+        return [(ids.tolist(), shown) for ids, shown in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
+        if len(self.number) > CACHE:
+            self.forget()
+        split = [list(map(self.number.__getitem__, self.vocabulary.pre_tokens(t))) if t else [] for t in texts]
+        self.learn()
+        return [(self.known.take(np.array(t, np.int64)), ",".join(map(self.shown.__getitem__, t))) for t in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        return self.token.take(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
 
 
 def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -314,7 +412,7 @@ def encode(docs: DataFrame, image: bytes, vocabulary_path: str, keep: list[str],
             for start in range(0, batch.num_rows, 64):
                 part: pa.RecordBatch = batch.slice(start, 64)
                 columns = [c.to_pylist() for c in part.columns]
-                done = encoder.encode_all(columns[-1])
+                done = encoder.encode_arrays(columns[-1])
                 rest = zip(*columns[:-1], strict=True) if len(columns) > 1 else [()] * len(done)
                 yield arrow_rows([(*row, *finish(ids, shown, encoder.decode(ids))) for row, (ids, shown) in zip(rest, done, strict=True)], out)
 

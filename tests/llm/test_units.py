@@ -30,6 +30,22 @@ def test_bpe_equals_the_library():
         assert encoder.decode(ids) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_many_words_merge_as_one_by_one(monkeypatch):
+    v = bpe.vocabulary_of(vocabulary_path())
+    words = ["".join(random.choice("abehinorst éß漢\ud800") for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["\0\0" + s for s in v.special]
+    assert v.merge_all(words) == [v.merge(w) for w in words]
+    assert v.merge_all([]) == []
+    # an encoder does not merge its new words one by one, forgets when it has many, and takes long texts in parts
+    usual = [w for w in words if len(w.encode("utf-8", "surrogatepass")) in range(2, bpe.SHORT) and "\ud800" not in w and "\0" not in w]
+    want = [[i for w in v.pre_tokens(t) for i in v.merge(w)] for t in usual]
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "MANY", 7)
+    monkeypatch.setattr(v, "merge_few", None)
+    encoder = bpe.Encoder(v, bpe.compile_words({}))
+    got = [ids for start in range(0, len(usual), 64) for ids, _ in encoder.encode_all(usual[start:start + 64])]
+    assert got == want and [encoder.decode(i) for i in got] == usual
+
+
 def test_bpe_splits_every_character_as_the_library():
     from tokenizers import Tokenizer
 

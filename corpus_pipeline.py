@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statloom.llm import bpe, decontaminate, neardup, quality, toxicity
 from statloom.llm.common import table
 from statloom.llm.queries import token_digests, vocabulary_path
-from statloom.session import cut
+from statloom.session import cut, fresh_path, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,8 +61,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def kept_by(spark: SparkSession, name: str, stage, docs: DataFrame, folder: str) -> DataFrame:
+    """What a stage keeps, written; the stage's own intermediate tables give their space back."""
+    with scratch(spark):
+        made = stage(spark, docs, folder)
+        path = fresh_path(spark, name)
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = kept_by(spark, name, stage, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)

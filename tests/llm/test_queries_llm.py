@@ -319,3 +319,17 @@ def test_near_duplicates_of_few_words(spark):
     texts += ["a b c", "a b c d", "a b c d e", "a b c d e f"]
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i // 2 * 2 if i < 12 else i for i in range(len(texts))}
+
+
+def test_pipeline_stages_give_their_space_back(spark, monkeypatch):
+    import corpus_pipeline as p
+    from statloom import session
+
+    paths = []
+    fresh = session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda *a: paths.append(fresh(*a)) or paths[-1])
+    docs = odd(spark).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "length(text) AS n_chars")
+    kept = p.kept_by(spark, "near_duplicates", p.one_of_each, docs, "")
+    assert kept.count() == p.one_of_each(spark, docs, "").count()
+    own = paths[:next(i for i, x in enumerate(paths) if "numbered" in x and i)]
+    assert own and all(spark.read.parquet(x).columns == ["nothing"] for x in own)

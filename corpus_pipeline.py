@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statloom.llm import bpe, decontaminate, neardup, quality, toxicity
 from statloom.llm.common import table
 from statloom.llm.queries import token_digests, vocabulary_path
-from statloom.session import cut, fresh_path, scratch
+from statloom.session import cut, fresh_path, scratch, settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,10 +39,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of every class stays. Rows are numbered and written first, so that a number means the same row throughout."""
     rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = neardup.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    kept = cut(rows.select("doc_id", "_row").join(found, "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+
+    def choose():
+        found = neardup.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+        of = rows.select("doc_id", "_row").join(found.hint("merge"), "_row")
+        return of.groupBy("class_id").agg(first).select(F.col("first._row").alias("_row"))
+
+    # what stays grows with the input: this join never broadcasts, so the plan is the same at every size
+    return rows.join(settled(spark, "kept", choose).hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -171,6 +171,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                .withColumn("id", F.xxhash64("first_id", "digest")), "reps")
     bands = reps.select("id", F.posexplode("sketch").alias("place", "value")).select(F.xxhash64("place", "value").alias("key"), "id")
     bands = bands.unionByName(reps.select(F.explode("parts").alias("value"), "id").select(F.xxhash64(F.lit("part"), "value").alias("key"), "id"))
+    # nearly all keys are of one text and leave here: what is counted is short, and the others are few
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    bands = cut(bands.join(shared.hint("merge"), "key", "left_semi"), "shared")
     met = cut(bands.join(jaccard.crowds(bands), "key").join(reps.select("id", "size"), "id"), "met")
     asked = cut(reps.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "digest"), "asked")
     # who is asked for grows with the input: these joins never broadcast, so the plan is the same at every size

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +33,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _owners: list[list[str]] = []
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Owns what operators write inside it, and gives the space back at its end. Use results inside, or write them elsewhere.
+    The files of a shuffle go when its query is done; else they stay until the driver collects its garbage.
 
     with scratch(spark):
         joins.outer_join_with_name_fallback(a, b, "id", "name").write.parquet(target)
     """
     mine: list[str] = []
+    before = spark.conf.get(FREE_SHUFFLES, "false")
     _owners.append(mine)
+    spark.conf.set(FREE_SHUFFLES, "true")
     try:
         yield mine
     finally:
+        spark.conf.set(FREE_SHUFFLES, before)
         _owners.remove(mine)
         nothing = spark.createDataFrame([], "nothing int")
         for path in mine:
@@ -74,6 +82,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written as by cut; the intermediate tables of its making give their space back."""
+    path = fresh_path(spark, name)
+    if _owners:
+        _owners[-1].append(path)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spreads a scanned table over the cores before work that is heavy per row, when its scan has fewer splits.
 

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 from zlib import crc32
 
 import numpy as np
@@ -333,3 +334,39 @@ def test_pipeline_stages_give_their_space_back(spark, monkeypatch):
     assert kept.count() == p.one_of_each(spark, docs, "").count()
     own = paths[:next(i for i, x in enumerate(paths) if "numbered" in x and i)]
     assert own and all(spark.read.parquet(x).columns == ["nothing"] for x in own)
+
+
+def test_one_of_each_keeps_two_tables_and_one_plan(spark, monkeypatch):
+    """The choice of rows gives its tables and shuffles back before the rows are read again, and what stays is not broadcast, however few rows there are."""
+    import corpus_pipeline as p
+    from statloom import session
+
+    paths, freeing = [], []
+    fresh = session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda *a: freeing.append(spark.conf.get(session.FREE_SHUFFLES, "false")) or paths.append(fresh(*a)) or paths[-1])
+    before = spark.conf.get(session.FREE_SHUFFLES, "false")
+    docs = odd(spark).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "length(text) AS n_chars")
+    made = p.one_of_each(spark, docs, "")
+    left = [x for x in paths if spark.read.parquet(x).columns != ["nothing"]]
+    assert len(left) == 2 and "numbered" in left[0] and "kept" in left[1]
+    assert set(freeing[2:]) == {"true"} and spark.conf.get(session.FREE_SHUFFLES, "false") == before
+    assert made.count() == spark.read.parquet(left[1]).count()
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_inside_scratch_leave_no_files(spark, tmp_path):
+    """The blocks of a shuffle are gone after the write that needed it; outside they stay until the garbage is collected."""
+    from statloom.session import cut, scratch
+
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return sum(1 for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllFiles()) if f.getName().startswith("shuffle_"))
+
+    with scratch(spark):
+        began = files()
+        assert cut(spark.range(1000).repartition(7, "id").groupBy("id").count(), "dealt").count() == 1000
+        deadline = time.time() + 20
+        while files() > began and time.time() < deadline:
+            time.sleep(0.1)
+        assert files() <= began

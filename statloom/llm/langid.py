@@ -30,6 +30,7 @@ from statloom.session import cut
 ORDER = 5
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
+_SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))  # all ASCII but letters as space
 SHARPNESS = 12.0
 REJECT = 0.001
 COMMON = 1e-6
@@ -40,7 +41,12 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 
 def letter_words(text: str | None) -> list[str]:
     """Lower-cased letter runs; none if no character is a letter."""
-    found = LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    lowered = text.lower()
+    found = lowered.encode("utf-8", "surrogatepass").translate(_SPACED).decode("utf-8", "surrogatepass").split()  # white space beyond ASCII is no letter either
+    if not lowered.isascii():
+        found = [w for part in found for w in ((part,) if part.isalpha() else LETTERS.findall(part))]
     return found if any(any(c.isalpha() for c in w) for w in found) else []
 
 
@@ -228,10 +234,12 @@ def add_up(rows: DataFrame, scored: DataFrame, model: Model, keep: list[str], co
             if len(place) > CACHE:
                 place.clear()
                 seldom.clear()
-            new = [w for w in dict.fromkeys(found) if w not in place]
-            for start in range(0, len(new), 20_000):
-                learn(new[start:start + 20_000])
-            at = list(map(place.__getitem__, found))
+            at = list(map(place.get, found))
+            if None in at:
+                new = list(dict.fromkeys(w for w, i in zip(found, at, strict=True) if i is None))
+                for start in range(0, len(new), 20_000):
+                    learn(new[start:start + 20_000])
+                at = [place[w] if i is None else i for w, i in zip(found, at, strict=True)]
             rare = [seldom[i] for i in at if i in seldom]
             return (*row[:-1], sums[at].sum(axis=0).tolist(), sum(map(len, found)) + len(found), np.concatenate(rare).tolist() if rare else None)
 

@@ -112,3 +112,22 @@ def test_foreign_texts_are_rejected_whatever_their_share(spark, share):
     got = langid.identify(docs, F.col("id") < 150, ["id"]).collect()
     assert all(r["rejected"] for r in got if r["id"] >= 1000)
     assert sum(r["rejected"] for r in got if r["id"] < 1000) <= 4
+
+
+def test_letter_words_are_letter_runs_without_a_pattern_for_plain_words(monkeypatch):
+    """Runs are those of the pattern, for every character; the pattern is only asked for parts that hold something else than letters."""
+    pattern = langid.LETTERS
+    samples = [t for c in range(0x11000) for t in (chr(c), f"a{chr(c)}B", f"é{chr(c)}Σ {chr(c)}")]
+    for text in samples:
+        runs = pattern.findall(text.lower())
+        assert langid.letter_words(text) == (runs if any(c.isalpha() for w in runs for c in w) else [])
+    asked = []
+
+    class Watched:
+        def findall(self, text):
+            asked.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(langid, "LETTERS", Watched())
+    assert langid.letter_words("It's 3_rd\tÉtude,ÉTÉ x y ab—cd") == ["it", "s", "rd", "étude", "été", "x", "y", "ab", "cd"]
+    assert asked == ["ab—cd"]

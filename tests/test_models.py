@@ -125,3 +125,15 @@ def test_fits_deal_rows_evenly(rows, monkeypatch):
     assert [s[:2] for s in seen] == [(-(-m // 300), m) for m in (n, n, own)]
     assert max(s[2] for s in seen) <= 310
     assert one.sparkSession.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_chain_writes_what_later_links_read(chain, rows, monkeypatch):
+    """Of the columns that are not to be returned, those of earlier links are not written again; scores and weights stay as they are."""
+    written, cut = [], models.cut
+    monkeypatch.setattr(models, "cut", lambda df, name: written.append(set(df.columns)) or cut(df, name))
+    fitted, scored = models.fit_chain(rows, "y", links=LINKS, prefix="x_", keep=["i"], **FAST)
+    own = [w & set(rows.columns) for w in written]
+    assert own == [{"i", "pitch_type", "a", "b", "c", "y", "is_test"}, {"i", "pitch_type", "b", "c", "y", "is_test"}, {"i", "c", "y", "is_test"}, {"i", "y", "is_test"}]
+    assert scored.columns == ["i", "x_stuff", "x_location", "x_tunnel", "x_final"]
+    whole = {r["i"]: r["x_final"] for r in chain[1].select("i", "x_final").collect()}
+    assert {r["i"]: r["x_final"] for r in scored.select("i", "x_final").collect()} == pytest.approx(whole, abs=1e-6)

@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language, over the letters of words: a word is read with start marks before it and an end mark behind it, so a word's log-probability
-depends on the word alone and is computed once for the corpus. Each language's model is kept in sorted hash arrays: blocks of the hash range, each a row with the
+depends on the word alone. Texts are read as arrays of code points, many at a time: every character's window is hashed and met with the n-grams there, and no
+word becomes a Python value (`letter_words` is the plain form of that reading). Each language's model is kept in sorted hash arrays: blocks of the hash range, each a row with the
 sorted 64-bit hashes of n-grams, their discounted probabilities, and their back-off weights as contexts. The language with the lowest
 cross-entropy per character wins. Its limit for rejection is a quantile of what its own training texts have under its model.
 
@@ -16,15 +17,18 @@ Very long texts and words are read whole. Empty table: no rows. Columns beyond t
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter, defaultdict
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import count_in_tasks, map_rows, mix
+from statloom.llm.common import count_in_tasks, mix
 from statloom.session import cut
 
 ORDER = 5
@@ -35,12 +39,12 @@ SHARPNESS = 12.0
 REJECT = 0.001
 COMMON = 1e-6
 BLOCK = 1 << 16
-CACHE = 150_000
+PIECE = 1 << 18
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased letter runs; none if no character is a letter."""
+    """Lower-cased letter runs; none if no character is a letter. The words whose windows `read` gives, as strings."""
     if not text:
         return []
     lowered = text.lower()
@@ -50,32 +54,6 @@ def letter_words(text: str | None) -> list[str]:
     return found if any(any(c.isalpha() for c in w) for w in found) else []
 
 
-def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all texts with columns lang and text; a null lang is counted too."""
-
-    def make():
-        seen: dict[str | None, Counter] = defaultdict(Counter)
-
-        def feed(lang, text):
-            seen[lang].update(letter_words(text))
-
-        def drain():
-            for lang, counted in seen.items():
-                grams: Counter = Counter()
-                for word, n in counted.items():
-                    padded = START * (order - 1) + word + END
-                    for i in range(len(word) + 1):
-                        grams[padded[i:i + order]] += n
-                for gram, n in grams.items():
-                    yield lang, gram, n
-            seen.clear()
-
-        return feed, drain, lambda: sum(map(len, seen.values()))
-
-    partial = count_in_tasks(texts.select("lang", "text").filter("text IS NOT NULL"), make, "lang string, gram string, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def window_hashes(text: str, order: int) -> np.ndarray:
     """For each character of the text from the `order`-th on, a hash of the `order` characters that end there."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -88,6 +66,178 @@ def window_hashes(text: str, order: int) -> np.ndarray:
         return mix(h).view(np.int64)
 
 
+@functools.cache
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 2 for a letter, 1 for another character of a run, 0 for all else; and its mixed value, for all else that of the end mark."""
+    n = sys.maxunicode + 1
+    kinds, mixed = np.zeros(n, np.uint8), mix(np.arange(1, n + 1, dtype=np.uint64))
+    for start in range(0, n, 1 << 12):
+        for run in LETTERS.finditer("".join(map(chr, range(start, min(start + (1 << 12), n))))):
+            kinds[start + run.start():start + run.end()] = [1 + c.isalpha() for c in run[0]]
+    mixed[kinds == 0] = mixed[ord(END)]
+    return kinds, mixed
+
+
+def letter_windows(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places where the windows of words end (each letter, and the character behind a word) and their hashes, as `window_hashes` of the padded word has them."""
+    mixed = code_points()[1]
+    last = mixed.take(codes, mode="clip")
+    inside = last != mixed[ord(END)]
+    heads = np.append(0, np.flatnonzero(~inside[:-1]) + 1)  # where no word goes on
+    mark, pad, h = int(mix(np.array([ord(START) + 1], np.uint64))[0]), 0, last
+    for _ in range(order - 1):  # a window is its last character and the shorter window before it, which is all start marks at the head of a word
+        pad = (pad * int(_B) + mark) % 2**64
+        before = np.empty_like(last)
+        np.multiply(h[:-1], _B, out=before[1:])
+        before[heads] = pad * int(_B) % 2**64
+        before += last
+        h = before
+    ends = inside.copy()
+    ends[1:] |= inside[:-1]
+    at = np.flatnonzero(ends)
+    return at, mix(h.take(at, mode="clip")).view(np.int64)
+
+
+def read(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice, np.ndarray]]:
+    """The windows of all words of lower-cased texts, PIECE characters at a time: codes of the texts, places of the windows in them, their hashes, the
+    texts that the piece meets, and how many of the windows each of these has. A text without a letter has none."""
+    if not texts:
+        return
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    ends = np.cumsum(lengths)
+    kinds = np.concatenate([code_points()[0].take(codes[start:start + PIECE], mode="clip") for start in range(0, len(codes), PIECE)])
+    lettered = np.maximum.reduceat(kinds, ends - lengths) == 2
+    if not lettered.all():
+        codes = np.where(np.repeat(lettered, lengths), codes, np.uint32(ord("\n")))
+    for start in range(0, len(codes), PIECE):
+        stop, lead = min(start + PIECE, len(codes)), min(start, order)
+        at, hashes = letter_windows(codes[start - lead:stop], order)
+        first = np.searchsorted(at, lead)
+        at, hashes = at[first:] + (start - lead), hashes[first:]
+        owners = slice(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right")) + 1)
+        yield codes, at, hashes, owners, np.diff(np.searchsorted(at, ends[owners.start:owners.stop - 1]), prepend=0, append=len(at))
+
+
+def grams_at(codes: np.ndarray, at: np.ndarray, order: int) -> list[str]:
+    """The windows that end at the given places, with their marks."""
+    kinds = code_points()[0]
+    found = codes[np.maximum(at[:, None] + np.arange(1 - order, 1), 0)]
+    within = at >= 0
+    for k in range(2, order + 1):
+        within = within & (at >= k - 1) & (kinds[found[:, -k]] > 0)
+        found[~within, -k] = ord(START)
+    found[kinds[found[:, -1]] == 0, -1] = ord(END)
+    return found.view(f"<U{order}")[:, 0].tolist()
+
+
+class Places:
+    """Numbers 64-bit hashes from 0 on, whole arrays at a time; at most half of the slots are taken."""
+
+    def __init__(self):
+        self.size, self.bits = 0, 0
+        self.keys, self.slots = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _put(self, numbers: np.ndarray) -> None:
+        at = self._home(self.keys[numbers])
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            left = self.slots[at] != numbers
+            numbers, at = numbers[left], (at[left] + 1) % len(self.slots)
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of new keys."""
+        numbers = np.arange(self.size, self.size + len(keys))
+        if 2 * (self.size + len(keys)) >= len(self.slots):
+            self.bits = max(12, (4 * (self.size + len(keys))).bit_length())
+            self.keys, old = np.zeros(1 << self.bits - 1, np.int64), self.keys
+            self.keys[:self.size] = old[:self.size]
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self._put(np.arange(self.size))
+        self.keys[numbers] = keys
+        self.size += len(keys)
+        self._put(numbers)
+        return numbers
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for those not added."""
+        if not self.size:
+            return np.full(len(keys), -1, np.int32)
+        at = self._home(keys)
+        found = self.slots.take(at, mode="clip")
+        off = np.flatnonzero(self.keys.take(found, mode="clip") != keys)
+        off = off[found[off] >= 0]
+        at = at[off]
+        while len(off):
+            at = (at + 1) % len(self.slots)
+            found[off] = other = self.slots[at]
+            on = (other >= 0) & (self.keys[other] != keys[off])
+            off, at = off[on], at[on]
+        return found
+
+
+class Counts:
+    """Occurrences of the n-grams of texts, by lang: for `count_in_tasks`."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.clear()
+
+    def clear(self) -> None:
+        self.places, self.counts, self.named = Places(), np.zeros(0, np.int64), []
+        self.langs: dict[str | None, int] = {}
+        self.waiting: list[tuple[int, str]] = []
+        self.held = 0
+
+    def feed(self, lang: str | None, text: str) -> None:
+        self.waiting.append((self.langs.setdefault(lang, len(self.langs)), text.lower()))
+        self.held += len(text) + 1
+        if self.held >= PIECE:
+            self.count()
+
+    def count(self) -> None:
+        owner = np.array([i for i, _ in self.waiting], np.uint64)
+        seeds, names = mix(owner + np.uint64(1)).view(np.int64), list(self.langs)
+        for codes, at, hashes, owners, sizes in read([t for _, t in self.waiting], self.order):
+            keys = hashes ^ np.repeat(seeds[owners], sizes)
+            found = self.places.find(keys)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                fresh, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+                found[new] = self.places.add(fresh)[which]
+                some = new[first]
+                spoken = np.repeat(owner[owners], sizes)[some].tolist()
+                self.named.extend(zip([names[i] for i in spoken], grams_at(codes, at[some], self.order), strict=True))
+            grown = np.bincount(found, minlength=self.places.size)
+            grown[:len(self.counts)] += self.counts
+            self.counts = grown
+        self.waiting, self.held = [], 0
+
+    def drain(self) -> Iterator[tuple[str | None, str, int]]:
+        self.count()
+        for (lang, gram), n in zip(self.named, self.counts.tolist(), strict=True):
+            yield lang, gram, n
+        self.clear()
+
+    def size(self) -> int:
+        return self.places.size
+
+
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n) over all texts with columns lang and text; a null lang is counted too."""
+
+    def make():
+        counts = Counts(order)
+        return counts.feed, counts.drain, counts.size
+
+    partial = count_in_tasks(texts.select("lang", "text").filter("text IS NOT NULL"), make, "lang string, gram string, n long")
+    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def levels(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, k, gram, c): occurrences of the longest n-grams, and for shorter ones the number of different characters before them."""
     level = counted.filter("lang IS NOT NULL").select("lang", "gram", F.col("n").alias("c"))
@@ -177,18 +327,28 @@ def fit(counted: DataFrame, order: int = ORDER) -> Model | None:
     return Model(langs, cut(blocks, "sorted_arrays"), bits, 1.0 / letters, order)
 
 
-def some_of(owners: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """The different owners, which are sorted, and each one's values."""
-    names, firsts = np.unique(owners, return_index=True)
-    return names.tolist(), np.split(values, firsts[1:]) if len(names) else []
+def spans(texts: list[str]) -> Iterator[slice]:
+    """Consecutive texts of PIECE characters together, or a longer one."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > PIECE:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t)
+    if texts:
+        yield slice(start, len(texts))
 
 
 def add_up(rows: DataFrame, scored: DataFrame, model: Model, keep: list[str], common: float) -> DataFrame:
-    """Per row of (keep, _row, lang, text): its log-probability by language, `sums`, and its number of characters; null without letters.
+    """Per row of (keep, _row, lang, text): its log-probability by language, `sums`, and its number of characters, word ends included; null and 0 without letters.
 
     scored: (gram, n, logs) of all n-grams of the texts.
     """
-    kinds, order, langs = dict(rows.dtypes), model.order, range(len(model.langs))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    order, langs = model.order, range(len(model.langs))
+    names = [*keep, "_row", "lang"]
 
     @F.pandas_udf("long")
     def key_of(grams: pd.Series) -> pd.Series:
@@ -199,59 +359,50 @@ def add_up(rows: DataFrame, scored: DataFrame, model: Model, keep: list[str], co
     frequent = F.col("n") >= total * common
     table = keyed.filter(frequent).drop("n").toPandas().sort_values("key")  # at most 1/common rows
     keys, logs = table["key"].to_numpy(np.int64), table.drop(columns="key").to_numpy(float)
-    sent = rows.sparkSession.sparkContext.broadcast((np.append(keys, np.iinfo(np.int64).max), np.append(logs, np.zeros((1, len(langs))), axis=0)))
+    logs = np.append(np.zeros((1, len(langs))), logs, axis=0).T.copy()  # the first place is that of all others
+    sent = rows.sparkSession.sparkContext.broadcast((keys, logs))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = sent.value
-        place: dict[str, int] = {}
-        sums = np.empty((2 * CACHE, len(langs)))
-        seldom: dict[int, np.ndarray] = {}
-
-        def learn(some: list[str]) -> None:
-            nonlocal sums
-            lengths = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            pad = START * (order - 1)
-            hashes = window_hashes("".join(pad + w + END for w in some), order)
-            firsts = np.cumsum(lengths + order - 1) - lengths - order + 1  # windows over the border of two words are left out
-            starts = np.cumsum(lengths) - lengths
-            wanted = hashes[np.repeat(firsts - starts, lengths) + np.arange(lengths.sum())]
-            at = np.searchsorted(keys, wanted)
-            known = keys[at] == wanted
-            values = np.where(known[:, None], logs[at], 0.0)
-            if len(place) + len(some) > len(sums):
-                sums = np.concatenate([sums, np.empty((len(some), len(langs)))])
-            sums[len(place):len(place) + len(some)] = np.add.reduceat(values, starts, axis=0)
-            lost = np.flatnonzero(~known)
-            owners = np.searchsorted(starts, lost, side="right") - 1
-            for w, part in zip(*some_of(owners, wanted[lost]), strict=True):
-                seldom[len(place) + w] = part
-            place.update(zip(some, range(len(place), len(place) + len(some)), strict=True))
-
-        def f(*row):
-            found = letter_words(row[-1])
-            if not found:
-                return (*row[:-1], None, None, None)
-            if len(place) > CACHE:
-                place.clear()
-                seldom.clear()
-            at = list(map(place.get, found))
-            if None in at:
-                new = list(dict.fromkeys(w for w, i in zip(found, at, strict=True) if i is None))
-                for start in range(0, len(new), 20_000):
-                    learn(new[start:start + 20_000])
-                at = [place[w] if i is None else i for w, i in zip(found, at, strict=True)]
-            rare = [seldom[i] for i in at if i in seldom]
-            return (*row[:-1], sums[at].sum(axis=0).tolist(), sum(map(len, found)) + len(found), np.concatenate(rare).tolist() if rare else None)
-
-        return f
-
-    names = [*keep, "_row", "lang"]
+        places = Places()
+        places.add(keys)
+
+        def summed(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            sums, chars, rare, seldom = np.zeros((len(logs), len(texts))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+            for _, _, hashes, owners, sizes in read(texts, order):
+                found = places.find(hashes)
+                chars[owners] += sizes
+                some = np.flatnonzero(sizes)
+                firsts, some = (np.cumsum(sizes) - sizes)[some], some + owners.start
+                if len(some):
+                    place = np.add(found, 1, dtype=np.int64)
+                    for total, column in zip(sums, logs, strict=True):
+                        total[some] += np.add.reduceat(column.take(place, mode="clip"), firsts)
+                lost = found < 0
+                if lost.any():
+                    seldom.append(hashes[lost])
+                    rare[some] += np.add.reduceat(lost, firsts, dtype=np.int64)
+            starts = pa.array(np.arange(len(texts) + 1) * len(logs), pa.int32())
+            rare = pa.array(np.append(0, np.cumsum(rare)), pa.int32())
+            lists = [(starts, pa.array(sums.T.ravel()), "sums"), (rare, pa.array(np.concatenate(seldom) if seldom else np.zeros(0, np.int64)), "seldom")]
+            sums, seldom = (pa.ListArray.from_arrays(offsets, values, type=out.field(c).type) for offsets, values, c in lists)
+            return pa.record_batch([*part.columns[:-1], sums, pa.array(chars), seldom], names=out.names)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [(t or "").lower() for t in part.columns[-1].to_pylist()]
+                for span in spans(texts):
+                    yield summed(part.slice(span.start, span.stop - span.start), texts[span])
+
+    kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sums array<double>, chars long, seldom array<long>"
-    met = cut(map_rows(rows.select(*names, "text"), make, schema), "langid")
+    out = to_arrow_schema(_parse_datatype_string(schema))
+    met = cut(rows.select(*names, "text").mapInArrow(run, schema), "langid")
     others = met.select("_row", F.explode("seldom").alias("key")).join(keyed.filter(~frequent).drop("n"), "key")
     others = others.groupBy("_row").agg(F.array(*[F.sum(f"p{i}") for i in langs]).alias("more"))
     sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
-    return met.drop("seldom").join(others, "_row", "left").select(*names, sums.alias("sums"), "chars")
+    return met.drop("seldom").join(others, "_row", "left").select(*names, F.when(F.col("chars") > 0, sums).alias("sums"), "chars")
 
 
 def identify(docs: DataFrame, learned: Column, keep: list[str], order: int = ORDER, reject: float = REJECT, common: float = COMMON) -> DataFrame:

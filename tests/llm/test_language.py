@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -131,3 +132,56 @@ def test_letter_words_are_letter_runs_without_a_pattern_for_plain_words(monkeypa
     monkeypatch.setattr(langid, "LETTERS", Watched())
     assert langid.letter_words("It's 3_rd\tÉtude,ÉTÉ x y ab—cd") == ["it", "s", "rd", "étude", "été", "x", "y", "ab", "cd"]
     assert asked == ["ab—cd"]
+
+
+ODD = [("x", "½ ²"), (None, "½a"), ("y", ""), ("y", "İSTANBUL ΟΔΟΣ 3_a 漢字 𐐨b"), ("x", "a" * 700), (None, " a\n\n"), ("x", "\x02\x03 b\x00c"), ("y", "a")]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 18])
+def test_windows_are_read_and_counted_without_words(monkeypatch, piece):
+    """Pieces cut texts and words anywhere; counts, hashes and owners stay those of the words, none of which becomes a Python value."""
+    rows = ODD + [(lang, " ".join(words)) for lang, words in TEXTS.items()]
+    want = Counter((lang, p[i:i + ORDER]) for lang, text in rows for w in langid.letter_words(text) for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1))
+    windows = [[p[i:i + ORDER] for w in langid.letter_words(text) for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)] for _, text in rows]
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "letter_words", None)
+    counts = langid.Counts(ORDER)
+    for _ in range(2):  # a drained table starts anew
+        for row in rows:
+            counts.feed(*row)
+        assert {(lang, gram): n for lang, gram, n in counts.drain()} == want and counts.size() == 0
+    got = [[] for _ in rows]
+    for codes, at, hashes, owners, sizes in langid.read([text.lower() for _, text in rows], ORDER):
+        assert len(codes) == sum(len(text.lower()) + 1 for _, text in rows) and sizes.sum() == len(at) == len(hashes)
+        for owner, part in zip(range(len(rows))[owners], langid.np.split(hashes, sizes.cumsum()[:-1]), strict=True):
+            got[owner] += part.tolist()
+    assert got == [langid.window_hashes("".join(w), ORDER)[::ORDER].tolist() for w in windows]
+    assert [len(some) for some in langid.read([], ORDER)] == []
+
+
+def test_characters_of_runs_are_those_of_the_pattern():
+    kinds, _ = langid.code_points()
+    assert all((kinds[c] > 0) == bool(langid.LETTERS.match(chr(c))) and (kinds[c] == 2) == chr(c).isalpha() for c in range(0x110000))
+
+
+def test_a_task_emits_an_n_gram_once_however_many_words_hold_it(spark):
+    """A task's table holds n-grams, so many different words of few n-grams do not fill it."""
+    counts = langid.Counts(ORDER)
+    words = ["".join(w) for w in itertools.product("ab", repeat=12)]
+    for start in range(0, len(words), 64):
+        counts.feed("x", " ".join(words[start:start + 64]))
+    emitted = list(counts.drain())
+    assert len(emitted) == len({g for _, g, _ in emitted}) == 2 + 4 + 8 + 16 + 32 + 16 and sum(n for _, _, n in emitted) == 13 * len(words)
+
+
+def test_places_number_every_key_once():
+    random_keys = langid.np.random.default_rng(1)
+    keys = langid.np.unique(random_keys.integers(-2**63, 2**63 - 1, 30_000))
+    crowded = langid.np.arange(5000)  # all of one home slot
+    places = langid.Places()
+    assert places.find(keys[:3]).tolist() == [-1, -1, -1]
+    for part in (keys[:10], crowded, keys[10:]):
+        assert places.find(part[part > 5000]).max(initial=-1) == -1
+        assert places.add(part).tolist() == list(range(places.size - len(part), places.size))
+    assert places.find(langid.np.concatenate([keys[:10], crowded, keys[10:]])).tolist() == list(range(places.size))
+    assert (places.find(crowded + 10_000) == -1).all()

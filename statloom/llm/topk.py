@@ -6,8 +6,9 @@ query the bound of a block is the sum over components of the larger of q*max and
 bounds until a bound falls below the kth score found so far; blocks that reach it exactly are scored too, because of ties. So
 results are exact.
 
-Queries meet rows in blocks: packed chunks of queries, one copy per range, are joined with the packed super-blocks of the range,
-and every pair of packs gives at most k rows per query; the best k of those are the result. All of it is in tasks.
+Queries meet rows in blocks: every packed chunk of queries meets every super-block, and every pair of packs gives at most k rows
+per query; the best k of those are the result. All of it is in tasks: a task reads a share of both sides and pairs them, so no copies of the
+queries are sent, shuffled or brought to the driver.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part. Vectors of
 unequal length are compared as if the shorter went on with zeros. A query's own id is no candidate, in whatever row. Repeated rows
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 BLOCK = 64
 SUPER = 4096
 QUERIES = 1024
+# Ranges of one pack each, up to so many; beyond that a range has TOGETHER packs, for the driver draws a sample per range. Packs of queries a task holds.
+RANGES, TOGETHER, HELD = 256, 16, 16
 _LOW, _HIGH = -(2 ** 63) + 1, 2 ** 63 - 1
 
 
@@ -66,6 +69,11 @@ def pack(rows: DataFrame, size: int, ranges: int) -> DataFrame:
     return dealt.mapInArrow(run, "part long, ids binary, dims long, data binary")
 
 
+def ranges_of(rows: int, size: int) -> int:
+    packs = max(1, -(-rows // size))
+    return packs if packs <= RANGES else max(RANGES, -(-packs // TOGETHER))
+
+
 def products(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products; float arithmetic is exact below 2**53, beyond it Python's integers do."""
     if np.abs(matrix).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(matrix.shape[1], 1) < 2 ** 53:
@@ -111,13 +119,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     queries = queries.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    index = cut(pack(rows, SUPER, max(1, -(-rows.count() // SUPER))), "topk-index")
-    last = index.agg(F.max("part").alias("last")).first()["last"] or 0
-    asked = cut(pack(queries, QUERIES, max(1, -(-queries.count() // QUERIES))), "topk-queries")
+    index = cut(pack(rows, SUPER, ranges_of(rows.count(), SUPER)), "topk-index").drop("part")
+    count = queries.count()
+    asked = cut(pack(queries, QUERIES, ranges_of(count, QUERIES)), "topk-queries")
     names = {"ids": "q_ids", "dims": "q_dims", "data": "q_data", "part": "q_part"}
     asked = asked.withColumnsRenamed(names).withColumn("q_pack", F.xxhash64("q_part", "q_ids", "q_data"))
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    pairs = index.join(spread, "part")
+    # a join on ranges would copy every query to every range, and the planner knows the size of one copy only
+    pairs = index.crossJoin(asked.repartition(max(1, -(-count // (QUERIES * HELD)))).hint("shuffle_replicate_nl"))
     out = pa.schema([("pack", pa.int64()), ("place", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):

@@ -278,6 +278,23 @@ def test_top_k_odd(spark):
     assert exact == [512.0, -1.0, inf]
 
 
+def test_top_k_copies_no_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SUPER", 8)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "HELD", 2, raising=False)
+    vectors = {i: [float((i * 37) % 101 - 50), float((i * i) % 89 - 44), float(i % 7)] for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+    out = topk.top_k(df, df.filter("id % 5 = 0"), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    want = set()
+    for q in range(0, 300, 5):
+        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:3]
+        want |= {(q, n + 1, i, int(-score)) for n, (score, i) in enumerate(scored)}
+    assert set(map(tuple, out.collect())) == want and out.count() == len(want)
+    assert topk.ranges_of(0, 4096) == 1 and topk.ranges_of(30_000_000, 4096) == 458  # the driver samples per range
+
+
 def test_pipeline_keeps_what_it_should(spark):
     import corpus_pipeline as p
 

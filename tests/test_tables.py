@@ -183,6 +183,23 @@ def test_player_games_are_not_moved_as_pairs(spark):
     assert "Aggregate [player_id" not in pairs.split("Join Inner")[0]
 
 
+def test_player_games_join_packs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "GAMES_TOGETHER", 100, raising=False)
+    monkeypatch.setattr(joins, "PLAYERS_TOGETHER", 7, raising=False)
+    names = [(i, f"T{i % 4}", f"T{(i + 1) % 4}") for i in range(400)] + [(0, "T2", None), (None, "T1", "T3")]
+    own = {p: {f"T{p % 4}"} | ({"T1"} if p % 5 == 0 else set()) for p in range(40)}
+    games = spark.createDataFrame(names, "game_pk long, away string, home string")
+    players = spark.createDataFrame([(p, t) for p, ts in own.items() for t in ts], "player_id long, team string")
+    log = spark.createDataFrame([(3, 1), (3, 999)], "player_id long, game_pk long")
+    got = joins.player_games(games, log, players)
+    pairs = list(map(tuple, got.collect()))
+    want = {(p, g) for p, ts in own.items() if p != 3 for g, away, home in names if ts & {away, home}} | {(3, 1)}
+    assert len(pairs) == len(want) and set(pairs) == want
+    # runs of a player over a slice of games: what is written packs well, and no row is a pair before the last step
+    assert sum(a[0] != b[0] for a, b in zip(pairs, pairs[1:], strict=False)) < len(pairs) / 4
+    assert "__games" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pitching_lines_parse_a_document_once(spark):
     from statloom.sources import game_json
 

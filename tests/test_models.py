@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from statloom import session
 from statloom.operators import models
 from statloom.operators.models import Link
 
@@ -137,3 +138,23 @@ def test_chain_writes_what_later_links_read(chain, rows, monkeypatch):
     assert scored.columns == ["i", "x_stuff", "x_location", "x_tunnel", "x_final"]
     whole = {r["i"]: r["x_final"] for r in chain[1].select("i", "x_final").collect()}
     assert {r["i"]: r["x_final"] for r in scored.select("i", "x_final").collect()} == pytest.approx(whole, abs=1e-6)
+
+
+def test_chain_gives_its_space_back(rows, monkeypatch, tmp_path):
+    """Of all that a chain writes only its last table stays, and a fit leaves no second copy of its rows with the executors."""
+    spark, total = rows.sparkSession, rows.count()
+    jsc, fit, during = spark.sparkContext._jsc, models.Pipeline.fit, []
+    kept = jsc.getPersistentRDDs().size()
+    held = [spark.conf.get(k, None) for k in ("spark.sql.codegen.hugeMethodLimit", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")]
+
+    def watched(pipe, df):
+        during.append(jsc.getPersistentRDDs().size())
+        return fit(pipe, df)
+
+    monkeypatch.setattr(models.Pipeline, "fit", watched)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    scored = models.fit_chain(rows, "y", links=LINKS, prefix="x_", keep=["i"], most=2, maxDepth=2)[1]
+    full = [d.name.rsplit("-", 1)[0] for d in (tmp_path / "statloom").iterdir() if spark.read.parquet(str(d)).count()]
+    assert full == ["chain"] and scored.count() == total
+    assert set(during) == {kept} and len(during) == 5
+    assert held == [spark.conf.get(k, None) for k in ("spark.sql.codegen.hugeMethodLimit", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")]
